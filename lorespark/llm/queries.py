@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, pii, toxicity
 from .common import crc_bucket, documents
 
 
@@ -25,8 +25,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find(documents(spark, sf_dir))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return spans.select("doc_id", *counts, F.sha2(pii.ordered(F.col("base")), 256).alias("base_sha256"), pii.ordered(F.concat("base", "found")).alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op8_pii, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
