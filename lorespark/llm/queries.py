@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, toxicity
+from . import jaccard, langid, pii, toxicity
 from .common import crc_bucket, documents
 
 
@@ -25,6 +25,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.cluster(documents(spark, sf_dir), jaccard.Rule(words=4, num=85))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = pii.find(documents(spark, sf_dir))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
@@ -32,7 +37,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op8_pii, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op7_ngram_jaccard, op8_pii, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
