@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, pii, toxicity
+from . import jaccard, langid, mixing, packing, pii, toxicity
 from .common import crc_bucket, documents
 
 
@@ -25,6 +25,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(documents(spark, sf_dir))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard.cluster(documents(spark, sf_dir), jaccard.Rule(words=4, num=85))
     return groups.select("doc_id", "n_shingles", "component_id")
@@ -37,8 +46,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op7_ngram_jaccard, op8_pii, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_source_mix, op7_ngram_jaccard, op8_pii, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mix": mixing.ORACLE}
