@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, pii, toxicity
+from . import jaccard, langid, licences, media, mixing, packing, pii, tokentree, toxicity
 from .common import crc_bucket, documents
 
 
@@ -34,6 +34,24 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = media.read(media.store(documents(spark, sf_dir)))
+    tail = F.crc32(F.expr("substring(samples, -16, 16)"))
+    return seen.select("doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media.feature(F.col("frames")).alias("feature"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of each document: some words replaced at a quarter, some put in at the middle, the last third of what is left removed."""
+    docs = documents(spark, sf_dir)
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+
+    def edit(at, remove, insert):
+        return F.struct(F.floor(at).alias("at"), F.floor(remove).alias("remove"), F.lit(insert).alias("insert"))
+
+    edits = F.array(edit(n * 0.25, F.least(n * 0.1, F.lit(24.0)), "a corrected passage"), edit(n * 0.5, F.lit(0.0), " and what an editor adds, it's said,"), edit(n * 0.67, n, ""))
+    return tokentree.count_edited(docs.select("doc_id", "text", edits.alias("edits")))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard.cluster(documents(spark, sf_dir), jaccard.Rule(words=4, num=85))
     return groups.select("doc_id", "n_shingles", "component_id")
@@ -45,9 +63,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(pii.ordered(F.col("base")), 256).alias("base_sha256"), pii.ordered(F.concat("base", "found")).alias("spans"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_source_mix, op7_ngram_jaccard, op8_pii, op9_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_source_mix, op5_gif_media, op6_token_counts, op7_ngram_jaccard, op8_pii, op9_toxicity, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.ORACLE}
+    return {"op4_source_mix": mixing.ORACLE, "op10_licence_scan": licences.oracle_sql()}
