@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Table
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,14 +69,15 @@ def sainte_lague(items: DataFrame, group: list[str], order: list[str], amount: s
     return w.join(won, [*group, *order], "left").select(*items.columns, (F.col("__low") + F.coalesce("__won", F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, block: int = 8, shard_words: int = 4_000_000, shard_rows: int = 200_000, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
-    """(id_col, size, source_size, target, taken, first) of each document, then its ``keep`` columns.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, block: int = 8, shard_words: int = 4_000_000, shard_rows: int = 200_000, seed: int = 17) -> DataFrame:
+    """(id_col, size, source_size, target, taken, first) of each document.
 
     ``first`` is the place in the document of the first word taken when it is taken in part.
     """
     # A source's key: never null, so that it joins and groups like any other.
     sk = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("__source"), sk.alias("__sk"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep or []])
+    # Texts are read once; everything after works on this narrow table.
+    sized = Table(docs.select(F.col(id_col), F.col(source_col).alias("__source"), sk.alias("__sk"), word_count(F.col(text_col)).alias("size")), "mix-sizes").df
     sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     t = targets(sizes, weights, share, most)
     t = t.withColumn("__all", F.lit(0)).withColumn("__blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5)).withColumn("__most", F.floor(most * F.col("source_size") / block))
@@ -85,9 +88,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     shards = placed.groupBy("__sk", "__shard").agg(F.sum("size").alias("shard_size")).join(t, "__sk").withColumn("__most", F.floor(most * F.col("shard_size") / block))
     shards = sainte_lague(shards, ["__sk"], ["__shard"], "shard_size", "source_blocks", "__most", "quota")
     shards = shards.withColumn("__from", F.when(F.col("shard_size") > 0, F.pmod(_hash(F.lit(f"start{seed}"), F.col("__sk"), F.col("__shard").cast("string")), F.col("shard_size"))).otherwise(F.lit(0)))
+    # A table of its own: its rows meet the documents by source and shard, not by the source alone that their quotas were made by.
+    shards = Table(shards.select("__sk", "__shard", "source_size", "target", "shard_size", "quota", "__from"), "mix-shards").df
     line = Window.partitionBy("__sk", "__shard").orderBy(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col(id_col).cast("string"))), id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = placed.select(id_col, "__sk", "__shard", "size", *[f"__keep_{c}" for c in keep or []]).withColumn("__end", F.sum("size").over(line))
-    met = lined.join(shards.select("__sk", "__shard", "source_size", "target", "shard_size", "quota", "__from"), ["__sk", "__shard"])
+    lined = placed.select(id_col, "__sk", "__shard", "size").withColumn("__end", F.sum("size").over(line))
+    met = lined.join(shards, ["__sk", "__shard"])
     low, high, start, stop = F.col("__end") - F.col("size"), F.col("__end"), F.col("__from"), F.col("__from") + F.col("quota") * block
     # From a place in the first round, at most ``most`` rounds are read: no later round than this is reached.
     rounds = range(most + 1)
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     taken = sum(overlaps[1:], overlaps[0]).cast("long")
     # Taken in part, a document gives its end (the run starts in it) or its beginning (the run stops in it).
     first = F.when((start > low) & (start < high) & (taken % F.greatest(F.col("size"), F.lit(1)) == high - start), start - low).otherwise(F.lit(0)).cast("long")
-    return met.select(id_col, "size", "source_size", "target", taken.alias("taken"), first.alias("first"), *[F.col(f"__keep_{c}").alias(c) for c in keep or []])
+    return met.select(id_col, "size", "source_size", "target", taken.alias("taken"), first.alias("first"))
 
 
 ORACLE = r"""
