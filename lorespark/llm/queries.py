@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licences, media, mixing, packing, pii, tokentree, toxicity
+from . import jaccard, langid, licences, media, mixing, neardup, packing, pii, tokentree, toxicity
 from .common import crc_bucket, documents
 
 
@@ -30,6 +30,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = neardup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +74,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op4_source_mix, op5_gif_media, op6_token_counts, op7_ngram_jaccard, op8_pii, op9_toxicity, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_embedding_neardup, op4_source_mix, op5_gif_media, op6_token_counts, op7_ngram_jaccard, op8_pii, op9_toxicity, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
