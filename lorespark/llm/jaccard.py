@@ -10,11 +10,11 @@ drops its ``slack`` weakest parts (fewest bits, then lowest number): the stronge
 equal parts is never among them, because its ``slack`` weaker equals come first on both
 sides.  The kept parts are joined by equality, and candidates are verified on whole sets.
 
-Equal sets are one class from the start.  Inside a group of equal parts the first pass
-verifies members against the group's smallest class only; the second pass takes up what
-that leaves open: members still in different components, filtered by folded sketches.
-So a group of many copies costs its size, not its square, and no link that could join two
-components goes unverified.
+Equal sets are one class from the start.  The first pass verifies each class
+against the smallest class it shares a part with; the second takes up what that leaves
+open: members of one group in different components, filtered by folded sketches (which
+bound the difference from below as well).  So a group of many copies costs its size, not
+its square, and no link that could join two components goes unverified.
 
 Defined results: null and empty texts have no shingle and link with nothing; fewer words
 than a shingle's make one shingle of the whole sequence; repeated rows are one class.
@@ -38,6 +38,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(975318642)
 _PLACES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_TURNS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed in one go.
 SLICE = 1 << 21
@@ -55,15 +56,26 @@ class Rule:
         """The largest symmetric difference of two linked sets of so many shingles together."""
         return (self.den - self.num) * both // (self.den + self.num)
 
-    def bands(self, size: int) -> int:
+    def partner(self, size: int) -> int:
+        """The largest size that a set of this size can link to."""
+        return size * self.den // self.num
+
+    def band(self, size: int) -> int:
         """Number of the band of a size; linked sizes are in the same or in neighbouring bands."""
         band, low = 0, 1
         while (high := self._next(low)) <= size:
             band, low = band + 1, high
         return band
 
+    def schemes(self, size: int) -> tuple[int, ...]:
+        """Bands under which a set is sketched: its own, and the next if a larger partner can be there."""
+        own = self.band(size)
+        return (own, own + 1) if self.partner(size) > self.limits(own)[1] else (own,)
+
     def _next(self, low: int) -> int:
-        return low * self.den // self.num + 1
+        for _ in range(2):  # two steps of the threshold: fewer sets reach the next band, and no partner lies beyond it
+            low = self.partner(low) + 1
+        return low
 
     def limits(self, band: int) -> tuple[int, int]:
         low = 1
@@ -122,7 +134,8 @@ def shingles(raw: np.ndarray | None, words: int) -> np.ndarray:
     m = len(w) - n + 1
     h = np.full(m, n, np.uint64)
     for k in range(n):
-        h = mix(h * _MIX3 + w[k : k + m])
+        h += w[k : k + m] * _TURNS[k % len(_TURNS)]
+    h = mix(h)
     return np.unique(h)
 
 
@@ -147,49 +160,120 @@ def kept_keys(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
     return mix(mix(sketch[order] + _scheme(band)) + (order.astype(np.uint64) + np.uint64(1)) * _MIX1)
 
 
-def sketch_sets(docs: DataFrame, rule: Rule, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest): a set's size and a 128-bit digest that only equal sets share."""
+#: Keys gathered in a task before they leave it.
+KEYS = 500_000
+_SKETCHED = "bucket int, id long, n long, digest binary, blob binary"
+
+
+def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: (id, n, digest) of a document, with no bucket; and blobs of the join keys of many, by bucket.
+
+    A blob holds 48 bits of each key, the place of its set in a table, and that table: 64 bits of each set's digest.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    names = ["bucket", "id", "n", "digest", "blob"]
+
+    def blobs(keys: list[np.ndarray], sets: list[int]):
+        k = np.concatenate(keys)
+        of = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(x) for x in keys])
+        bucket = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        k, of, bucket = k[order], of[order], bucket[order]
+        heads = np.array(sets, np.uint64)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
+        out = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(k)], strict=True):
+            used, place = np.unique(of[lo:hi], return_inverse=True)
+            low = k[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            out.append(np.uint32(hi - lo).tobytes() + low + place.astype(np.uint16).tobytes() + heads[used].tobytes())
+        n = len(out)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(out, pa.binary())], names)
 
     def run(batches):
+        schemes: dict[int, tuple[int, ...]] = {}
+        keys, sets, sent = [], [], set()
+        held = 0
         for batch in batches:
             n, digest = [], []
             for raw in utf8(batch.column(1)):
                 s = shingles(raw, rule.words)
                 n.append(len(s))
-                digest.append(np.array([np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ _MIX2))], np.uint64).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
-
-    return rows.mapInArrow(run, "id long, n long, digest binary")
-
-
-def candidate_keys(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(id, key): for each set the kept parts of its own band and of the one above."""
+                if not len(s):
+                    digest.append(None)
+                    continue
+                head = int(np.bitwise_xor.reduce(mix(s ^ _MIX1)))
+                digest.append(head.to_bytes(8, "big") + np.add.reduce(mix(s ^ _MIX2)).tobytes())
+                if head in sent:  # an equal set's keys have left this task
+                    continue
+                sent.add(head)
+                if len(s) not in schemes:
+                    # Where the sizes allow no difference, only equal sets link, and they are one class already.
+                    schemes[len(s)] = rule.schemes(len(s)) if rule.differ(len(s) + rule.partner(len(s))) else ()
+                own = [kept_keys(s, b, rule) for b in schemes[len(s)]]
+                if own:
+                    keys.append(np.concatenate(own))
+                    sets.append(head)
+                    held += len(keys[-1])
+                if held > KEYS or len(keys) == 65_535:
+                    yield blobs(keys, sets)
+                    keys, sets, held = [], [], 0
+            m = len(n)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(m, pa.binary())], names)
+            if len(sent) > 1_000_000:
+                sent.clear()
+        if keys:
+            yield blobs(keys, sets)
+
+    return rows.mapInArrow(run, _SKETCHED)
+
+
+def _meet(blobs: DataFrame) -> DataFrame:
+    """(key, head): the sets of each key that more than one set has; blobs sorted by bucket."""
+
+    def meet(parts: list[bytes]):
+        keys, heads = [], []
+        for p in parts:
+            n = int(np.frombuffer(p, np.uint32, 1)[0])
+            k = np.zeros((n, 8), np.uint8)
+            k[:, :6] = np.frombuffer(p, np.uint8, 6 * n, 4).reshape(n, 6)
+            keys.append(k.view(np.uint64)[:, 0])
+            place = np.frombuffer(p, np.uint16, n, 4 + 6 * n)
+            heads.append(np.frombuffer(p, np.uint64, -1, 4 + 8 * n)[place])
+        k, h = np.concatenate(keys), np.concatenate(heads)
+        order = np.argsort(k, kind="stable")
+        k, h = k[order], h[order]
+        same = k[1:] == k[:-1]
+        some = np.zeros(len(k), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        k, h = k[some], h[some]
+        order = np.lexsort((h, k))
+        k, h = k[order], h[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+        k, h = k[new], h[new]  # of one key, each set once
+        same = k[1:] == k[:-1]
+        some = np.zeros(len(k), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        return k[some], h[some]
 
     def run(batches):
-        bands: dict[int, int] = {}
+        bucket, parts = None, []
         for batch in batches:
-            ids, keys = [], []
-            for i, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                s = shingles(raw, rule.words)
-                if not len(s):
-                    continue
-                if len(s) not in bands:
-                    bands[len(s)] = rule.bands(len(s))
-                band = bands[len(s)]
-                # Where the band allows no difference, only equal sets link, and they are one class already.
-                k = [kept_keys(s, b, rule) for b in (band, band + 1) if rule.parts(b)[0] > 1 and rule.differ(len(s) + rule.limits(b)[1])]
-                if k:
-                    keys.append(np.concatenate(k).view(np.int64))
-                    ids.append(np.full(len(keys[-1]), i, np.int64))
-                if sum(map(len, keys)) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["id", "key"])
-                    ids, keys = [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["id", "key"])
-
-    return texts.mapInArrow(run, "id long, key long")
+            for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != bucket and parts:
+                    k, h = meet(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array((k | np.uint64(bucket << 48)).view(np.int64)), pa.array(h.view(np.int64))], ["key", "head"])
+                    parts = []
+                bucket = b
+                parts.append(p)
+        if parts:
+            k, h = meet(parts)
+            yield pa.RecordBatch.from_arrays([pa.array((k | np.uint64(bucket << 48)).view(np.int64)), pa.array(h.view(np.int64))], ["key", "head"])
+
+    return blobs.mapInArrow(run, "key long, head long")
 
 
 def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -233,30 +317,34 @@ def cluster(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id"
     The class is the smallest id with an equal set, the component the smallest id reachable by links.
     """
     rule = rule or Rule()
-    sketches = Table(sketch_sets(docs, rule, id_col=id_col, text_col=text_col), "jac-sets")
-    classes = Table(sketches.df.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"), F.min("n").alias("n")), "jac-classes")
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    firsts = classes.df.select(F.col("class_id").alias("id"))
-    texts = ids.join(firsts, "id", "left_semi")
-    keys = Table(candidate_keys(texts, rule), "jac-keys")
-    groups = keys.df.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
-    shared = Table(keys.df.join(groups, "key").select("key", "id", "a").distinct(), "jac-shared")
-    keys.drop()
-    star = shared.df.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(4 * partitions, 1 << 15)
+    sketched = Table(sketch(docs, rule, buckets, id_col=id_col, text_col=text_col), "jac-sketched")
+    sketches = sketched.df.where("bucket is null").select("id", "n", "digest")
+    classes = Table(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")), "jac-classes")
+    # The digest's first eight bytes, as the number that blobs hold.
+    heads = classes.df.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head"), "class_id")
+    met = _meet(sketched.df.where("bucket is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket"))
+    shared = Table(met.join(heads, "head").select("key", F.col("class_id").alias("id")), "jac-shared")
+    # First, each class against the smallest that it shares a key with.
+    groups = shared.df.groupBy("key").agg(F.min("id").alias("a"))
+    star = shared.df.join(groups, "key").where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     first = Table(star, "jac-star")
-    some = shared.df.select("id").distinct()
-    sets = Table(_sets(texts.join(some, "id", "left_semi"), rule).dropDuplicates(["id"]), "jac-kept")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shared.df.select("id").distinct(), "id", "left_semi")
+    sets = Table(_sets(texts, rule).dropDuplicates(["id"]), "jac-kept")
     done = Table(_verified(first.df, sets.df, rule), "jac-verified")
     first.drop()
     links = done.df.where(_links(done.df, rule)).select("a", "b")
     names = components(links)
-    rest = _open_pairs(shared.df, names, done.df, sets.df, rule)
+    rest = _open_pairs(shared.df, names, sets.df, rule)
     second = Table(_verified(rest, sets.df, rule), "jac-verified")
+    sets.drop()
+    shared.drop()
     more = second.df.where(_links(second.df, rule)).select("a", "b")
     if more.limit(1).count():
         names = components(links.unionByName(more))
     full = classes.df.join(names, F.col("class_id") == F.col("id"), "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sketches.df.join(full, "digest", "left")
+    out = sketches.join(full, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -271,29 +359,31 @@ def _fold(s: np.ndarray, bits: int) -> np.ndarray:
     return words
 
 
-def _open_pairs(shared: DataFrame, names: DataFrame, done: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that share a key and that neither the distance to the group's smallest class nor the folded sketches rule out."""
-    named = shared.join(names, "id", "left").select("key", "id", "a", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    to_a = done.select("a", F.col("b").alias("id"), (F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("away"))
-    members = named.join(mixed, "key", "left_semi").join(to_a, ["a", "id"], "left").select("key", "id", "c", F.coalesce("away", F.lit(0.0)).alias("away"))
-    # In most mixed groups everything but one member is in one component; pairs inside a component need no check.
+#: Members of a group that are compared in one go.
+BLOCK = 2048
+
+
+def _open_pairs(shared: DataFrame, names: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different components that share a key, unless their folded sketches differ too much.  Large groups are compared in pairs of blocks."""
+    named = shared.join(names, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("c0 <> c1").select("key", "blocks")
+    placed = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = placed.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("own"), "id", "c")
     folded = sets.mapInArrow(_folded_rows, "id long, n long, f binary")
-    rows = members.join(folded, "id").repartition("key").sortWithinPartitions("key", "id")
-    limit = 1 - rule.num / rule.den + 1e-9
+    rows = spread.join(folded, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from _pairs(held, rule, limit)
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield from _pairs(held, rule)
                     held = []
                 held.append(row)
         if held:
-            yield from _pairs(held, rule, limit)
+            yield from _pairs(held, rule)
 
-    return rows.select("key", "id", "c", "away", "n", "f").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "id", "c", "n", "f").mapInArrow(run, "a long, b long").distinct()
 
 
 def _folded_rows(batches):
@@ -306,15 +396,16 @@ def _folded_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.binary())], ["id", "n", "f"])
 
 
-def _pairs(held: list[tuple], rule: Rule, limit: float):
-    ids, c, away, n = (np.array([r[k] for r in held]) for k in (1, 2, 3, 4))
-    least = min(len(r[5]) for r in held) // 8
+def _pairs(held: list[tuple], rule: Rule):
+    ids, c, n = (np.array([r[k] for r in held]) for k in (3, 4, 5))
+    if (c == c[0]).all():
+        return
+    least = min(len(r[6]) for r in held) // 8
     sketch = np.empty((len(held), least), np.uint64)
     for i, r in enumerate(held):  # a longer fold folds onto a shorter one
-        f = np.frombuffer(r[5], np.uint64)
-        sketch[i] = np.bitwise_xor.reduce(f.reshape(-1, least), axis=0)
+        sketch[i] = np.bitwise_xor.reduce(np.frombuffer(r[6], np.uint64).reshape(-1, least), axis=0)
     for i in range(len(held) - 1):
-        j = np.flatnonzero((c[i + 1 :] != c[i]) & (np.abs(away[i + 1 :] - away[i]) <= limit)) + i + 1
+        j = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
         if len(j):
             apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
             j = j[apart <= (rule.den - rule.num) * (n[j] + n[i]) // (rule.den + rule.num)]
