@@ -415,7 +415,7 @@ def _pairs(held: list[tuple], rule: Rule):
 
 
 def keep_first(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that link, directly or not, to a document of a smaller id; of rows with one id, all stay or go."""
+    """``docs`` without those that link, directly or not, to a document of a smaller id; of rows with one id, one stays."""
     groups = cluster(docs, rule, id_col=id_col, text_col=text_col)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])

@@ -70,9 +70,9 @@ def sainte_lague(items: DataFrame, group: list[str], order: list[str], amount: s
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, block: int = 8, shard_words: int = 4_000_000, shard_rows: int = 200_000, seed: int = 17) -> DataFrame:
-    """(id_col, size, source_size, target, taken, first) of each document.
+    """(id_col, size, source_size, target, taken, runs) of each document.
 
-    ``first`` is the place in the document of the first word taken when it is taken in part.
+    ``runs`` are the stretches of its words that are taken: first word, and how many.
     """
     # A source's key: never null, so that it joins and groups like any other.
     sk = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
@@ -95,12 +95,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     met = lined.join(shards, ["__sk", "__shard"])
     low, high, start, stop = F.col("__end") - F.col("size"), F.col("__end"), F.col("__from"), F.col("__from") + F.col("quota") * block
     # From a place in the first round, at most ``most`` rounds are read: no later round than this is reached.
-    rounds = range(most + 1)
-    overlaps = [F.greatest(F.lit(0), F.least(high + r * F.col("shard_size"), stop) - F.greatest(low + r * F.col("shard_size"), start)) for r in rounds]
-    taken = sum(overlaps[1:], overlaps[0]).cast("long")
-    # Taken in part, a document gives its end (the run starts in it) or its beginning (the run stops in it).
-    first = F.when((start > low) & (start < high) & (taken % F.greatest(F.col("size"), F.lit(1)) == high - start), start - low).otherwise(F.lit(0)).cast("long")
-    return met.select(id_col, "size", "source_size", "target", taken.alias("taken"), first.alias("first"))
+    rounds = [(F.greatest(low + r * F.col("shard_size"), start), F.least(high + r * F.col("shard_size"), stop), low + r * F.col("shard_size")) for r in range(most + 1)]
+    runs = F.filter(F.array(*[F.struct((a - zero).cast("long").alias("first"), (b - a).cast("long").alias("words")) for a, b, zero in rounds]), lambda s: s["words"] > 0)
+    taken = F.aggregate(runs, F.lit(0).cast("long"), lambda acc, s: acc + s["words"])
+    return met.select(id_col, "size", "source_size", "target", taken.alias("taken"), runs.alias("runs"))
+
+
+def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each run of words taken; a run that isn't the whole text is its words joined by blanks.
+
+    Ids are expected to be distinct (a repeated one is drawn once for each pair of its rows).
+    """
+    runs = mix(docs, id_col=id_col, text_col=text_col, **how).where("taken > 0").select(F.col(id_col).alias("__id"), "size", F.explode("runs").alias("__run"))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    text = F.when(F.col("__run.words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, (F.col("__run.first") + 1).cast("int"), F.col("__run.words").cast("int")), " "))
+    met = docs.join(runs, F.col(id_col).eqNullSafe(F.col("__id")))
+    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 ORACLE = r"""
