@@ -6,9 +6,11 @@ sketch of a set is cut into ``d + 1 + slack`` parts of 64 bits: each shingle's h
 a part and a bit in it, and the bit is flipped (XOR).  A differing shingle flips one bit
 of one part, so the Hamming distance of two sketches never exceeds the symmetric
 difference, and of two linked sets at least ``1 + slack`` parts are equal.  Each set
-drops its ``slack`` weakest parts (fewest bits, then lowest number): the strongest of the
-equal parts is never among them, because its ``slack`` weaker equals come first on both
-sides.  The kept parts are joined by equality, and candidates are verified on whole sets.
+drops its ``drop`` weakest parts (fewest bits, then lowest number): of the equal parts the
+strongest ``1 + slack - drop`` are never among them, because ``drop`` weaker equals come
+first on both sides.  The kept parts are joined by equality; a set that shares fewer of
+them than that with all others together links with nothing; what stays is verified on
+whole sets.
 
 Equal sets are one class from the start.  The first pass verifies each class
 against the smallest class it shares a part with; the second takes up what that leaves
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, ship, utf8
+from .common import Table, release, ship, utf8
 from .components import components
 
 _SPACE = np.zeros(256, bool)
@@ -83,11 +85,12 @@ class Rule:
             low = self._next(low)
         return low, self._next(low) - 1
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """Parts of a band's sketches, and how many of the weakest each set drops."""
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """Parts of a band's sketches, how many of the weakest each set drops, and how many kept ones two linked sets share at least."""
         d = self.differ(2 * self.limits(band)[1])
         slack = (d + 2) // 3 + 1 if d else 0
-        return d + 1 + slack, slack
+        drop = (slack + 1) // 2
+        return d + 1 + slack, drop, 1 + slack - drop
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -154,9 +157,9 @@ def parity_parts(s: np.ndarray, parts: int, seed: int) -> np.ndarray:
 
 def kept_keys(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
     """Join keys of a set under the scheme of ``band``: the parts that aren't among the weakest."""
-    parts, slack = rule.parts(band)
+    parts, drop, _ = rule.parts(band)
     sketch = parity_parts(s, parts, band)
-    order = np.lexsort((np.arange(parts), np.bitwise_count(sketch)))[slack:]
+    order = np.lexsort((np.arange(parts), np.bitwise_count(sketch)))[drop:]
     return mix(mix(sketch[order] + _scheme(band)) + (order.astype(np.uint64) + np.uint64(1)) * _MIX1)
 
 
@@ -168,31 +171,31 @@ _SKETCHED = "bucket int, id long, n long, digest binary, blob binary"
 def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col: str) -> DataFrame:
     """Rows of two kinds: (id, n, digest) of a document, with no bucket; and blobs of the join keys of many, by bucket.
 
-    A blob holds 48 bits of each key, the place of its set in a table, and that table: 64 bits of each set's digest.
+    A blob holds 48 bits of each key, the place of its set and band in a table, and that table: 64 bits of each set's digest, then each band.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = ["bucket", "id", "n", "digest", "blob"]
 
-    def blobs(keys: list[np.ndarray], sets: list[int]):
+    def blobs(keys: list[np.ndarray], sets: list[int], of_band: list[int]):
         k = np.concatenate(keys)
         of = np.repeat(np.arange(len(keys), dtype=np.uint16), [len(x) for x in keys])
         bucket = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         k, of, bucket = k[order], of[order], bucket[order]
-        heads = np.array(sets, np.uint64)
+        heads, in_band = np.array(sets, np.uint64), np.array(of_band, np.uint8)
         cuts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
         out = []
         for lo, hi in zip(cuts, [*cuts[1:], len(k)], strict=True):
             used, place = np.unique(of[lo:hi], return_inverse=True)
             low = k[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            out.append(np.uint32(hi - lo).tobytes() + low + place.astype(np.uint16).tobytes() + heads[used].tobytes())
+            out.append(np.uint32(hi - lo).tobytes() + low + place.astype(np.uint16).tobytes() + heads[used].tobytes() + in_band[used].tobytes())
         n = len(out)
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(out, pa.binary())], names)
 
     def run(batches):
         schemes: dict[int, tuple[int, ...]] = {}
-        keys, sets, sent = [], [], set()
+        keys, sets, bands, sent = [], [], [], set()
         held = 0
         for batch in batches:
             n, digest = [], []
@@ -210,70 +213,74 @@ def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col:
                 if len(s) not in schemes:
                     # Where the sizes allow no difference, only equal sets link, and they are one class already.
                     schemes[len(s)] = rule.schemes(len(s)) if rule.differ(len(s) + rule.partner(len(s))) else ()
-                own = [kept_keys(s, b, rule) for b in schemes[len(s)]]
-                if own:
-                    keys.append(np.concatenate(own))
+                for b in schemes[len(s)]:
+                    keys.append(kept_keys(s, b, rule))
                     sets.append(head)
+                    bands.append(b)
                     held += len(keys[-1])
-                if held > KEYS or len(keys) == 65_535:
-                    yield blobs(keys, sets)
-                    keys, sets, held = [], [], 0
+                if held > KEYS or len(keys) > 65_000:
+                    yield blobs(keys, sets, bands)
+                    keys, sets, bands, held = [], [], [], 0
             m = len(n)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(m, pa.binary())], names)
             if len(sent) > 1_000_000:
                 sent.clear()
         if keys:
-            yield blobs(keys, sets)
+            yield blobs(keys, sets, bands)
 
     return rows.mapInArrow(run, _SKETCHED)
 
 
 def _meet(blobs: DataFrame) -> DataFrame:
-    """(key, head): the sets of each key that more than one set has; blobs sorted by bucket."""
+    """(key, head, band): the sets of each key that more than one set has; blobs sorted by bucket."""
 
     def meet(parts: list[bytes]):
-        keys, heads = [], []
+        keys, heads, bands = [], [], []
         for p in parts:
             n = int(np.frombuffer(p, np.uint32, 1)[0])
             k = np.zeros((n, 8), np.uint8)
             k[:, :6] = np.frombuffer(p, np.uint8, 6 * n, 4).reshape(n, 6)
             keys.append(k.view(np.uint64)[:, 0])
             place = np.frombuffer(p, np.uint16, n, 4 + 6 * n)
-            heads.append(np.frombuffer(p, np.uint64, -1, 4 + 8 * n)[place])
-        k, h = np.concatenate(keys), np.concatenate(heads)
+            entries = (len(p) - 4 - 8 * n) // 9
+            heads.append(np.frombuffer(p, np.uint64, entries, 4 + 8 * n)[place])
+            bands.append(np.frombuffer(p, np.uint8, entries, 4 + 8 * n + 8 * entries)[place])
+        k, h, b = np.concatenate(keys), np.concatenate(heads), np.concatenate(bands)
         order = np.argsort(k, kind="stable")
-        k, h = k[order], h[order]
+        k, h, b = k[order], h[order], b[order]
         same = k[1:] == k[:-1]
         some = np.zeros(len(k), bool)
         some[1:] |= same
         some[:-1] |= same
-        k, h = k[some], h[some]
+        k, h, b = k[some], h[some], b[some]
         order = np.lexsort((h, k))
-        k, h = k[order], h[order]
+        k, h, b = k[order], h[order], b[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-        k, h = k[new], h[new]  # of one key, each set once
+        k, h, b = k[new], h[new], b[new]  # of one key, each set once
         same = k[1:] == k[:-1]
         some = np.zeros(len(k), bool)
         some[1:] |= same
         some[:-1] |= same
-        return k[some], h[some]
+        return k[some], h[some], b[some]
+
+    def rows(bucket: int, parts: list[bytes]):
+        k, h, b = meet(parts)
+        return pa.RecordBatch.from_arrays([pa.array((k | np.uint64(bucket << 48)).view(np.int64)), pa.array(h.view(np.int64)), pa.array(b.astype(np.int32))], ["key", "head", "band"])
 
     def run(batches):
         bucket, parts = None, []
         for batch in batches:
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != bucket and parts:
-                    k, h = meet(parts)
-                    yield pa.RecordBatch.from_arrays([pa.array((k | np.uint64(bucket << 48)).view(np.int64)), pa.array(h.view(np.int64))], ["key", "head"])
+                    yield rows(bucket, parts)
                     parts = []
                 bucket = b
                 parts.append(p)
         if parts:
-            k, h = meet(parts)
-            yield pa.RecordBatch.from_arrays([pa.array((k | np.uint64(bucket << 48)).view(np.int64)), pa.array(h.view(np.int64))], ["key", "head"])
+            yield rows(bucket, parts)
 
-    return blobs.mapInArrow(run, "key long, head long")
+    return blobs.mapInArrow(run, "key long, head long, band int")
 
 
 def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -319,19 +326,27 @@ def cluster(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id"
     rule = rule or Rule()
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(4 * partitions, 1 << 15)
+    spark = docs.sparkSession
     sketched = Table(sketch(docs, rule, buckets, id_col=id_col, text_col=text_col), "jac-sketched")
-    sketches = sketched.df.where("bucket is null").select("id", "n", "digest")
+    sketches = Table(sketched.df.where("bucket is null").select("id", "n", "digest"), "jac-sets").df
     classes = Table(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")), "jac-classes")
     # The digest's first eight bytes, as the number that blobs hold.
     heads = classes.df.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head"), "class_id")
-    met = _meet(sketched.df.where("bucket is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket"))
-    shared = Table(met.join(heads, "head").select("key", F.col("class_id").alias("id")), "jac-shared")
+    met = Table(_meet(sketched.df.where("bucket is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket")), "jac-met")
+    sketched.drop()
+    release(spark)
+    least = F.element_at(F.array(*[F.lit(rule.parts(b)[2]) for b in range(rule.band(1 << 40))]), F.col("band") + 1)
+    able = met.df.groupBy("head", "band").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("head", "band")
+    shared = Table(met.df.join(able, ["head", "band"]).join(heads, "head").select("key", F.col("class_id").alias("id")), "jac-shared")
+    met.drop()
+    release(spark)
     # First, each class against the smallest that it shares a key with.
     groups = shared.df.groupBy("key").agg(F.min("id").alias("a"))
     star = shared.df.join(groups, "key").where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     first = Table(star, "jac-star")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shared.df.select("id").distinct(), "id", "left_semi")
-    sets = Table(_sets(texts, rule).dropDuplicates(["id"]), "jac-kept")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shared.df.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").join(shared.df, "key").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets = Table(_sets(texts, rule), "jac-kept")
+    release(spark)
     done = Table(_verified(first.df, sets.df, rule), "jac-verified")
     first.drop()
     links = done.df.where(_links(done.df, rule)).select("a", "b")
