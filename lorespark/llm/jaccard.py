@@ -2,7 +2,7 @@
 
 A document is the set of its distinct word shingles.  Sets are banded by size; a band
 fixes how many shingles two linked sets in reach of it can differ by (``d``), and the
-sketch of a set is cut into ``d + 1 + slack`` parts of 64 bits: each shingle's hash names
+sketch of a set is cut into ``d + 1 + slack`` parts of 2^24 bits: each shingle's hash names
 a part and a bit in it, and the bit is flipped (XOR).  A differing shingle flips one bit
 of one part, so the Hamming distance of two sketches never exceeds the symmetric
 difference, and of two linked sets at least ``1 + slack`` parts are equal.  Each set
@@ -42,6 +42,8 @@ _RNG = np.random.default_rng(975318642)
 _PLACES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _TURNS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: A part of a sketch has two to this power bits: few enough flips that other shingles hardly ever set the same ones.
+BITS = 24
 #: Bytes hashed in one go.
 SLICE = 1 << 21
 
@@ -146,20 +148,30 @@ def _scheme(band: int) -> np.uint64:
     return np.uint64((band + 1) * int(_MIX3) % (1 << 64))
 
 
-def parity_parts(s: np.ndarray, parts: int, seed: int) -> np.ndarray:
-    """The sketch: for each part, 64 bits flipped by the shingles that it gets."""
+def parity_parts(s: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch, part by part: a digest of the bits that are set, and how many are.
+
+    Each shingle flips one bit of one part; a bit flipped twice is clear again.
+    """
     h = mix(s + _scheme(seed))
     part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    sketch = np.zeros(parts, np.uint64)
-    np.bitwise_xor.at(sketch, part.astype(np.intp), np.uint64(1) << (h & np.uint64(63)))
-    return sketch
+    place = np.sort(part << np.uint64(BITS) | h & np.uint64((1 << BITS) - 1))
+    first = np.flatnonzero(np.diff(place, prepend=np.uint64((1 << 64) - 1)) != 0)
+    odd = place[first[np.diff(np.append(first, len(place))) % 2 == 1]]
+    digests, weights = np.zeros(parts, np.uint64), np.zeros(parts, np.int64)
+    if len(odd):
+        own = (odd >> np.uint64(BITS)).astype(np.intp)
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        digests[own[at]] = np.bitwise_xor.reduceat(mix(odd * _MIX3), at)
+        weights = np.bincount(own, minlength=parts)
+    return digests, weights
 
 
 def kept_keys(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
     """Join keys of a set under the scheme of ``band``: the parts that aren't among the weakest."""
     parts, drop, _ = rule.parts(band)
-    sketch = parity_parts(s, parts, band)
-    order = np.lexsort((np.arange(parts), np.bitwise_count(sketch)))[drop:]
+    sketch, weights = parity_parts(s, parts, band)
+    order = np.lexsort((np.arange(parts), weights))[drop:]
     return mix(mix(sketch[order] + _scheme(band)) + (order.astype(np.uint64) + np.uint64(1)) * _MIX1)
 
 
