@@ -445,4 +445,7 @@ def keep_first(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_
     """``docs`` without those that link, directly or not, to a document of a smaller id; of rows with one id, one stays."""
     groups = cluster(docs, rule, id_col=id_col, text_col=text_col)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    kept = docs.join(gone, id_col, "left_anti")
+    # Texts are only brought together by id where an id does come twice.
+    twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates([id_col]) if twice else kept
