@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import graph, history, models, search, text, web
+from ..operators import convert, graph, history, models, search, text, web
 from ..streaming import events
 
-MODULES = (text, web, search, history, graph, models, events)
+MODULES = (text, web, convert, search, history, graph, models, events)
 
 
 def queries() -> dict:
