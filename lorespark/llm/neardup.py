@@ -1,14 +1,17 @@
 """Embedding near-duplicates by NN-descent.
 
-Distinct vectors get neighbour lists from random-hyperplane buckets, then lists are
-refined by local joins: whoever is near one vector (in its list, or having it in theirs)
+Distinct vectors get neighbour lists from random-hyperplane buckets (the more tables, the
+finer the buckets of a larger input; vectors that share no bucket get arbitrary neighbours
+to start from), then lists are refined by local joins: whoever is near one vector (in its list, or having it in theirs)
 is compared with one another.  Lists full of neighbours over the threshold are saturated
 and keep more.  Searching uses 8-bit codes of the directions; every pair seen over the
 threshold is verified in double precision, and connects its two vectors.  Vectors that
 are connected form a component, in which the lists of all members are at last enlarged to
 the whole component, block by block, so that links are counted without being emitted.
-An audit compares a bounded set of queries with all vectors; while it finds too many
-links missing, further rounds follow.
+An audit compares a bounded set of queries with all vectors, half of them drawn among the
+vectors with few or no links, and averages over vectors; while it finds too many links
+missing, rounds with as many tables again follow.  Once those would cost more than all
+pairs, all pairs are compared in blocks.  The recall of every audit is logged.
 
 Defined results: vectors that are null, empty or zero, or that hold null or non-finite
 components, link with nothing; vectors of different lengths do not link; equal vectors
@@ -18,6 +21,8 @@ distinct values and one row for each of its rows.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +33,13 @@ from .components import components
 
 #: Vectors compared at once inside a bucket, and in a block of a component.
 CHUNK, BLOCK = 128, 512
+#: Tables written at once; vectors that all others are compared with at once when all pairs are.
+BATCH, STRIP = 8, 4096
+#: Share of the links at the threshold that the first tables are to bring together, and pairs of all pairs that cost as much as a vector's place in a table.
+MET, PAIRS = 0.98, 512
+#: Links up to which a vector is one with few.
+FEW = 3
+_log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray]:
@@ -92,7 +104,7 @@ def _local_join(ids: np.ndarray, codes: list[bytes], k: int, loose: float):
 
 
 def _grouped(k: int, loose: float, chunk: int | None):
-    """A function over batches of (group, id, code), sorted by group: local joins of each group, in chunks if told."""
+    """A function over batches of (group, id, code), sorted by group: local joins of each group, in chunks that overlap by half if told."""
 
     def emit(found):
         found = list(found)
@@ -102,24 +114,37 @@ def _grouped(k: int, loose: float, chunk: int | None):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s.astype(np.float32)), pa.array(star)], ["u", "v", "sim", "star"])
 
     def run(batches):
+        half = chunk // 2 if chunk else None
         keep_g, keep_i, keep_c = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        before, joined = None, False  # the last half chunk, and whether it was joined with the one before it
+
+        def push(piece):
+            nonlocal before, joined
+            last, was, before, joined = before, joined, piece, False
+            if last is None:
+                return []
+            if piece is not None and piece[0] == last[0]:
+                joined = True
+                return list(_local_join(np.concatenate([last[1], piece[1]]), last[2] + piece[2], k, loose))
+            return [] if was else list(_local_join(last[1], last[2], k, loose))
+
         for batch in batches:
             g = np.concatenate([keep_g, batch.column(0).to_numpy()])
             i = np.concatenate([keep_i, batch.column(1).to_numpy()])
             c = keep_c + batch.column(2).to_pylist()
             cuts = np.flatnonzero(np.diff(g)) + 1
-            if chunk:
+            if half:
                 edges = np.concatenate([[0], cuts, [len(g)]])
-                cuts = np.unique(np.concatenate([np.arange(a, b, chunk) for a, b in zip(edges[:-1], edges[1:], strict=True)])) if len(g) else cuts
+                cuts = np.unique(np.concatenate([np.arange(a, b, half) for a, b in zip(edges[:-1], edges[1:], strict=True)])) if len(g) else cuts
                 cuts = cuts[cuts > 0]
             last = int(cuts[-1]) if len(cuts) else 0
             found = []
             for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if len(cuts) else []:
-                found += _local_join(i[a:b], c[a:b], k, loose)
+                found += push((int(g[a]), i[a:b], c[a:b]))
             yield from emit(found)
             keep_g, keep_i, keep_c = g[last:], i[last:], c[last:]
-        if len(keep_g):
-            yield from emit(_local_join(keep_i, keep_c, k, loose))
+        found = push((int(keep_g[0]), keep_i, keep_c)) if len(keep_g) else []
+        yield from emit(found + push(None))
 
     return run
 
@@ -229,11 +254,8 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     return rows.select("component", "i", "j", "counted", "id", "n", "vec").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int = 256, seed: int = 3) -> float:
-    """Share of the links of at most ``queries`` vectors, counted against all vectors, that were found."""
-    drawn = nodes.select("id", "vec").orderBy(F.xxhash64(F.lit(seed), "id")).limit(queries).collect()
-    if not drawn:
-        return 1.0
+def _against(nodes: DataFrame, drawn: list, threshold: float) -> DataFrame:
+    """(id, links): the links of the drawn (id, vec), counted against all vectors."""
     by_size: dict[int, list] = {}
     for r in drawn:
         by_size.setdefault(len(r["vec"]), []).append((r["id"], bytes(r["vec"])))
@@ -245,39 +267,123 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int =
             n, vecs = batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for d, (q_ids, q) in asked.value.items():
                 own = [k for k, v in enumerate(vecs) if len(v) == d]
-                if own:
-                    ids.append(q_ids)
-                    links.append((q @ _unit64([vecs[k] for k in own]).T >= threshold) @ n[own])
+                total = np.zeros(len(q_ids), np.int64)
+                for lo in range(0, len(own), BLOCK):
+                    some = own[lo : lo + BLOCK]
+                    total += (q @ _unit64([vecs[k] for k in some]).T >= threshold) @ n[some]
+                ids.append(q_ids)
+                links.append(total)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links))], ["id", "links"])
 
-    truth = nodes.select("id", "n", "vec").mapInArrow(run, "id long, links long").groupBy("id").agg((F.sum("links")).alias("truth"))
-    got = truth.join(counted, "id", "left").join(nodes.select("id", "n"), "id").agg(F.sum(F.col("truth") - F.col("n")).alias("truth"), F.sum(F.coalesce("links", "n") - F.col("n")).alias("found")).first()
-    return 1.0 if not got["truth"] else got["found"] / got["truth"]
+    return nodes.select("id", "n", "vec").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
 
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, queries: int = 512, seed: int = 3) -> float:
+    """Share of a vector's links that was found: the mean over vectors that have any, the lower one of two draws.
 
-def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 8, tables: int = 8, rounds: int = 2, more_rounds: int = 3, recall: float = 0.99, seed: int = 5) -> DataFrame:
-    """(id_col, n_links, component_id) of each row of ``vectors``."""
+    One draw is of all vectors, one of those with few links or none found; each of at most ``queries``.
+    """
+    held = nodes.join(counted, "id", "left").select("id", "n", "vec", (F.coalesce("links", "n") - F.col("n")).alias("found"))
+    order = F.xxhash64(F.lit(seed), "id")
+    draws = [held.orderBy(order).limit(queries).collect(), held.where(F.col("found") <= FEW).orderBy(order).limit(queries).collect()]
+    drawn = list({r["id"]: r for d in draws for r in d}.values())
+    if not drawn:
+        return 1.0
+    truth = {r["id"]: r["links"] for r in _against(nodes, drawn, threshold).collect()}
+    shares = [[r["found"] / (truth[r["id"]] - r["n"]) for r in d if truth[r["id"]] > r["n"]] for d in draws]
+    return float(min([np.mean(s) for s in shares if s], default=1.0))
+
+
+def _all_pairs(nodes: DataFrame, total: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, links) of every vector and links (a, b) that connect all that is linked: all pairs, a strip of vectors against all at a time."""
+    strips = -(-total // STRIP)
+    place = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(strips))
+    counts, ties = [], []
+    for strip in range(strips):
+        by_size: dict[int, list] = {}
+        for r in nodes.where(place == strip).select("id", "n", "vec").collect():
+            by_size.setdefault(len(r["vec"]), []).append((r["id"], r["n"], bytes(r["vec"])))
+        asked = nodes.sparkSession.sparkContext.broadcast({d: (np.array([i for i, _, _ in q]), np.array([n for _, n, _ in q]), _unit64([v for _, _, v in q])) for d, q in by_size.items()})
+
+        def run(batches, asked=asked):
+            # Vectors of the strip with one name are connected by ties sent already.
+            names = {d: np.arange(len(q[0])) for d, q in asked.value.items()}
+            for batch in batches:
+                out = [[], [], []]
+                ids, vecs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for d, (q_ids, q_n, q) in asked.value.items():
+                    own = [k for k, v in enumerate(vecs) if len(v) == d]
+                    for lo in range(0, len(own), BLOCK):
+                        some = own[lo : lo + BLOCK]
+                        linked = _unit64([vecs[k] for k in some]) @ q.T >= threshold
+                        n_links = linked @ q_n
+                        for row in np.flatnonzero(n_links):
+                            met, at = np.unique(names[d][linked[row]], return_index=True)
+                            if len(met) > 1:
+                                names[d][np.isin(names[d], met)] = met[0]
+                            to = q_ids[linked[row]][at]
+                            out[0] += [ids[some[row]]] * len(to)
+                            out[1] += to.tolist()
+                            out[2] += [n_links[row]] + [0] * (len(to) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
+
+        found = Table(nodes.select("id", "vec").mapInArrow(run, "a long, b long, links long"), "nn-strip")
+        asked.destroy()
+        counts.append(found.df.select(F.col("a").alias("id"), "links"))
+        ties.append(found.df.where("a <> b").select("a", "b"))
+    links, tied = counts[0], ties[0]
+    for c, t in zip(counts[1:], ties[1:], strict=True):
+        links, tied = links.unionByName(c), tied.unionByName(t)
+    return Table(links.groupBy("id").agg(F.sum("links").alias("links")), "nn-counts").df, tied
+
+
+def _arbitrary(graph: DataFrame, coded: DataFrame, total: int, seed: int) -> DataFrame:
+    """(group, id, code): groups of about 32 by a hash, those that hold a vector without a list."""
+    group = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(-(-total // 32)))
+    lone = coded.join(graph.select(F.col("u").alias("id")).distinct(), "id", "left_anti").select(group.alias("group")).distinct()
+    return coded.select(group.alias("group"), "id", "code").join(lone, "group", "left_semi").repartition("group").sortWithinPartitions("group", "id")
+
+
+def tables_for(threshold: float, bits: int, least: int) -> int:
+    """Tables in which a pair at the threshold shares a bucket with probability ``MET``."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return least if same >= 1 or same <= 0 else max(least, int(np.ceil(np.log(1 - MET) / np.log1p(-same))))
+
+
+def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, k: int = 8, tables: int = 8, rounds: int = 2, recall: float = 0.99, seed: int = 5) -> DataFrame:
+    """(id_col, n_links, component_id) of each row of ``vectors``; ``tables`` are made at least."""
     rows = Table(directions(vectors, id_col, vector_col), "nn-rows")
     nodes = Table(rows.df.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", "vec"), "nn-nodes")
     total = nodes.df.count()
     bits = int(np.clip(np.round(np.log2(max(1, total) / 32)), 0, 30))
     loose = threshold - 0.02  # codes are off by less
-    first = Table(_buckets(nodes.df, tables, bits, seed).select("group", "id", "code").mapInArrow(_grouped(k, loose, CHUNK), _CANDIDATE), "nn-candidates")
     coded = nodes.df.select("id", "vec").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array([code_of(v) for v in _matrix(b.column(1))], pa.binary())], ["id", "code"]) for b in it), "id long, code binary")
-    graph = Table(_best(first.df.where("not star"), k, k, threshold), "nn-graph")
-    stars = [Table(first.df.where("star").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "nn-stars")]
-    first.drop()
-    done = 0
+    stars: list[Table] = []
+    graph, made, done = None, 0, 0
+
+    def take(candidates: DataFrame, most: int) -> None:
+        """Keep the stars of the candidates, and the best of them and of the lists as the lists."""
+        nonlocal graph
+        step = Table(candidates, "nn-candidates")
+        stars.append(Table(step.df.where("star").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "nn-stars"))
+        lists = step.df.where("not star").select("u", "v", "sim")
+        better = Table(_best(lists if graph is None else lists.unionByName(graph.df), k, most, threshold), "nn-graph")
+        if graph is not None:
+            graph.drop()
+        step.drop()
+        graph = better
+
     while True:
+        end = 2 * made or tables_for(threshold, bits, tables)
+        while made < end:
+            count = min(BATCH, end - made)
+            take(_buckets(nodes.df, count, bits, seed + 7919 * made).select("group", "id", "code").mapInArrow(_grouped(k, loose, CHUNK), _CANDIDATE), k << done)
+            made += count
+        take(_arbitrary(graph.df, coded, total, seed + made).mapInArrow(_grouped(k, loose, CHUNK), _CANDIDATE), k << done)
         for _ in range(rounds if not done else 1):
             done += 1
-            step = Table(_refine(graph.df, coded, k, loose, seed + done), "nn-candidates")
-            stars.append(Table(step.df.where("star").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "nn-stars"))
-            better = Table(_best(step.df.where("not star").select("u", "v", "sim").unionByName(graph.df), k, k << done, threshold), "nn-graph")
-            graph.drop()
-            step.drop()
-            graph = better
+            take(_refine(graph.df, coded, k, loose, seed + done), k << done)
         pairs = stars[0].df
         for s in stars[1:]:
             pairs = pairs.unionByName(s.df)
@@ -285,9 +391,16 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         links = Table(_verify(pairs.unionByName(listed).distinct(), nodes.df, threshold), "nn-links")
         names = components(links.df)
         members = nodes.df.join(names, "id").select("id", "component", "n", "vec")
-        counted = Table(_count_links(members, threshold), "nn-counts")
-        if done >= rounds + more_rounds or audit(nodes.df, counted.df, threshold) >= recall:
+        counted = Table(_count_links(members, threshold), "nn-counts").df
+        share = audit(nodes.df, counted, threshold)
+        _log.info("recall %.4f after %d tables and %d rounds", share, made, done)
+        if share >= recall:
+            break
+        if total <= PAIRS * 2 * made:
+            counted, ties = _all_pairs(nodes.df, total, threshold)
+            names = components(ties)
+            _log.info("recall 1: all pairs of %d vectors compared", total)
             break
-    known = nodes.df.join(names, "id", "left").join(counted.df, "id", "left").select("vec", F.coalesce("links", "n").alias("links"), F.coalesce("component", "id").alias("component"))
+    known = nodes.df.join(names, "id", "left").join(counted, "id", "left").select("vec", F.coalesce("links", "n").alias("links"), F.coalesce("component", "id").alias("component"))
     joined = rows.df.join(known, "vec", "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -107,6 +107,39 @@ def test_vectors(spark):
     assert neardup.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def _pairs_beside_a_group(pairs, group):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    rows = [base + rng.normal(size=32) * 0.05 for _ in range(group)]
+    for _ in range(pairs):
+        v = rng.normal(size=32)
+        rows += [v, v + rng.normal(size=32) * 0.3]
+    return np.stack(rows)
+
+
+def test_audit_sees_lone_pairs_beside_a_large_group(spark):
+    rows = _pairs_beside_a_group(60, 60)
+    nodes = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(rows)], "id long, n long, vec binary")
+    missed = spark.createDataFrame([(i, 60) for i in range(60)], "id long, links long")  # the group whole, of the pairs none
+    assert neardup.audit(nodes, missed, 0.9) < 0.9
+
+
+@pytest.mark.parametrize("tables", [1, 8])
+def test_lone_pairs_are_found_beside_a_large_group(spark, monkeypatch, tables):
+    rows = _pairs_beside_a_group(300, 200)
+    if tables == 1:  # buckets that no two vectors share: all pairs are what is left
+        monkeypatch.setattr(neardup, "_buckets", lambda nodes, *_: nodes.selectExpr("id as group", "id", "vec as code").limit(0))
+    got = {r["vec_id"]: r for r in neardup.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"), tables=tables, rounds=1).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = np.triu(unit @ unit.T >= 0.9, 1)
+    assert {i: r["component_id"] for i, r in got.items()} == _components(range(len(rows)), np.argwhere(linked).tolist())
+    assert [got[i]["n_links"] for i in range(len(rows))] == (linked | linked.T).sum(1).tolist()
+
+
+def test_tables_grow_with_the_bits():
+    assert [neardup.tables_for(0.9, b, 8) for b in (0, 6, 12, 15)] == [8, 8, 24, 39]
+
+
 def test_mix(spark, odd, empty, sample):
     got = mixing.mix(odd).collect()
     assert len(got) == 9 and all(r["taken"] <= 2 * r["size"] for r in got)
