@@ -1,8 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
 The terms of a text (runs of letters, case folded, and their stems) are hashed to ``buckets``; the
-machine has a weight and a small vector for each informative bucket, so that beside the
-additive weights it learns what two terms mean together.  It is trained in numpy by
+machine has a weight and a small vector for each bucket of the sample, so that beside the
+additive weights it learns what two terms mean together, even where neither tells
+anything alone; a penalty, the same for rare and common terms, keeps rare ones small.  It is trained in numpy by
 AdaGrad steps on a bounded sample of labelled documents.
 
 Defined results: a null or empty text scores as a text without terms (the bias alone);
@@ -89,7 +90,7 @@ class FactorizationMachine:
         return self.score_terms(terms(raw, self.bits))
 
 
-def _informative(docs: list[np.ndarray], y: np.ndarray, bits: int, most: int, least_df: int) -> np.ndarray:
+def _informative(docs: list[np.ndarray], y: np.ndarray, bits: int, most: int = 4096, least_df: int = 3) -> np.ndarray:
     """Buckets whose share among toxic documents differs most surely from that among the others."""
     pos = np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t] or [np.zeros(0, np.int32)]), minlength=1 << bits).astype(float)
     neg = np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if not t] or [np.zeros(0, np.int32)]), minlength=1 << bits).astype(float)
@@ -101,36 +102,53 @@ def _informative(docs: list[np.ndarray], y: np.ndarray, bits: int, most: int, le
     return np.sort(best[z[best] > 2.0])
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, *, bits: int, rank: int, terms_kept: int, epochs: int, rate: float, l2: float, seed: int) -> FactorizationMachine:
+def train(docs: list[np.ndarray], labels: np.ndarray, *, bits: int, rank: int, epochs: int, rate: float, l2: float, seed: int, terms_kept: int | None = None) -> FactorizationMachine:
+    """Every bucket of ``docs`` gets a weight and a vector; ``terms_kept`` leaves only the most frequent ones.
+
+    Half of the passes are over the buckets that tell something alone, so that the many that
+    do not have only what is left to explain; the other half are over all, in smaller steps.
+    """
     y = np.asarray(labels, np.int8)
     slots = np.full(1 << bits, -1, np.int32)
     if not len(docs):
         return FactorizationMachine(bits, slots, 0.0, np.zeros(0), np.zeros((0, rank)), False)
-    kept = _informative(docs, y, bits, terms_kept, least_df=3)
+    kept, df = np.unique(np.concatenate(docs), return_counts=True)
+    if terms_kept is not None and len(kept) > terms_kept:
+        some = np.sort(np.argsort(-df, kind="stable")[:terms_kept])
+        kept, df = kept[some], df[some]
     slots[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), rank))
-    gw, gv = np.full(len(kept), 1e-6), np.full((len(kept), rank), 1e-6)
+    batch, held = 64, max(1.0, df.sum() / len(docs))
+    early = np.zeros(len(kept), bool)
+    some = slots[_informative(docs, y, bits)]
+    early[some[some >= 0]] = True
+    # The more terms a text has, the smaller the vectors to start from, so that their pairs' sum stays small.
+    w, v = np.zeros(len(kept)), rng.normal(0, 0.02 * min(1, np.sqrt(16 / held)), (len(kept), rank))
+    gw = np.where(early, 1e-6, 10 * held / batch**2)
+    gv = np.repeat(gw[:, None], rank, 1)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     rare = np.sqrt((1 - share) / share)  # the rarer class counts more, by the root of the odds
     bias, gb = float(np.log(share / (1 - share))), 1e-6
-    rows = [s[s >= 0] for s in (slots[d] for d in docs)]
-    batch = 64
-    for _ in range(epochs if len(kept) else 0):
+    # A penalty falls due only in batches that hold the term: the rarer the term, the more of it at once.
+    due = l2 / (1 - (1 - df / len(docs)) ** batch)
+    every = [at[at >= 0] for at in (slots[d] for d in docs)]
+    for rows in [[r[early[r]] for r in every]] * (epochs if early.any() else 0) + [every] * (epochs if len(kept) else 0):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             take = order[lo : lo + batch]
-            at = np.concatenate([rows[i] for i in take])
-            of = np.repeat(np.arange(len(take)), [len(rows[i]) for i in take])
+            n = np.array([len(rows[i]) for i in take])
+            at, of = np.concatenate([rows[i] for i in take]), np.repeat(np.arange(len(take)), n)
             ids, back = np.unique(at, return_inverse=True)
-            x = np.zeros((len(take), len(ids)))
-            x[of, back] = 1
-            s = x @ v[ids]
-            z = bias + x @ w[ids] + 0.5 * (s**2 - x @ v[ids] ** 2).sum(1)
+            own, s = v[at], np.zeros((len(take), rank))
+            if len(at):
+                s[n > 0] = np.add.reduceat(own, (np.cumsum(n) - n)[n > 0])
+            z = bias + np.bincount(of, w[at] - 0.5 * (own**2).sum(1), len(take)) + 0.5 * (s**2).sum(1)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) * np.where(y[take] == 1, rare, 1) / len(take)
             db = g.sum()
-            dw = x.T @ g + l2 * w[ids]
-            dv = x.T @ (g[:, None] * s) - (x.T @ g)[:, None] * v[ids] + l2 * v[ids]
+            sums = np.bincount(back, g[of], len(ids))
+            cross = np.stack([np.bincount(back, (g * s[:, j])[of], len(ids)) for j in range(rank)], 1)
+            dw = sums + due[ids] * w[ids]
+            dv = cross - sums[:, None] * v[ids] + due[ids][:, None] * v[ids]
             gb += db * db
             bias -= rate * db / np.sqrt(gb)
             gw[ids] += dw * dw
@@ -140,7 +158,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, bits: int, rank: int, t
     return FactorizationMachine(bits, slots, bias, w, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", where: Column | None = None, per_class: int = 12_000, bits: int = 18, rank: int = 8, terms_kept: int = 4096, epochs: int = 16, rate: float = 0.1, l2: float = 5e-4, seed: int = 11) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", where: Column | None = None, per_class: int = 12_000, bits: int = 18, rank: int = 8, epochs: int = 16, rate: float = 0.1, l2: float = 5e-4, seed: int = 11) -> FactorizationMachine:
     """Fit on at most about ``per_class`` labelled documents of each class, drawn by a hash of the id.
 
     The bound holds whatever the corpus; only term buckets of the sampled documents reach the driver.
@@ -150,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), (F.lit(True) if where is None else where).alias("ok")).where("ok and y is not null and id is not null").groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not sizes:
-        return train([], np.zeros(0), bits=bits, rank=rank, terms_kept=terms_kept, epochs=epochs, rate=rate, l2=l2, seed=seed)
+        return train([], np.zeros(0), bits=bits, rank=rank, epochs=epochs, rate=rate, l2=l2, seed=seed)
     # One share for both classes, so that the sample keeps the corpus's odds.
     share = min(1.0, 2 * per_class / sum(sizes.values()))
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
@@ -166,14 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     ids, y, lists = table["id"].to_pylist(), table["y"].to_numpy(), table["terms"].combine_chunks()
     flat, o = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
     order = sorted(range(len(ids)), key=lambda i: (crc32(ids[i].encode()), ids[i], flat[o[i] : o[i + 1]].tobytes()))
-    return train([flat[o[i] : o[i + 1]] for i in order], y[order], bits=bits, rank=rank, terms_kept=terms_kept, epochs=epochs, rate=rate, l2=l2, seed=seed)
+    return train([flat[o[i] : o[i + 1]] for i in order], y[order], bits=bits, rank=rank, epochs=epochs, rate=rate, l2=l2, seed=seed)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", keep: list[str], output: str = "score") -> DataFrame:
     """``keep`` columns of ``docs`` with the score of every whole text."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2^bits slots and terms_kept vectors
+    shared = spark.sparkContext.broadcast(model)  # 2^bits slots and at most as many vectors
     if output in keep:
         raise ValueError(f"column {output} is there already; give another name")
     inner = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))

@@ -56,6 +56,18 @@ def test_machine_learns_a_pair_that_single_weights_miss():
     assert np.mean([(m.score_terms(d) >= 0.5) == t for d, t in zip(docs, y, strict=True)]) > 0.9
 
 
+def test_machine_learns_a_pair_whose_words_tell_nothing_alone():
+    words = [toxicity.terms(np.frombuffer(w.encode(), np.uint8), 12) for w in ("awful", "people", "weather", "kind")]
+    docs, y = [], []
+    for k in range(1600):  # every combination equally often: no word is commoner in either class
+        some = [w for j, w in enumerate(words) if k >> j & 1]
+        docs.append(np.unique(np.concatenate(some or [np.zeros(0, np.int32)])))
+        y.append((k & 1) == (k >> 1 & 1))
+    m = toxicity.train(docs, np.array(y), bits=12, rank=8, epochs=60, rate=0.1, l2=1e-5, seed=1)
+    assert np.mean([(m.score_terms(d) >= 0.5) == t for d, t in zip(docs, y, strict=True)]) > 0.9
+    assert len(m.weights) == len(np.unique(np.concatenate(words)))
+
+
 def test_toxicity(spark, sample, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
