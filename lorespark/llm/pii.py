@@ -7,16 +7,21 @@ finds are the seeds.  ``score_patterns`` then lets scores flow over the graph of
 and instances: a pattern is as sure as the mean score of its distinct instances, an
 instance as sure as its patterns together, seeds staying at 1 for their kind.  Patterns
 that end sure enough and rest on enough distinct seeds mark the tokens that no base
-pattern finds.
+pattern finds.  Tokens without digit or at sign are candidates too: those that stand in a
+context that enough distinct seeds induced are looked up in a further pass, and marked by
+patterns that are sure among all tokens, not only among identifier-like ones.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points,
-ends exclusive; equal rows (same id, same text) get equal spans; tokens of over 128 code
-points are never discovered ones (base spans of any length are).
+ends exclusive; equal rows (same id, same text) get equal spans; tokens and base spans may
+be of any length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +40,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-_TOKEN = 128
+#: Longer instances are named by a digest; bits of the filter that contexts are looked up in.
+_TOKEN, _BITS = 128, 1 << 24
 #: Documents with discovered spans up to which they are sent to all tasks.
 FEW = 20_000
 _EDGE = "\"'<>()[]{}.,;:!?*|"
@@ -91,15 +97,12 @@ def _tokens(text: str, taken: list[tuple[str, int, int]]):
             done = spans[k][1]
             continue
         a, b = at, at + 1
-        low = max(done, at - _TOKEN)
-        while a > low and not text[a - 1].isspace():
+        while a > done and not text[a - 1].isspace():
             a -= 1
-        high = min(len(text), at + _TOKEN, spans[k][0] if k < len(spans) else len(text))
+        high = spans[k][0] if k < len(spans) else len(text)
         while b < high and not text[b].isspace():
             b += 1
         done = b
-        if b - a >= _TOKEN:
-            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
@@ -108,6 +111,12 @@ def _tokens(text: str, taken: list[tuple[str, int, int]]):
             yield a, b
 
 
+def _instance(token: str) -> str:
+    token = token.lower()
+    return token if len(token) <= _TOKEN else hashlib.sha256(token.encode(errors="surrogatepass")).hexdigest()
+
+
+@lru_cache(1 << 16)
 def _plain(word: str) -> str:
     return re.sub(r"[0-9]", "0", word.lower()).strip("\"'<>()[]{}.,;!?*|")
 
@@ -121,6 +130,69 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return found
 
 
+def _words_in(text: str, wanted):
+    """(start, end, patterns) of the words without digit or at sign, outside base spans, that stand in a context ``wanted`` knows."""
+    spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    plain = [_plain(text[a:b]) for a, b in spans]
+    base = None
+    for i, (a, b) in enumerate(spans):
+        word = text[a:b]
+        if _HINT.search(word):
+            continue
+        if word[0] in _EDGE or word[-1] in _EDGE or i < 2 or i + 1 == len(spans) or a - spans[i - 2][0] > 80 or spans[i + 1][1] - b > 40:
+            while a < b and text[a] in _EDGE:
+                a += 1
+            while b > a and text[b - 1] in _EDGE:
+                b -= 1
+            held = patterns(text, a, b) if b > a else []
+        else:
+            held = [f"L {plain[i - 2]} {plain[i - 1]}", f"B {plain[i - 1]} _ {plain[i + 1]}"]
+        held = [p for p in held if wanted(p)]
+        if held:
+            base = base_spans(text) if base is None else base
+            if not any(x < b and a < y for _, x, y in base):
+                yield a, b, held
+
+
+def contexts(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, key, start, end, instance, pattern): words that are no identifiers by their look, in the contexts ``known`` (pattern).
+
+    A filter of fixed size goes to the tasks; what it lets through by chance is dropped by a join.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    place = F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(_BITS)) + 1
+    parts = known.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bits = bytearray(_BITS // 8)
+    for r in parts:
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
+    shared = spark.sparkContext.broadcast(bytes(bits))
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("start int, end int, instance string, pattern string").fields])
+
+    def run(batches):
+        filter_, crc = shared.value, zlib.crc32
+
+        def wanted(pattern):
+            at = crc(pattern.encode(errors="surrogatepass")) % _BITS
+            return filter_[at >> 3] >> (at & 7) & 1
+
+        for batch in batches:
+            of, out = [], ([], [], [], [])
+            for i, text in enumerate(batch.column(2)):
+                text = text.as_py() or ""
+                for a, b, held in _words_in(text, wanted):
+                    for p in held:
+                        of.append(i)
+                        for column, value in zip(out, (a, b, _instance(text[a:b]), p), strict=True):
+                            column.append(value)
+            take = pa.array(of, pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], schema.names)
+
+    return rows.mapInArrow(run, schema).join(known.select("pattern").distinct(), "pattern", "left_semi")
+
+
 _OCCURRENCE = "array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>>"
 
 
@@ -142,15 +214,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
                 held = []
                 if with_contexts and (base or _HINT.search(text)):
                     held = [(k, a, b) for k, a, b in base] + [(None, a, b) for a, b in _tokens(text, base)]
-                seen.append([{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": patterns(text, a, b)} for k, a, b in held])
+                seen.append([{"kind": k, "start": a, "end": b, "instance": _instance(text[a:b]), "patterns": patterns(text, a, b)} for k, a, b in held])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, span_type), pa.array(seen, occurrence_type)], [id_col, "key", "base", "occurrences"])
 
     return rows.mapInArrow(run, schema)
 
 
-def score_patterns(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.0) -> DataFrame:
+def occurrences(scanned: DataFrame) -> DataFrame:
+    """(pattern, instance, seed) of the scanned tokens."""
+    return scanned.select(F.explode("occurrences").alias("o")).select(F.explode("o.patterns").alias("pattern"), F.col("o.instance").alias("instance"), F.col("o.kind").alias("seed"))
+
+
+def score_patterns(seen: DataFrame, *, rounds: int = 3, smoothing: float = 1.0) -> DataFrame:
     """(pattern, kind, seeds, confidence) after ``rounds`` of scoring over the pattern-instance graph."""
-    seen = scanned.select(F.explode("occurrences").alias("o")).select(F.explode("o.patterns").alias("pattern"), F.col("o.instance").alias("instance"), F.col("o.kind").alias("seed"))
     # One row for each edge: what a hot pattern or a copied text repeats is gone before any join.
     edges = Table(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     sizes = edges.df.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -174,10 +250,23 @@ def score_patterns(scanned: DataFrame, *, rounds: int = 3, smoothing: float = 1.
     return result
 
 
-def discover(scanned: DataFrame, *, id_col: str = "doc_id", rounds: int = 3, least_confidence: float = 0.8, least_seeds: int = 5) -> DataFrame:
+def discover(scanned: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_confidence: float = 0.8, least_seeds: int = 5) -> DataFrame:
     """(id_col, key, found): spans that sure patterns mark beside the base ones."""
-    sure = score_patterns(scanned, rounds=rounds).where((F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_seeds))
-    marks = scanned.select(id_col, "key", F.explode("occurrences").alias("o")).where("o.kind is null").select(id_col, "key", "o.start", "o.end", F.explode("o.patterns").alias("pattern")).distinct().join(sure, "pattern")
+    place = [F.col(id_col), "key", "start", "end", "pattern"]
+
+    def sure(seen):
+        return score_patterns(seen, rounds=rounds).where((F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_seeds))
+
+    seen = occurrences(scanned)
+    marks = scanned.select(id_col, "key", F.explode("occurrences").alias("o")).where("o.kind is null").select(id_col, "key", "o.start", "o.end", F.explode("o.patterns").alias("pattern")).distinct().join(sure(seen), "pattern")
+    # Patterns of fewer seeds cannot mark anything.
+    able = Table(seen.where("seed is not null").groupBy("pattern", "seed").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= least_seeds).select("pattern").distinct(), "pii-able").df
+    if able.limit(1).count():
+        words = contexts(docs, able, id_col=id_col, text_col=text_col).select("pattern", "instance", F.lit(None).cast("string").alias("seed"))
+        surer = Table(sure(seen.join(able, "pattern", "left_semi").unionByName(words)), "pii-sure").df
+        if surer.limit(1).count():
+            more = contexts(docs, surer.select("pattern"), id_col=id_col, text_col=text_col).select(*place).distinct().join(surer, "pattern")
+            marks = marks.unionByName(more)
     best = marks.groupBy(id_col, "key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     return best.groupBy(id_col, "key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
 
@@ -185,7 +274,7 @@ def discover(scanned: DataFrame, *, id_col: str = "doc_id", rounds: int = 3, lea
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """(id_col, key, base, found) for every row of ``docs``."""
     scanned = Table(scan(docs, id_col=id_col, text_col=text_col), "pii-scan").df
-    found = discover(scanned, id_col=id_col, **limits)
+    found = discover(scanned, docs, id_col=id_col, text_col=text_col, **limits)
     return scanned.alias("s").join(found.alias("f"), F.col(f"s.{id_col}").eqNullSafe(F.col(f"f.{id_col}")) & (F.col("s.key") == F.col("f.key")), "left").select(f"s.{id_col}", "s.key", "s.base", F.coalesce("f.found", F.array().cast(SPAN)).alias("found"))
 
 
@@ -208,7 +297,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     spark = docs.sparkSession
     ship(spark)
     scanned = Table(scan(docs, id_col=id_col, text_col=text_col), "pii-scan").df
-    found = Table(discover(scanned, id_col=id_col, **limits).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("found").alias("__found")), "pii-found").df
+    found = Table(discover(scanned, docs, id_col=id_col, text_col=text_col, **limits).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("found").alias("__found")), "pii-found").df
     # Few documents have such spans as a rule; so few that all tasks may hold them, texts stay where they are.
     if found.limit(FEW + 1).count() <= FEW:
         found = F.broadcast(found)

@@ -189,6 +189,18 @@ def test_contexts_find_what_patterns_miss(spark, odd, empty):
     assert [r["text"] for r in pii.redact(odd.where("doc_id in (1, 8)")).collect()].count("mail <email> now, call <phone> é") == 2
 
 
+def test_contexts_find_tokens_without_digit_or_sign_and_of_any_length(spark):
+    long = "anna" + "(dot)anna" * 30 + "7(at)mail.example.com"
+    missed = ["anna(at)mail.example.com", "anna[at]mail[dot]org", long]
+    rows = [(i, f"please write to user{i}@mail.example.com now") for i in range(60)] + [(100 + i, f"please write to {t} now") for i, t in enumerate(missed)] + [(200, "we saw seven birds today")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in pii.find(df).collect()}
+    assert [[(s["kind"], s["start"], s["end"]) for s in got[100 + i]] for i in range(3)] == [[("email", 16, 16 + len(t))] for t in missed]
+    assert all(not s for i, s in got.items() if i < 100 or i == 200)
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert {red[100 + i] for i in range(3)} == {"please write to <email> now"} and red[200] == rows[-1][1]
+
+
 def test_licences(spark, odd, empty):
     mit = licences.TEXTS["MIT"]
     rows = [(1, "Copyright (c) 2020 A. Body\n\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "text\nReleased under the MIT Licence!\nmore"), (3, None), (4, mit + " and more")]
