@@ -102,18 +102,31 @@ def order_chain(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("child"), parent.alias("parent"))
 
 
-def depths(edges: DataFrame, most: int = 64) -> DataFrame:
+def depths(edges: DataFrame) -> DataFrame:
     """(child, root, depth) of a forest, by pointer doubling: the rounds grow with the logarithm of the depth.
 
-    Nodes on or below a cycle have no root and are left out.
+    Nodes on or below a cycle have no root and are left out: they are what is left once a
+    round brings no further node to its root.  Every round ends in a table.
     """
-    now = edges.select("child", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent", "child").alias("root"))
-    steps = max(1, (most - 1).bit_length())
-    for _ in range(steps):
+    spark = edges.sparkSession
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lorespark"
+    root = f"{home.rstrip('/')}/depths-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, step: int) -> DataFrame:
+        df.write.parquet(f"{root}/{step}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{step}")
+
+    now = kept(edges.select("child", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "child").alias("root")), 0)
+    step, left = 0, now.where("up is not null").count()
+    while left:
+        step += 1
         above = now.select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
         met = now.join(above, "up", "left")
-        now = met.select("child", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
-    return now.where("up is null").select("child", "root", F.col("depth").cast("long").alias("depth"))
+        now = kept(met.select("child", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")), step)
+        before, left = left, now.where("up is not null").count()
+        if left == before:
+            break  # a path of any length to a root gets some node there each round; only cycles are left
+    return now.where("up is null").select("child", "root", "depth")
 
 
 _CHAIN_SQL = "(SELECT o_orderkey AS child, CASE WHEN o_orderkey % 11 <> 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS parent FROM orders)"

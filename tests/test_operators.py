@@ -21,6 +21,11 @@ def test_depths_of_a_chain_and_of_a_cycle(spark):
     assert got == {i: (0, i) for i in range(50)}
 
 
+def test_depths_of_a_chain_of_any_length_beside_a_cycle(spark):
+    edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 7) for i in range(7)], "child long, parent long")
+    assert {r["child"]: (r["root"], r["depth"]) for r in graph.depths(edges).collect()} == {i: (0, i) for i in range(300)}
+
+
 def test_urls_normalise_once(spark):
     urls = ["HTTP://Example.com:80/a//b?z=1&a=2#f", "https://x.org", "https://x.org:8443/p?q"]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(web.normalize(F.col("url")).alias("url"))
