@@ -19,7 +19,10 @@ bound the difference from below as well).  So a group of many copies costs its s
 its square, and no link that could join two components goes unverified.
 
 Defined results: null and empty texts have no shingle and link with nothing; fewer words
-than a shingle's make one shingle of the whole sequence; repeated rows are one class.
+than a shingle's make one shingle of the whole sequence; repeated rows are one class; ids
+need not be distinct or known (a null id is in a component whose id is the smallest of the
+others, and null if there is no other); texts may have any length; columns other than id
+and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,19 +178,24 @@ def kept_keys(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
     return mix(mix(sketch[order] + _scheme(band)) + (order.astype(np.uint64) + np.uint64(1)) * _MIX1)
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    """16 bytes that name a set; the first eight are its head, by which blobs know it."""
+    return int(np.bitwise_xor.reduce(mix(s ^ _MIX1))).to_bytes(8, "big") + np.add.reduce(mix(s ^ _MIX2)).tobytes()
+
+
 #: Keys gathered in a task before they leave it.
 KEYS = 500_000
-_SKETCHED = "bucket int, id long, n long, digest binary, blob binary"
+_SKETCHED = "bucket int, id long, key long, n long, digest binary, blob binary"
 
 
 def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: (id, n, digest) of a document, with no bucket; and blobs of the join keys of many, by bucket.
+    """Rows of two kinds: (id, key, n, digest) of a document, with no bucket, key being a hash of its text; and blobs of the join keys of many, by bucket.
 
     A blob holds 48 bits of each key, the place of its set and band in a table, and that table: 64 bits of each set's digest, then each band.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    names = ["bucket", "id", "n", "digest", "blob"]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    names = ["bucket", "id", "key", "n", "digest", "blob"]
 
     def blobs(keys: list[np.ndarray], sets: list[int], of_band: list[int]):
         k = np.concatenate(keys)
@@ -203,7 +211,7 @@ def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col:
             low = k[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             out.append(np.uint32(hi - lo).tobytes() + low + place.astype(np.uint16).tobytes() + heads[used].tobytes() + in_band[used].tobytes())
         n = len(out)
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(out, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(out, pa.binary())], names)
 
     def run(batches):
         schemes: dict[int, tuple[int, ...]] = {}
@@ -211,14 +219,14 @@ def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col:
         held = 0
         for batch in batches:
             n, digest = [], []
-            for raw in utf8(batch.column(1)):
+            for raw in utf8(batch.column(2)):
                 s = shingles(raw, rule.words)
                 n.append(len(s))
                 if not len(s):
                     digest.append(None)
                     continue
-                head = int(np.bitwise_xor.reduce(mix(s ^ _MIX1)))
-                digest.append(head.to_bytes(8, "big") + np.add.reduce(mix(s ^ _MIX2)).tobytes())
+                digest.append(digest_of(s))
+                head = int.from_bytes(digest[-1][:8], "big")
                 if head in sent:  # an equal set's keys have left this task
                     continue
                 sent.add(head)
@@ -234,7 +242,7 @@ def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col:
                     yield blobs(keys, sets, bands)
                     keys, sets, bands, held = [], [], [], 0
             m = len(n)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(m, pa.binary())], names)
             if len(sent) > 1_000_000:
                 sent.clear()
         if keys:
@@ -296,12 +304,23 @@ def _meet(blobs: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(digest, s) of the texts, each set once a task."""
+
     def run(batches):
+        sent: set[bytes] = set()
         for batch in batches:
-            got = [shingles(raw, rule.words).tobytes() for raw in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["id", "s"])
+            names, got = [], []
+            for raw in utf8(batch.column(0)):
+                s = shingles(raw, rule.words)
+                if len(s) and (name := digest_of(s)) not in sent:
+                    sent.add(name)
+                    names.append(name)
+                    got.append(s.tobytes())
+            if len(sent) > 1_000_000:
+                sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(got, pa.binary())], ["digest", "s"])
 
-    return texts.mapInArrow(run, "id long, s binary")
+    return texts.mapInArrow(run, "digest binary, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -333,32 +352,39 @@ def _links(verified: DataFrame, rule: Rule) -> Column:
 def cluster(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, class_id, component_id) for each row of ``docs``.
 
-    The class is the smallest id with an equal set, the component the smallest id reachable by links.
+    The class is the smallest id with an equal set, the component the smallest id reachable by
+    links.  Rows of one id and different texts link each by its own text.
     """
-    rule = rule or Rule()
+    own = _grouped(docs, rule or Rule(), id_col, text_col)
+    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n, class_id, component_id, group) of each row; the group, null without a shingle, tells components apart that have one id in common."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(4 * partitions, 1 << 15)
-    spark = docs.sparkSession
     sketched = Table(sketch(docs, rule, buckets, id_col=id_col, text_col=text_col), "jac-sketched")
-    sketches = Table(sketched.df.where("bucket is null").select("id", "n", "digest"), "jac-sets").df
-    classes = Table(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")), "jac-classes")
+    sketches = Table(sketched.df.where("bucket is null").select("id", "key", "n", "digest"), "jac-sets").df
+    # A class is an equal set; its name is its row in this table, so that no two classes share one whatever their ids.
+    classes = Table(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")).withColumn("name", F.monotonically_increasing_id()), "jac-classes")
     # The digest's first eight bytes, as the number that blobs hold.
-    heads = classes.df.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head"), "class_id")
+    heads = classes.df.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head"), "name")
     met = Table(_meet(sketched.df.where("bucket is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket")), "jac-met")
     sketched.drop()
-    release(spark)
     least = F.element_at(F.array(*[F.lit(rule.parts(b)[2]) for b in range(rule.band(1 << 40))]), F.col("band") + 1)
     able = met.df.groupBy("head", "band").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("head", "band")
-    shared = Table(met.df.join(able, ["head", "band"]).join(heads, "head").select("key", F.col("class_id").alias("id")), "jac-shared")
+    shared = Table(met.df.join(able, ["head", "band"]).join(heads, "head").select("key", F.col("name").alias("id")), "jac-shared")
     met.drop()
-    release(spark)
-    # First, each class against the smallest that it shares a key with.
-    groups = shared.df.groupBy("key").agg(F.min("id").alias("a"))
-    star = shared.df.join(groups, "key").where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    first = Table(star, "jac-star")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shared.df.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").join(shared.df, "key").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sets = Table(_sets(texts, rule), "jac-kept")
-    release(spark)
+    # First, each class against the first that it shares a key with.
+    groups = shared.df.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
+    members = shared.df.join(groups, "key")
+    first = Table(members.where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "jac-star")
+    wanted = Table(members.select(F.col("id").alias("name")).distinct().join(classes.df, "name"), "jac-wanted")
+    asked = wanted.df.select(F.col("class_id").alias("__asked")).distinct()
+    texts = docs.join(asked, F.col(id_col).cast("long").eqNullSafe(F.col("__asked")), "left_semi").select(text_col)
+    sets = Table(_sets(texts, rule).dropDuplicates(["digest"]).join(wanted.df, "digest").select(F.col("name").alias("id"), "s"), "jac-kept")
+    wanted.drop()
+    release(docs.sparkSession)
     done = Table(_verified(first.df, sets.df, rule), "jac-verified")
     first.drop()
     links = done.df.where(_links(done.df, rule)).select("a", "b")
@@ -370,9 +396,12 @@ def cluster(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id"
     more = second.df.where(_links(second.df, rule)).select("a", "b")
     if more.limit(1).count():
         names = components(links.unionByName(more))
-    full = classes.df.join(names, F.col("class_id") == F.col("id"), "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sketches.join(full, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    done.drop()
+    second.drop()
+    linked = classes.df.join(names.withColumnRenamed("id", "name"), "name", "left").select("digest", "class_id", F.coalesce("component", "name").alias("group"))
+    smallest = linked.groupBy("group").agg(F.min("class_id").alias("component_id"))
+    full = Table(linked.join(smallest, "group"), "jac-named").df
+    return sketches.join(full, "digest", "left").select("id", "key", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), "group")
 
 
 #: Bits of a folded sketch for each shingle of the larger set in a group; unrelated sets then differ in over twice what linked ones may.
@@ -442,10 +471,19 @@ def _pairs(held: list[tuple], rule: Rule):
 
 
 def keep_first(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that link, directly or not, to a document of a smaller id; of rows with one id, one stays."""
-    groups = cluster(docs, rule, id_col=id_col, text_col=text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    # Texts are only brought together by id where an id does come twice.
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if twice else kept
+    """``docs`` with one row of each component: the one of the smallest id (null comes last), of rows with that id the one whose text has the smallest hash.
+
+    Rows equal in id and text count as copies, of which any one stays; rows without a shingle
+    all stay.
+    """
+    own = Table(_grouped(docs, rule or Rule(), id_col, text_col), "jac-rows").df.where("group is not null")
+    place = F.struct(F.col("id").isNull(), F.col("id").alias("__jac_id"), F.col("key").alias("__jac_key"))
+    first = own.groupBy("group").agg(F.min(place).alias("first"))
+    gone = own.join(first, "group").where(~(F.col("first.__jac_id").eqNullSafe(F.col("id")) & (F.col("first.__jac_key") == F.col("key")))).select(F.col("id").alias("__jac_id"), F.col("key").alias("__jac_key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__jac_id")) & (F.xxhash64(text_col) == F.col("__jac_key"))
+    kept = docs.join(gone, same, "left_anti")
+    # Texts are only brought together where a row that stays does come twice.
+    twice = Table(own.groupBy(F.col("id").alias("__jac_id"), F.col("key").alias("__jac_key")).agg(F.count("*").alias("n")).where("n > 1").select("__jac_id", "__jac_key"), "jac-twice").df
+    if not twice.limit(1).count():
+        return kept
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
