@@ -9,8 +9,9 @@ seeded place; its quota of blocks is what it gives.  What a document gives follo
 where it lies, so no block is ever a row.
 
 Defined results: a null text has size 0; the null source is a source, last in order;
-ties of quotients go to the earlier source or shard; repeated rows are documents of their
-own; with no words at all every target and every quantity is 0.
+ties of quotients go to the earlier source or shard; repeated rows, ids and null ids are
+documents of their own; with no words at all every target and every quantity is 0; a text
+may have any length; columns named like the results only clash if they are the id.
 """
 
 from __future__ import annotations
@@ -69,15 +70,20 @@ def sainte_lague(items: DataFrame, group: list[str], order: list[str], amount: s
     return w.join(won, [*group, *order], "left").select(*items.columns, (F.col("__low") + F.coalesce("__won", F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, block: int = 8, shard_words: int = 4_000_000, shard_rows: int = 200_000, seed: int = 17) -> DataFrame:
+def _source_key(source_col: str) -> Column:
+    """Never null, so that it joins and groups like any other key."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_keys: bool = False, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, block: int = 8, shard_words: int = 4_000_000, shard_rows: int = 200_000, seed: int = 17) -> DataFrame:
     """(id_col, size, source_size, target, taken, runs) of each document.
 
-    ``runs`` are the stretches of its words that are taken: first word, and how many.
+    ``runs`` are the stretches of its words that are taken: first word, and how many.  With
+    ``keep_keys``, __sk and __text too: source key and a hash of the text, which tell rows of one id apart.
     """
-    # A source's key: never null, so that it joins and groups like any other.
-    sk = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+    keys = ["__sk", "__text"] if keep_keys else []
     # Texts are read once; everything after works on this narrow table.
-    sized = Table(docs.select(F.col(id_col), F.col(source_col).alias("__source"), sk.alias("__sk"), word_count(F.col(text_col)).alias("size")), "mix-sizes").df
+    sized = Table(docs.select(F.col(id_col), F.col(source_col).alias("__source"), _source_key(source_col).alias("__sk"), word_count(F.col(text_col)).alias("size"), *([F.xxhash64(text_col).alias("__text")] if keep_keys else [])), "mix-sizes").df
     sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     t = targets(sizes, weights, share, most)
     t = t.withColumn("__all", F.lit(0)).withColumn("__blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5)).withColumn("__most", F.floor(most * F.col("source_size") / block))
@@ -91,26 +97,34 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     # A table of its own: its rows meet the documents by source and shard, not by the source alone that their quotas were made by.
     shards = Table(shards.select("__sk", "__shard", "source_size", "target", "shard_size", "quota", "__from"), "mix-shards").df
     line = Window.partitionBy("__sk", "__shard").orderBy(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col(id_col).cast("string"))), id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = placed.select(id_col, "__sk", "__shard", "size").withColumn("__end", F.sum("size").over(line))
+    lined = placed.select(id_col, "__sk", "__shard", "size", *keys[1:]).withColumn("__end", F.sum("size").over(line))
     met = lined.join(shards, ["__sk", "__shard"])
     low, high, start, stop = F.col("__end") - F.col("size"), F.col("__end"), F.col("__from"), F.col("__from") + F.col("quota") * block
     # From a place in the first round, at most ``most`` rounds are read: no later round than this is reached.
     rounds = [(F.greatest(low + r * F.col("shard_size"), start), F.least(high + r * F.col("shard_size"), stop), low + r * F.col("shard_size")) for r in range(most + 1)]
     runs = F.filter(F.array(*[F.struct((a - zero).cast("long").alias("first"), (b - a).cast("long").alias("words")) for a, b, zero in rounds]), lambda s: s["words"] > 0)
     taken = F.aggregate(runs, F.lit(0).cast("long"), lambda acc, s: acc + s["words"])
-    return met.select(id_col, "size", "source_size", "target", taken.alias("taken"), runs.alias("runs"))
+    return met.select(id_col, "size", "source_size", "target", taken.alias("taken"), runs.alias("runs"), *keys)
 
 
-def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: a row of ``docs`` for each run of words taken; a run that isn't the whole text is its words joined by blanks.
 
-    Ids are expected to be distinct (a repeated one is drawn once for each pair of its rows).
+    A row meets its runs by id, text and source; rows equal in all three are numbered, so
+    that each meets its own.
     """
-    runs = mix(docs, id_col=id_col, text_col=text_col, **how).where("taken > 0").select(F.col(id_col).alias("__id"), "size", F.explode("runs").alias("__run"))
+    alike = Window.partitionBy("__mix_id", "__mix_text", "__mix_sk").orderBy("__mix_id")
+    runs = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_keys=True, **how)
+    runs = runs.select(F.col(id_col).alias("__mix_id"), F.col("__text").alias("__mix_text"), F.col("__sk").alias("__mix_sk"), F.col("size").alias("__mix_size"), F.col("runs").alias("__mix_runs")).withColumn("__mix_k", F.row_number().over(alike))
+    runs = runs.where(F.size("__mix_runs") > 0).select("__mix_id", "__mix_text", "__mix_sk", "__mix_k", "__mix_size", F.explode("__mix_runs").alias("__mix_run"))
+    keyed = docs.select("*", F.col(id_col).alias("__mix_id"), F.xxhash64(text_col).alias("__mix_text"), _source_key(source_col).alias("__mix_sk")).withColumn("__mix_k", F.row_number().over(alike))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    text = F.when(F.col("__run.words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, (F.col("__run.first") + 1).cast("int"), F.col("__run.words").cast("int")), " "))
-    met = docs.join(runs, F.col(id_col).eqNullSafe(F.col("__id")))
-    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    some = F.array_join(F.slice(words, (F.col("__mix_run.first") + 1).cast("int"), F.col("__mix_run.words").cast("int")), " ")
+    text = F.when(F.col("__mix_run.words") == F.col("__mix_size"), F.col(text_col)).otherwise(some)
+    d, r = keyed.alias("d"), runs.alias("r")
+    same = [F.col(f"d.{c}") == F.col(f"r.{c}") for c in ("__mix_text", "__mix_sk", "__mix_k")]
+    met = d.join(r, F.col("d.__mix_id").eqNullSafe(F.col("r.__mix_id")) & same[0] & same[1] & same[2])
+    return met.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
