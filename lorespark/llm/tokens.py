@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -42,5 +43,35 @@ def encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space of the pattern above in a run that the pattern's engine would have to back out of step by step.
+_LONG_BLANK = re.compile(r"[^\S\x1c-\x1f]{5000,}")
+
+
+def long_blanks(text: str, special: tuple[str, ...] = ()) -> list[tuple[int, int]]:
+    """Long runs of white space that are one pre-token: all of a run that ends the text or stands before a special token, else all but its last character, which may belong to what follows."""
+    found = [m.span() for m in _LONG_BLANK.finditer(text)]
+    return [(a, b if b == len(text) or (special and text.startswith(special, b)) else b - 1) for a, b in found]
+
+
+def _pieces(text: str, path: str, special: bool) -> list[int]:
+    enc = encoding(path)
+
+    def plain(part: str) -> list[int]:
+        return enc.encode(part, allowed_special="all", disallowed_special=()) if special else enc.encode_ordinary(part)
+
+    ids: list[int] = []
+    at = 0
+    for a, b in long_blanks(text, tuple(enc.special_tokens_set) if special else ()):
+        ids += plain(text[at:a])
+        ids += enc._encode_single_piece(text[a:b])
+        at = b
+    return ids + plain(text[at:]) if at else plain(text)
+
+
 def encode(text: str, path: str) -> np.ndarray:
-    return np.asarray(encoding(path).encode(text, allowed_special="all", disallowed_special=()), np.uint32)
+    return np.asarray(_pieces(text, path, True), np.uint32)
+
+
+def count_plain(text: str, path: str) -> int:
+    """How many tokens a text has whose special tokens' strings are ordinary text."""
+    return len(_pieces(text, path, False))

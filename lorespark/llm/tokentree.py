@@ -4,7 +4,9 @@ A document's pre-tokens are kept in leaves of about ``LEAF`` pre-tokens under a
 tree of characters and tokens.  An edit re-reads its leaves and one of context before
 them, and goes on to the right only until a pre-token ends where a leaf of the old text
 began: from there on, the old leaves hold.  Only the new leaves are encoded, and only the
-sums above them change.
+sums above them change.  ``grow`` makes the trees of a corpus as rows that may be written
+and read back; ``edit`` applies a batch of edits to such rows and gives such rows, so that
+version after version only what an edit touches is encoded again.
 
 Defined results: a null text counts as empty (no token); special tokens' strings are
 ordinary text; edits apply one after another, each to the text that the one before left;
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
 from .common import ship
@@ -54,10 +57,18 @@ def leaf_ends(text: str, start: int, stop: int) -> list[int]:
 
 
 class TokenTree:
-    def __init__(self, text: str, path: str):
-        self.count_text = lambda part: len(tokens.encoding(path).encode_ordinary(part))
+    def __init__(self, text: str, path: str, leaves: list[tuple[int, int]] | None = None):
+        """A tree of the text; of ``leaves`` (characters, tokens) that it had before, if given."""
+        self.count_text = lambda part: tokens.count_plain(part, path)
         self.text, self.encoded = text, 0
-        self._build()
+        if leaves is None:
+            self._build()
+        else:
+            self._lay(leaves)
+
+    def leaves(self) -> list[tuple[int, int]]:
+        some = slice(self.size, self.size + self.n)
+        return [(c, t) for c, t in zip(self.chars[some].tolist(), self.toks[some].tolist(), strict=True) if c]
 
     def _build(self) -> None:
         ends = leaf_ends(self.text, 0, len(self.text))
@@ -152,12 +163,69 @@ class TokenTree:
                 k //= 2
 
 
+_TREE = "text string, leaf_chars array<long>, leaf_tokens array<long>, n_leaves long, n_tokens long, n_chars long, n_edits long, encoded long"
+
+
+def _rows(first: pa.Array, trees: list[TokenTree], edits: list[int], names: list[str]) -> pa.RecordBatch:
+    leaves = [t.leaves() for t in trees]
+    lists = [pa.array([[x[k] for x in own] for own in leaves], pa.list_(pa.int64())) for k in (0, 1)]
+    numbers = [[len(own) for own in leaves], [t.total for t in trees], [len(t.text) for t in trees], edits, [t.encoded for t in trees]]
+    return pa.RecordBatch.from_arrays([first, pa.array([t.text for t in trees], pa.string()), *lists, *[pa.array(n, pa.int64()) for n in numbers]], names)
+
+
+def _schema(docs: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([docs.schema[id_col], *T._parse_datatype_string(_TREE).fields])
+
+
+#: Trees held at once in a task.
+HELD = 500
+
+
+def grow(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """The tree of each document: id_col, text, its leaves' characters and tokens, and their sums; ``encoded`` characters are the whole text."""
+    ship(docs.sparkSession)
+    schema = _schema(docs, id_col)
+
+    def run(batches):
+        path = tokenizer or tokens.default_path()
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                some = batch.slice(at, HELD)
+                trees = [TokenTree(text.as_py() or "", path) for text in some.column(1)]
+                yield _rows(some.column(0), trees, [0] * len(trees), schema.names)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def edit(trees: DataFrame, *, id_col: str = "doc_id", edits_col: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """Rows of ``grow`` (or of ``edit``) with a column of edits, after these: rows of the same kind; ``encoded`` are the characters encoded again."""
+    ship(trees.sparkSession)
+    schema = _schema(trees, id_col)
+
+    def run(batches):
+        path = tokenizer or tokens.default_path()
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                some = batch.slice(at, HELD)
+                after, n = [], []
+                for text, chars, toks, edits in zip(*(some.column(k) for k in range(1, 5)), strict=True):
+                    tree = TokenTree(text.as_py() or "", path, list(zip(chars.as_py(), toks.as_py(), strict=True)))
+                    edits = edits.as_py() or []
+                    for e in edits:
+                        tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
+                    after.append(tree)
+                    n.append(len(edits))
+                yield _rows(some.column(0), after, n, schema.names)
+
+    return trees.select(id_col, "text", "leaf_chars", "leaf_tokens", F.col(edits_col).cast(EDITS).alias("edits")).mapInArrow(run, schema)
+
+
 def count_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", tokenizer: str | None = None) -> DataFrame:
-    """(id_col, n_leaves, n_tokens, n_edits, n_tokens_edited, n_chars_edited, encoded_again) of each document."""
+    """(id_col, n_leaves, n_tokens, n_edits, n_tokens_edited, n_chars_edited, encoded_again) of each document: its tree grown, edited and given up."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), F.col(edits_col).cast(EDITS).alias("__edits"))
     names = ["n_leaves", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "encoded_again"]
-    kind = docs.schema[id_col].dataType.simpleString()
+    schema = T.StructType([docs.schema[id_col], *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches):
         path = tokenizer or tokens.default_path()
@@ -170,6 +238,6 @@ def count_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 for e in edits:
                     tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
                 out.append((leaves, before, len(edits), tree.total, len(tree.text), tree.encoded - first))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], pa.int64()) for k in range(6)]], [id_col, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], pa.int64()) for k in range(6)]], schema.names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, schema)
