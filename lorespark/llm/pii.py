@@ -2,18 +2,22 @@
 
 ``scan`` finds the four base kinds in whole texts and, beside them, every other token
 that could be an identifier (it holds a digit or an at sign), each with the lexical
-patterns around it: the two words before, and the word before with the word after.  Base
-finds are the seeds.  ``score_patterns`` then lets scores flow over the graph of patterns
-and instances: a pattern is as sure as the mean score of its distinct instances, an
-instance as sure as its patterns together, seeds staying at 1 for their kind.  Patterns
-that end sure enough and rest on enough distinct seeds mark the tokens that no base
-pattern finds.  Tokens without digit or at sign are candidates too: those that stand in a
-context that enough distinct seeds induced are looked up in a further pass, and marked by
-patterns that are sure among all tokens, not only among identifier-like ones.
+patterns around it: the two words before, the word before with the word after, and, as
+the pattern to back off to, the word before alone.  Base finds are the seeds; tokens that
+look like a key or a digest are seeds of a kind of their own, ``secret``, which have to
+stand in a sure context to be marked.  ``score_patterns`` then lets scores flow over the
+graph of patterns and instances: a pattern is as sure as the mean score of its distinct
+instances, an instance as sure as its patterns together, seeds staying at 1 for their
+kind.  Patterns that end sure enough and rest on enough distinct seeds mark the tokens
+that no base pattern finds.  Tokens without digit or at sign are candidates too: those
+that stand in a context that is sure among identifier-like ones are looked up in a
+further pass, and marked by patterns that stay sure when all tokens count.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points,
-ends exclusive; equal rows (same id, same text) get equal spans; tokens and base spans may
-be of any length.
+ends exclusive; equal rows (same id, same text) get equal spans; tokens, contexts and base
+spans may be of any length; an instance or a word of a context longer than 128 code
+points is known by its digest; columns other than id and text are not read by ``find``
+and carried as they are by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import types as T
 from .common import Table, ship
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of discovered spans: the base ones and what only contexts can tell.
+FOUND = (*KINDS, "secret")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -40,10 +46,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-#: Longer instances are named by a digest; bits of the filter that contexts are looked up in.
+#: Longer instances and words of contexts are named by a digest; bits of the filter that contexts are looked up in.
 _TOKEN, _BITS = 128, 1 << 24
-#: Documents with discovered spans up to which they are sent to all tasks.
-FEW = 20_000
+#: What keys and digests look like: long hexadecimal runs, issuers' prefixes, long mixes of small and capital letters and digits.
+_SECRET = re.compile(r"(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[\w-]+\.[\w-]+\.[\w-]*|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[0-9A-Za-z+/_-]{32,}={0,2})\Z")
 _EDGE = "\"'<>()[]{}.,;:!?*|"
 
 
@@ -111,23 +117,43 @@ def _tokens(text: str, taken: list[tuple[str, int, int]]):
             yield a, b
 
 
+def _short(word: str) -> str:
+    return word if len(word) <= _TOKEN else hashlib.sha256(word.encode(errors="surrogatepass")).hexdigest()
+
+
 def _instance(token: str) -> str:
-    token = token.lower()
-    return token if len(token) <= _TOKEN else hashlib.sha256(token.encode(errors="surrogatepass")).hexdigest()
+    return _short(token.lower())
 
 
 @lru_cache(1 << 16)
 def _plain(word: str) -> str:
-    return re.sub(r"[0-9]", "0", word.lower()).strip("\"'<>()[]{}.,;!?*|")
+    return _short(re.sub(r"[0-9]", "0", word.lower()).strip("\"'<>()[]{}.,;!?*|"))
+
+
+def _before(text: str, start: int) -> list[str]:
+    """The last two words before a place, whole."""
+    reach = 80
+    while True:
+        low = max(0, start - reach)
+        words = _WORD.findall(text[low:start])
+        # The first one may be cut off unless the text begins there or white space does.
+        if low == 0 or len(words) > 2 or (len(words) == 2 and text[low].isspace()):
+            return words[-2:]
+        reach *= 8
+
+
+def _contexts(before: list[str], after: str | None) -> list[str]:
+    found = [f"L {before[0]} {before[1]}"] if len(before) == 2 else []
+    if before and after is not None:
+        found.append(f"B {before[-1]} _ {after}")
+    if before:
+        found.append(f"P {before[-1]}")
+    return found
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    before = [_plain(w) for w in _WORD.findall(text[max(0, start - 80) : start])[-2:]]
-    after = _WORD.search(text[end : end + 40])
-    found = [f"L {' '.join(before)}"] if len(before) == 2 else []
-    if before and after:
-        found.append(f"B {before[-1]} _ {_plain(after[0])}")
-    return found
+    after = _WORD.search(text, end)
+    return _contexts([_plain(w) for w in _before(text, start)], _plain(after[0]) if after else None)
 
 
 def _words_in(text: str, wanted):
@@ -139,14 +165,14 @@ def _words_in(text: str, wanted):
         word = text[a:b]
         if _HINT.search(word):
             continue
-        if word[0] in _EDGE or word[-1] in _EDGE or i < 2 or i + 1 == len(spans) or a - spans[i - 2][0] > 80 or spans[i + 1][1] - b > 40:
+        if word[0] in _EDGE or word[-1] in _EDGE:
             while a < b and text[a] in _EDGE:
                 a += 1
             while b > a and text[b - 1] in _EDGE:
                 b -= 1
             held = patterns(text, a, b) if b > a else []
         else:
-            held = [f"L {plain[i - 2]} {plain[i - 1]}", f"B {plain[i - 1]} _ {plain[i + 1]}"]
+            held = _contexts(plain[max(0, i - 2) : i], plain[i + 1] if i + 1 < len(spans) else None)
         held = [p for p in held if wanted(p)]
         if held:
             base = base_spans(text) if base is None else base
@@ -155,7 +181,7 @@ def _words_in(text: str, wanted):
 
 
 def contexts(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, key, start, end, instance, pattern): words that are no identifiers by their look, in the contexts ``known`` (pattern).
+    """(__pii_id, key, start, end, instance, pattern): words that are no identifiers by their look, in the contexts ``known`` (pattern).
 
     A filter of fixed size goes to the tasks; what it lets through by chance is dropped by a join.
     """
@@ -167,7 +193,7 @@ def contexts(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str) -
     for r in parts:
         bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
     shared = spark.sparkContext.broadcast(bytes(bits))
-    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__pii_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("start int, end int, instance string, pattern string").fields])
 
     def run(batches):
@@ -197,9 +223,9 @@ _OCCURRENCE = "array<struct<kind:string,start:int,end:int,instance:string,patter
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_contexts: bool = True) -> DataFrame:
-    """Rows (id_col, key, base, occurrences); key tells texts of the same id apart."""
+    """Rows (__pii_id, key, base, occurrences): the id, whatever its column is called; key tells texts of the same id apart."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__pii_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("base", T._parse_datatype_string(SPAN)), T.StructField("occurrences", T._parse_datatype_string(_OCCURRENCE))])
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     occurrence_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
@@ -213,9 +239,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                 held = []
                 if with_contexts and (base or _HINT.search(text)):
-                    held = [(k, a, b) for k, a, b in base] + [(None, a, b) for a, b in _tokens(text, base)]
+                    held = [(k, a, b) for k, a, b in base] + [("secret" if _SECRET.match(text[a:b]) else None, a, b) for a, b in _tokens(text, base)]
                 seen.append([{"kind": k, "start": a, "end": b, "instance": _instance(text[a:b]), "patterns": patterns(text, a, b)} for k, a, b in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, span_type), pa.array(seen, occurrence_type)], [id_col, "key", "base", "occurrences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, span_type), pa.array(seen, occurrence_type)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -242,8 +268,8 @@ def score_patterns(seen: DataFrame, *, rounds: int = 3, smoothing: float = 1.0)
         if r == rounds - 1:
             result = confidence
             break
-        # Noisy-or over an instance's patterns.
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
+        # Noisy-or over an instance's patterns that are likelier right than wrong: many weak contexts are no evidence.
+        doubt = F.sum(F.when(F.col("confidence") >= 0.5, F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))).otherwise(0.0))
         open_ones = graph.df.where("seed is null").join(confidence.select("pattern", "kind", "confidence"), ["pattern", "kind"])
         belief = open_ones.groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("belief"))
         scored = graph.df.join(belief, ["instance", "kind"], "left").withColumn("s", F.coalesce(own, F.col("belief"), F.lit(0.0)))
@@ -251,36 +277,39 @@ def score_patterns(seen: DataFrame, *, rounds: int = 3, smoothing: float = 1.0)
 
 
 def discover(scanned: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_confidence: float = 0.8, least_seeds: int = 5) -> DataFrame:
-    """(id_col, key, found): spans that sure patterns mark beside the base ones."""
-    place = [F.col(id_col), "key", "start", "end", "pattern"]
+    """(__pii_id, key, found): spans that sure patterns mark beside the base ones."""
+    place = ["__pii_id", "key", "start", "end", "pattern"]
 
     def sure(seen):
         return score_patterns(seen, rounds=rounds).where((F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_seeds))
 
     seen = occurrences(scanned)
-    marks = scanned.select(id_col, "key", F.explode("occurrences").alias("o")).where("o.kind is null").select(id_col, "key", "o.start", "o.end", F.explode("o.patterns").alias("pattern")).distinct().join(sure(seen), "pattern")
-    # Patterns of fewer seeds cannot mark anything.
-    able = Table(seen.where("seed is not null").groupBy("pattern", "seed").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= least_seeds).select("pattern").distinct(), "pii-able").df
+    likely = Table(sure(seen), "pii-likely").df
+    marks = scanned.select("__pii_id", "key", F.explode("occurrences").alias("o")).where("o.kind is null or o.kind = 'secret'").select("__pii_id", "key", "o.start", "o.end", F.explode("o.patterns").alias("pattern")).distinct().join(likely, "pattern")
+    # Plain words can only make a pattern less sure: the others need not be looked for.
+    able = likely.select("pattern").distinct()
     if able.limit(1).count():
         words = contexts(docs, able, id_col=id_col, text_col=text_col).select("pattern", "instance", F.lit(None).cast("string").alias("seed"))
         surer = Table(sure(seen.join(able, "pattern", "left_semi").unionByName(words)), "pii-sure").df
         if surer.limit(1).count():
             more = contexts(docs, surer.select("pattern"), id_col=id_col, text_col=text_col).select(*place).distinct().join(surer, "pattern")
             marks = marks.unionByName(more)
-    best = marks.groupBy(id_col, "key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    return best.groupBy(id_col, "key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
+    best = marks.groupBy("__pii_id", "key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    return best.groupBy("__pii_id", "key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """(id_col, key, base, found) for every row of ``docs``."""
+    """(id_col, base, found) for every row of ``docs``."""
     scanned = Table(scan(docs, id_col=id_col, text_col=text_col), "pii-scan").df
     found = discover(scanned, docs, id_col=id_col, text_col=text_col, **limits)
-    return scanned.alias("s").join(found.alias("f"), F.col(f"s.{id_col}").eqNullSafe(F.col(f"f.{id_col}")) & (F.col("s.key") == F.col("f.key")), "left").select(f"s.{id_col}", "s.key", "s.base", F.coalesce("f.found", F.array().cast(SPAN)).alias("found"))
+    s, f = scanned.alias("s"), found.alias("f")
+    met = s.join(f, F.col("s.__pii_id").eqNullSafe(F.col("f.__pii_id")) & (F.col("s.key") == F.col("f.key")), "left")
+    return met.select(F.col("s.__pii_id").alias(id_col), F.col("s.base").alias("base"), F.coalesce("f.found", F.array().cast(SPAN)).alias("found"))
 
 
 def ordered(spans: Column) -> Column:
     """Spans by kind as listed, then start, written kind:start:end and joined by commas."""
-    place = F.array(*[F.lit(k) for k in KINDS])
+    place = F.array(*[F.lit(k) for k in FOUND])
     keyed = F.transform(spans, lambda s: F.struct(F.array_position(place, s["kind"]).alias("p"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -297,11 +326,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     spark = docs.sparkSession
     ship(spark)
     scanned = Table(scan(docs, id_col=id_col, text_col=text_col), "pii-scan").df
-    found = Table(discover(scanned, docs, id_col=id_col, text_col=text_col, **limits).select(F.col(id_col).alias("__id"), F.col("key").alias("__key"), F.col("found").alias("__found")), "pii-found").df
-    # Few documents have such spans as a rule; so few that all tasks may hold them, texts stay where they are.
-    if found.limit(FEW + 1).count() <= FEW:
-        found = F.broadcast(found)
-    joined = docs.withColumn("__key0", F.xxhash64(text_col)).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key0") == F.col("__key")), "left").select(*docs.columns, "__found")
+    found = Table(discover(scanned, docs, id_col=id_col, text_col=text_col, **limits).select(F.col("__pii_id").alias("__id"), F.col("key").alias("__key"), F.col("found").alias("__found")), "pii-found").df
+    # A table whose size is known: Spark sends it to all tasks if it is below its threshold, and then texts stay where they are.
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left").select(*docs.columns, "__found")
     at = docs.columns.index(text_col)
 
     def run(batches):
