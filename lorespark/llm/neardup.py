@@ -4,7 +4,8 @@ Distinct vectors get neighbour lists from random-hyperplane buckets (the more ta
 finer the buckets of a larger input; vectors that share no bucket get arbitrary neighbours
 to start from), then lists are refined by local joins: whoever is near one vector (in its list, or having it in theirs)
 is compared with one another.  Lists full of neighbours over the threshold are saturated
-and keep more.  Searching uses 8-bit codes of the directions; every pair seen over the
+and keep more.  Searching uses codes of the directions (one
+byte a component, two where that would turn a vector too far); every pair seen over the
 threshold is verified in double precision, and connects its two vectors.  Vectors that
 are connected form a component, in which the lists of all members are at last enlarged to
 the whole component, block by block, so that links are counted without being emitted.
@@ -68,29 +69,50 @@ def directions(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, vec binary")
 
 
-def code_of(v: np.ndarray) -> bytes:
-    return np.rint(v * (127 / np.abs(v).max())).astype(np.int8).tobytes()
+#: How far a code's direction may be off (as a sine): two such errors change a cosine of 0.9 by less than ``SLACK``.
+OFF, SLACK = 0.02, 0.02
 
 
-def _unit(codes: list[bytes]) -> np.ndarray:
-    c = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
+def code_of(v: np.ndarray, width: int) -> bytes:
+    top = (1 << (8 * width - 1)) - 1
+    return np.rint(v * (top / np.abs(v).max())).astype(f"i{width}").tobytes()
+
+
+def off(v: np.ndarray, width: int) -> float:
+    """A bound on the sine of the angle between a vector and its code: rounding moves each component by at most a half."""
+    return float(0.5 * np.sqrt(len(v)) * np.abs(v).max() / (((1 << (8 * width - 1)) - 1) * np.linalg.norm(v)))
+
+
+def _width(nodes: DataFrame) -> int:
+    """Bytes of a code's component: one, unless that would turn some vector too far."""
+
+    def run(batches):
+        for batch in batches:
+            worst = max((off(v, 1) for v in _matrix(batch.column(0))), default=0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([worst])], ["off"])
+
+    return 1 if (nodes.select("vec").mapInArrow(run, "off double").agg(F.max("off")).collect()[0][0] or 0.0) <= OFF else 2
+
+
+def _unit(codes: list[bytes], width: int) -> np.ndarray:
+    c = np.frombuffer(b"".join(codes), f"i{width}").reshape(len(codes), -1).astype(np.float32)
     return c / np.linalg.norm(c, axis=1, keepdims=True)
 
 
 _CANDIDATE = "u long, v long, sim float, star boolean"
 
 
-def _local_join(ids: np.ndarray, codes: list[bytes], k: int, loose: float):
+def _local_join(ids: np.ndarray, codes: list[bytes], k: int, loose: float, width: int):
     """Each member's best others, and for each its smallest other that looks linked (star)."""
     lengths = {len(c) for c in codes}
     if len(lengths) > 1:
         for n in sorted(lengths):
             own = [i for i, c in enumerate(codes) if len(c) == n]
-            yield from _local_join(ids[own], [codes[i] for i in own], k, loose)
+            yield from _local_join(ids[own], [codes[i] for i in own], k, loose, width)
         return
     if len(ids) < 2:
         return
-    c = _unit(codes)
+    c = _unit(codes, width)
     s = c @ c.T
     np.fill_diagonal(s, -2)
     k = min(k, len(ids) - 1)
@@ -103,7 +125,7 @@ def _local_join(ids: np.ndarray, codes: list[bytes], k: int, loose: float):
         yield ids[some], to, np.full(len(some), loose, np.float32), True
 
 
-def _grouped(k: int, loose: float, chunk: int | None):
+def _grouped(k: int, loose: float, chunk: int | None, width: int):
     """A function over batches of (group, id, code), sorted by group: local joins of each group, in chunks that overlap by half if told."""
 
     def emit(found):
@@ -125,8 +147,8 @@ def _grouped(k: int, loose: float, chunk: int | None):
                 return []
             if piece is not None and piece[0] == last[0]:
                 joined = True
-                return list(_local_join(np.concatenate([last[1], piece[1]]), last[2] + piece[2], k, loose))
-            return [] if was else list(_local_join(last[1], last[2], k, loose))
+                return list(_local_join(np.concatenate([last[1], piece[1]]), last[2] + piece[2], k, loose, width))
+            return [] if was else list(_local_join(last[1], last[2], k, loose, width))
 
         for batch in batches:
             g = np.concatenate([keep_g, batch.column(0).to_numpy()])
@@ -149,7 +171,7 @@ def _grouped(k: int, loose: float, chunk: int | None):
     return run
 
 
-def _buckets(nodes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+def _buckets(nodes: DataFrame, tables: int, bits: int, seed: int, width: int) -> DataFrame:
     """(group, place, id, code): each vector in a bucket of each table, placed in it along one more direction."""
 
     def run(batches):
@@ -163,7 +185,7 @@ def _buckets(nodes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
                     planes[d] = np.random.default_rng([seed, d]).normal(size=(d, tables * (bits + 1)))
                 x = np.stack([vecs[k] for k in own])
                 z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ planes[d]
-                codes = [code_of(vecs[k]) for k in own]
+                codes = [code_of(vecs[k], width) for k in own]
                 for t in range(tables):
                     part = z[:, t * (bits + 1) : (t + 1) * (bits + 1)]
                     key = (part[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(own), np.int64)
@@ -179,7 +201,7 @@ def _buckets(nodes: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
     return rows.repartitionByRange("group", "place").sortWithinPartitions("group", "place")
 
 
-def _refine(graph: DataFrame, coded: DataFrame, k: int, loose: float, seed: int) -> DataFrame:
+def _refine(graph: DataFrame, coded: DataFrame, k: int, loose: float, seed: int, width: int) -> DataFrame:
     """One local join around every vector: members are its list and about ``k`` of those that list it."""
     back = graph.groupBy("v").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "u", "v"), F.lit(1_000_003)) / F.lit(1_000_003.0)
@@ -187,7 +209,7 @@ def _refine(graph: DataFrame, coded: DataFrame, k: int, loose: float, seed: int)
     own = graph.select("u").distinct().select(F.col("u").alias("group"), F.col("u").alias("id"))
     members = graph.select(F.col("u").alias("group"), F.col("v").alias("id")).unionByName(reverse).unionByName(own).distinct()
     rows = members.join(coded, "id").select("group", "id", "code").repartition("group").sortWithinPartitions("group", "id")
-    return rows.mapInArrow(_grouped(k, loose, None), _CANDIDATE)
+    return rows.mapInArrow(_grouped(k, loose, None, width), _CANDIDATE)
 
 
 def _best(candidates: DataFrame, k: int, enlarged: int, threshold: float) -> DataFrame:
@@ -204,7 +226,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
-            ok = [len(p) == len(q) and p @ q / (np.sqrt(p @ p) * np.sqrt(q @ q)) >= threshold for p, q in zip(x, y, strict=True)]
+            ok = [len(p) == len(q) and bool(_unit64([p])[0] @ _unit64([q])[0] >= threshold) for p, q in zip(x, y, strict=True)]
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -357,8 +379,9 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
     nodes = Table(rows.df.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", "vec"), "nn-nodes")
     total = nodes.df.count()
     bits = int(np.clip(np.round(np.log2(max(1, total) / 32)), 0, 30))
-    loose = threshold - 0.02  # codes are off by less
-    coded = nodes.df.select("id", "vec").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array([code_of(v) for v in _matrix(b.column(1))], pa.binary())], ["id", "code"]) for b in it), "id long, code binary")
+    width = _width(nodes.df)
+    loose = threshold - SLACK
+    coded = nodes.df.select("id", "vec").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array([code_of(v, width) for v in _matrix(b.column(1))], pa.binary())], ["id", "code"]) for b in it), "id long, code binary")
     stars: list[Table] = []
     graph, made, done = None, 0, 0
 
@@ -378,12 +401,12 @@ def link(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embed
         end = 2 * made or tables_for(threshold, bits, tables)
         while made < end:
             count = min(BATCH, end - made)
-            take(_buckets(nodes.df, count, bits, seed + 7919 * made).select("group", "id", "code").mapInArrow(_grouped(k, loose, CHUNK), _CANDIDATE), k << done)
+            take(_buckets(nodes.df, count, bits, seed + 7919 * made, width).select("group", "id", "code").mapInArrow(_grouped(k, loose, CHUNK, width), _CANDIDATE), k << done)
             made += count
-        take(_arbitrary(graph.df, coded, total, seed + made).mapInArrow(_grouped(k, loose, CHUNK), _CANDIDATE), k << done)
+        take(_arbitrary(graph.df, coded, total, seed + made).mapInArrow(_grouped(k, loose, CHUNK, width), _CANDIDATE), k << done)
         for _ in range(rounds if not done else 1):
             done += 1
-            take(_refine(graph.df, coded, k, loose, seed + done), k << done)
+            take(_refine(graph.df, coded, k, loose, seed + done, width), k << done)
         pairs = stars[0].df
         for s in stars[1:]:
             pairs = pairs.unionByName(s.df)
