@@ -6,8 +6,11 @@ left opens a bin; the undominated fillings of the rest are tried, those that was
 first, each first as often as the counts allow and then once.  A node is cut off when
 the waste so far and the least waste to come leave no better solution than the
 incumbent; every node's rest is packed by best-fit decreasing, and what beats the
-incumbent replaces it.  The search ends when the bound is met or after ``work``
-steps, a node counting as many as it has sizes.
+incumbent replaces it.  At first a node enumerates only so many fillings; a search that
+left some out and ends above the bound is run again with four times as many, until one
+left none out, which proves its packing best.  The search ends when the bound is met,
+when nothing is left to try, or after ``work`` steps, a node counting as many as it has
+sizes; which of these is told with the packing.
 """
 
 from __future__ import annotations
@@ -99,21 +102,21 @@ def _dominated(filling: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def fillings(counts: dict[int, int], largest: int, capacity: int, most: int = 24) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the bin around ``largest``, least waste first.
+def fillings(counts: dict[int, int], largest: int, capacity: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated ways to fill the bin around ``largest``, least waste first; and whether these are all.
 
     Sizes are tried largest first; up to ``most`` maximal fillings are compared, and an exact fill by one item ends the search: it dominates all others.
     """
     room = capacity - largest
     if room == 0:
-        return [(largest,)]
+        return [(largest,)], True
     left = dict(counts)
     left[largest] -= 1
     if left.get(room, 0) > 0:
-        return [(largest, room)]
+        return [(largest, room)], True
     sizes = [s for s in sorted(left, reverse=True) if s <= room and left[s] > 0]
     if not sizes:
-        return [(largest,)]
+        return [(largest,)], True
     smallest = sizes[-1]
     found: list[tuple[int, ...]] = []
     steps = [0]
@@ -142,53 +145,64 @@ def fillings(counts: dict[int, int], largest: int, capacity: int, most: int = 24
         if not any_fits:
             yield taken
 
+    whole = True
     for filling in grow(0, room, ()):
         found.append(filling)
         if len(found) >= most or steps[0] > 40 * most:
+            whole = False
             break
     found = sorted(set(found), key=lambda f: (-sum(f), len(f), [-s for s in f]))
     kept: list[tuple[int, ...]] = []
     for f in found:
         if not any(_dominated(f, k) for k in kept):
             kept.append(f)
-    return [(largest, *f) for f in kept]
+    return [(largest, *f) for f in kept], whole
 
 
 def _times(filling: tuple[int, ...], counts: dict[int, int]) -> int:
     return min(counts[s] // filling.count(s) for s in set(filling))
 
 
-def pack(counts: dict[int, int], capacity: int, work: int = 250_000) -> tuple[Packing, int]:
-    """A packing of ``counts`` items of each size into bins of ``capacity``, and the lower bound."""
+def pack(counts: dict[int, int], capacity: int, work: int = 250_000, most: int = 24) -> tuple[Packing, int, bool]:
+    """A packing of ``counts`` items of each size into bins of ``capacity``, the lower bound, and whether none is better.
+
+    ``most`` is how many fillings a node compares in the first search.
+    """
     counts = {s: c for s, c in counts.items() if c > 0}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("sizes go from 1 to the capacity")
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     total = sum(s * c for s, c in counts.items())
-    spent = 0
-    # Nodes: counts left, fillings so far, waste so far.  Depth first, the most promising child on top.
-    stack: list[tuple[dict[int, int], Packing, int]] = [(counts, [], 0)]
-    while stack and spent < work and bins_of(best) > bound:
-        left, done, waste = stack.pop()
-        spent += max(10, len(left))
-        if not left:
-            if bins_of(done) < bins_of(best):
-                best = done
-            continue
-        if bins_of(done) + lower_bound(left, capacity) >= bins_of(best) or total + waste > (bins_of(best) - 1) * capacity:
-            continue
-        rest = best_fit(left, capacity)
-        if bins_of(done) + bins_of(rest) < bins_of(best):
-            best = done + rest
-        largest = max(left)
-        children = []
-        for filling in fillings(left, largest, capacity):
-            most = _times(filling, left)
-            for n in dict.fromkeys((most, 1)):
-                now = dict(left)
-                for s in filling:
-                    now[s] -= n
-                children.append(({s: c for s, c in now.items() if c}, [*done, (filling, n)], waste + n * (capacity - sum(filling))))
-        stack += reversed(children)
-    return best, bound
+    spent, whole = 0, False
+    while bins_of(best) > bound and spent < work and not whole:
+        whole = True
+        # Nodes: counts left, fillings so far, waste so far.  Depth first, the most promising child on top.
+        stack: list[tuple[dict[int, int], Packing, int]] = [(counts, [], 0)]
+        while stack and spent < work and bins_of(best) > bound:
+            left, done, waste = stack.pop()
+            spent += max(10, len(left))
+            if not left:
+                if bins_of(done) < bins_of(best):
+                    best = done
+                continue
+            if bins_of(done) + lower_bound(left, capacity) >= bins_of(best) or total + waste > (bins_of(best) - 1) * capacity:
+                continue
+            rest = best_fit(left, capacity)
+            if bins_of(done) + bins_of(rest) < bins_of(best):
+                best = done + rest
+            largest = max(left)
+            children = []
+            found, complete = fillings(left, largest, capacity, most)
+            whole &= complete
+            for filling in found:
+                times = _times(filling, left)
+                for n in dict.fromkeys((times, 1)):
+                    now = dict(left)
+                    for s in filling:
+                        now[s] -= n
+                    children.append(({s: c for s, c in now.items() if c}, [*done, (filling, n)], waste + n * (capacity - sum(filling))))
+            stack += reversed(children)
+        whole &= not stack
+        most *= 4
+    return best, bound, whole or bins_of(best) == bound

@@ -12,6 +12,8 @@ rows are packed as often as they come; extra columns of the input are not carrie
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from . import binpack, tokens
 from .common import Table, crc32, ship
 
+_log = logging.getLogger(__name__)
 #: Pieces of one length that one task ranks.
 RANKED = 200_000
 
@@ -78,7 +81,8 @@ def assign(parts: DataFrame, *, id_col: str = "doc_id", capacity: int = 1024, wo
     """``parts`` (a table that reads back alike) with sequence_id and offset."""
     spark = parts.sparkSession
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most capacity rows
-    packing, _ = binpack.pack(counts, capacity, work)
+    packing, bound, proved = binpack.pack(counts, capacity, work)
+    _log.info("%d sequences, at least %d needed%s", binpack.bins_of(packing), bound, ", none fewer possible" if proved else "")
     # Fillings number a few for each length, whatever the number of documents; so do the slots.
     slots = spark.createDataFrame(_slots(packing), "s_length long, low long, high long, sequence long, each long, at long")
     salts = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (int(k), -(-n // RANKED))]) if counts else F.create_map(F.lit(0), F.lit(1)).cast("map<bigint,int>")
