@@ -241,3 +241,112 @@ def test_disposal_transparency_and_palettes():
     shown = [f.canvas[0].tolist() for f in gif.decode(head + frame((1,), 1) + frame((0,), 3, left=1) + frame((1,), 2, transparent=1) + frame((0,), 0, left=1, local=bytes([9, 9, 9, 0, 0, 0])) + b"\x3b")]
     blue, red, clear = [0, 0, 255, 255], [255, 0, 0, 255], [0, 0, 0, 0]
     assert shown == [[blue, clear], [blue, red], [blue, clear], [clear, [9, 9, 9, 255]]]
+
+
+def _brute_components(rows, rule):
+    """Row numbers -> (smallest id reachable, row numbers of the component)."""
+    sets = {}
+    for k, (_, t) in enumerate(rows):
+        w = (t or "").split()
+        sets[k] = frozenset(tuple(w[j : j + rule.words]) for j in range(max(1, len(w) - rule.words + 1))) if w else frozenset()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and rule.den * len(sets[a] & sets[b]) >= rule.num * len(sets[a] | sets[b])]
+    top = _components(sets, links)
+    return {k: {j for j in top if top[j] == top[k]} for k in top}
+
+
+def test_repeated_and_unknown_ids_link_by_their_own_texts(spark):
+    t, u = (" ".join(f"{x}{k}" for k in range(40)) for x in "tu")
+    rows = [(1, t), (1, u), (2, t + " x"), (3, u + " y"), (None, t), (None, "one text of nobody at all"), (5, "one text of nobody at all"), (6, ""), (6, ""), (7, None), (8, u), (8, u), (None, "alone among all of them here")]
+    rule = jaccard.Rule()
+    df = spark.createDataFrame([(*r, k, 0) for k, r in enumerate(rows)], "doc_id long, text string, row int, group int")
+    groups = _brute_components(rows, rule)
+    want = sorted((str(rows[k][0]), str(min((rows[j][0] for j in own if rows[j][0] is not None), default=None))) for k, own in groups.items())
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard.cluster(df, rule).collect()) == want
+    kept = [r["row"] for r in jaccard.keep_first(df, rule).collect()]
+    assert len(kept) == len(set(kept)) and {7, 8, 9, 12} <= set(kept)
+    for own in groups.values():
+        assert len(own & set(kept)) == 1
+        first = min((rows[j][0] for j in own if rows[j][0] is not None), default=None)
+        assert {rows[j][0] for j in own & set(kept)} == {first}
+
+
+def test_draw_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(k % 5, f"some words of text {k % 7} to mix in", f"s{k % 3}" if k % 4 else None, k, k * 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, taken int")
+    drawn = mixing.draw(df)
+    assert drawn.columns == df.columns
+    got = drawn.groupBy("source").agg({"*": "count"}).collect()
+    words = {}
+    for r in drawn.select("source", "text").collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    want = {}
+    sources = {(r[0], r[1]): r[2] for r in rows}
+    assert len(sources) <= len(rows) and got
+    mixed = mixing.mix(df, keep_keys=True).collect()
+    for r in mixed:
+        source = None if r["__sk"] == "n" else r["__sk"][1:]
+        want[source] = want.get(source, 0) + r["taken"]
+    assert len(mixed) == 40 and words == {k: n for k, n in want.items() if n}
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for n, (name, text) in enumerate(licences.TEXTS.items()):
+        for w in (40, 60, 66, 72, 80, 100):
+            rows.append((100 * n + w, "Copyright (c) 2020, A. Body\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p, w) for p in text.split("\n\n"))))
+            want[rows[-1][0]] = name
+    got = {r["doc_id"]: r["license"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_digests_are_those_of_the_published_texts():
+    import os
+
+    own = "/usr/share/common-licenses/"
+    for file, name in {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items():
+        if os.path.exists(own + file):
+            assert licences.known_digests()[licences._digest(open(own + file, encoding="utf-8").read())] == name
+
+
+def test_secrets_and_words_are_found_by_sure_contexts_only(spark):
+    key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f'we set token = "{key(k)}" here {k}') for k in range(20)] + [(50, 'we set token = "hunter2" here'), (51, "commit " + key(51) + " fixed it"), (52, "the bird is here")]
+    rows += [(60 + k, f"{'abcdefghijkl'[k]} reach: user{k}@mail.example.com {'mnopqrstuvwx'[k]}") for k in range(12)] + [(80, "z reach: bob(at)mail(dot)example y")]
+    got = {r["doc_id"]: [(s["kind"], t[s["start"] : s["end"]]) for s in r["found"]] for r, t in ((r, dict(rows)[r["doc_id"]]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())}
+    assert got[50] == [("secret", "hunter2")] and got[51] == got[52] == []
+    assert all(got[k] == [("secret", key(k))] for k in range(20))
+    assert got[80] == [("email", "bob(at)mail(dot)example")] and got[60] == []
+
+
+def test_scores_of_patterns_are_those_of_plain_python(spark):
+    rng = random.Random(8)
+    seen = [(f"p{rng.randrange(8)}", f"i{rng.randrange(30)}") for _ in range(200)]
+    seeds = {f"i{k}": ("email" if k % 2 else "phone") for k in range(12)}
+    df = spark.createDataFrame([(p, i, seeds.get(i)) for p, i in seen], "pattern string, instance string, seed string")
+    got = {(r["pattern"], r["kind"]): (r["seeds"], r["confidence"]) for r in pii.score_patterns(df).collect()}
+    edges = set(seen)
+    members = {p: {i for q, i in edges if q == p} for p, _ in edges}
+    pairs = {(p, seeds[i]) for p, i in edges if i in seeds}
+    belief = {}
+    for _ in range(3):
+        score = lambda i, k: float(seeds[i] == k) if i in seeds else belief.get((i, k), 0.0)
+        conf = {(p, k): sum(score(i, k) for i in members[p]) / (len(members[p]) + 1) for p, k in pairs}
+        belief = {}
+        for p, k in pairs:
+            for i in members[p]:
+                if i not in seeds:
+                    belief.setdefault((i, k), []).append(conf[p, k])
+        belief = {ik: 1 - math.prod(1 - c for c in own if c >= 0.5) for ik, own in belief.items()}
+    assert set(got) == pairs
+    for pk in pairs:
+        assert got[pk][0] == sum(seeds.get(i) == pk[1] for i in members[pk[0]]) and abs(got[pk][1] - conf[pk]) < 1e-9
+
+
+def test_links_of_long_vectors_with_one_large_component(spark):
+    rng = np.random.default_rng(2)
+    sign = np.where(rng.random(8191) < 0.5, 1.0, -1.0)
+    rows = [(1, [1.0, *(0.0045 * sign).tolist()]), (2, [1.0, *(0.0038 * sign).tolist()]), (3, [0.0] * 8191 + [1.0]), (4, None), (5, [0.0] * 8192)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}

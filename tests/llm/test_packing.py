@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lorespark.llm import binpack, packing, tokens, tokentree
-from lorespark.llm.common import crc32
+from lorespark.llm.common import Table, crc32
 
 
 def brute(items, capacity):
@@ -40,20 +40,20 @@ def brute(items, capacity):
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=9))
 def test_bins_are_as_few_as_can_be(items):
-    packed, bound = binpack.pack(Counter(items), 30)
+    packed, bound, proved = binpack.pack(Counter(items), 30)
     got = Counter()
     for filling, n in packed:
         assert sum(filling) <= 30
         for s in filling:
             got[s] += n
     assert got == Counter(items)
-    assert bound <= brute(items, 30) == binpack.bins_of(packed)
+    assert bound <= brute(items, 30) == binpack.bins_of(packed) and proved
 
 
 def test_large_counts_stay_near_the_bound():
     random.seed(1)
     counts = {s: random.randint(0, 2000) for s in range(1, 257)} | {180: 200_000}
-    packed, bound = binpack.pack(counts, 256, work=20_000)
+    packed, bound, _ = binpack.pack(counts, 256, work=20_000)
     assert binpack.bins_of(packed) <= bound * 1.01
 
 
@@ -122,3 +122,38 @@ def test_counts_of_odd_texts(spark, odd, empty):
 def test_bad_capacity():
     with pytest.raises(ValueError):
         binpack.pack({9: 1}, 8)
+
+
+def test_a_narrow_first_search_is_widened_until_nothing_is_left_out():
+    rng = random.Random(3)
+    for _ in range(40):
+        items = [rng.randint(8, 60) for _ in range(10)]
+        packed, _, proved = binpack.pack(Counter(items), 100, most=1)
+        assert proved and binpack.bins_of(packed) == brute(items, 100)
+
+
+BLANKS = [" " * 2_000_000, "\n" * 1_000_000 + "x", "a" + " \n" * 300_000 + " b", "x " + "\t" * 20_000 + "<|endoftext|>" + " " * 9_000 + "<|endoftext|>"]
+
+
+def test_long_runs_of_white_space():
+    path = tokens.default_path()
+    tk = Tokenizer.from_file(path)
+    for t in BLANKS:
+        assert b"".join(tokens.encoding(path).decode_single_token_bytes(i) for i in tokens.encode(t, path).tolist()).decode() == t
+        assert tokentree.TokenTree(t, path).total == tokens.count_plain(t, path)
+    for blank in (" ", "\n", " \n"):
+        for t in (blank * 6000, "a" + blank * 6000 + "b", "a" + blank * 6000 + "<|endoftext|>", blank * 6000 + "<|endoftext|>" + blank * 6000 + "."):
+            assert tokens.encode(t, path).tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_trees_outlive_their_job(spark, odd):
+    path = tokens.default_path()
+    one = "array(named_struct('at', 3L, 'remove', 2L, 'insert', ' x '), named_struct('at', 40L, 'remove', 5L, 'insert', 'end'))"
+    two = "array(named_struct('at', 100000L, 'remove', 900L, 'insert', 'another passage of words'))"
+    trees = Table(tokentree.grow(odd), "trees").df
+    later = Table(tokentree.edit(trees.selectExpr("*", f"{one} as edits")), "trees").df
+    last = Table(tokentree.edit(later.selectExpr("*", f"{two} as edits")), "trees").df
+    for r in last.collect():
+        assert r["n_tokens"] == tokens.count_plain(r["text"], path) == sum(r["leaf_tokens"]) and sum(r["leaf_chars"]) == len(r["text"]) == r["n_chars"]
+        assert r["n_leaves"] < 100 or r["encoded"] < 5000
+    assert {r["doc_id"]: r["n_edits"] for r in later.collect()} == dict.fromkeys(range(1, 9), 2)
