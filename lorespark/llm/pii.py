@@ -156,13 +156,31 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return _contexts([_plain(w) for w in _before(text, start)], _plain(after[0]) if after else None)
 
 
-def _words_in(text: str, wanted):
+class _Known(dict):
+    """Whether a word, as it stands, comes last before a place in some wanted pattern; asked once a word."""
+
+    def __init__(self, wanted):
+        super().__init__()
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        found = bool(self.wanted("W " + _plain(word)))
+        self[word] = found
+        return found
+
+
+def _words_in(text: str, wanted, known: _Known):
     """(start, end, patterns) of the words without digit or at sign, outside base spans, that stand in a context ``wanted`` knows."""
-    spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    plain = [_plain(text[a:b]) for a, b in spans]
+    words = text.split()
+    after = [i + 1 for i, w in enumerate(words[:-1]) if known[w]]
+    if not after:
+        return
+    spans = [m.span() for m in _WORD.finditer(text)]
     base = None
-    for i, (a, b) in enumerate(spans):
-        word = text[a:b]
+    for i in after:
+        word, (a, b) = words[i], spans[i]
         if _HINT.search(word):
             continue
         if word[0] in _EDGE or word[-1] in _EDGE:
@@ -172,7 +190,7 @@ def _words_in(text: str, wanted):
                 b -= 1
             held = patterns(text, a, b) if b > a else []
         else:
-            held = _contexts(plain[max(0, i - 2) : i], plain[i + 1] if i + 1 < len(spans) else None)
+            held = _contexts([_plain(w) for w in words[max(0, i - 2) : i]], _plain(words[i + 1]) if i + 1 < len(words) else None)
         held = [p for p in held if wanted(p)]
         if held:
             base = base_spans(text) if base is None else base
@@ -188,7 +206,9 @@ def contexts(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str) -
     spark = docs.sparkSession
     ship(spark)
     place = F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(_BITS)) + 1
-    parts = known.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    parted = F.split("pattern", " ")
+    last = F.concat(F.lit("W "), F.when(F.startswith("pattern", F.lit("L ")), F.try_element_at(parted, F.lit(3))).otherwise(F.try_element_at(parted, F.lit(2))))
+    parts = known.select("pattern").unionByName(known.select(last.alias("pattern"))).select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     bits = bytearray(_BITS // 8)
     for r in parts:
         bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = r["bits"]
@@ -203,11 +223,12 @@ def contexts(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str) -
             at = crc(pattern.encode(errors="surrogatepass")) % _BITS
             return filter_[at >> 3] >> (at & 7) & 1
 
+        known = _Known(wanted)
         for batch in batches:
             of, out = [], ([], [], [], [])
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py() or ""
-                for a, b, held in _words_in(text, wanted):
+                for a, b, held in _words_in(text, wanted, known):
                     for p in held:
                         of.append(i)
                         for column, value in zip(out, (a, b, _instance(text[a:b]), p), strict=True):
