@@ -6,6 +6,7 @@ Everything that has to outlive a task goes to a table in the folder named by
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -28,6 +29,19 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    # Batches of whole texts: a tenth of Spark's default keeps what a task holds at once small.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -14,6 +14,7 @@ Defined results: a null text, an empty one and one without a letter give ``und``
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32, ship, utf8
+from .common import crc32, give_back, ship, utf8
 
 NGRAMS = (1, 2, 3, 4)
 #: Bytes looked at in one go; longer texts are taken in overlapping slices.
@@ -182,24 +183,27 @@ def train(rows: list[tuple[str, bool, int, np.ndarray, np.ndarray]], *, buckets:
     return model
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", where: Column | None = None, per_label: int = 600, max_labels: int = 512, buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, max_error: float = 0.02) -> LanguageModel:
-    """Fit on about ``per_label`` labelled documents of each language, drawn by a hash of the id.
+def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", where: Column | None = None, per_label: int = 600, max_labels: int = 8192, max_rows: int = 120_000, buckets: int = 1 << 15, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7, max_error: float = 0.02) -> LanguageModel:
+    """Fit on about ``per_label`` labelled documents of each language (``max_rows`` of all), drawn by a hash of id and text.
 
-    ``per_label`` bounds what reaches the driver whatever the size of the corpus: only n-gram
-    counts of the sampled documents do, made on the executors.  ``where`` limits the rows learned from.
+    The bounds hold whatever the size of the corpus.  N-gram counts of the sampled documents
+    are made on the executors and meet in one task, which trains; only the model reaches the
+    driver.  ``where`` limits the rows learned from; equal rows are drawn once.
     """
     spark = docs.sparkSession
     ship(spark)
+    how = {"buckets": buckets, "dim": dim, "epochs": epochs, "rate": rate, "seed": seed, "max_error": max_error}
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), (F.lit(True) if where is None else where).alias("ok"))
     rows = rows.where("ok and label is not null and text is not null")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(max_labels + 1).collect()}
     if len(sizes) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
     if not sizes:
-        return train([], buckets=buckets, dim=dim, epochs=epochs, rate=rate, seed=seed, max_error=max_error)
-    share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_label / n))])
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    drawn = rows.where(place < share[F.col("label")]).select("id", "label", "text").limit(2 * per_label * len(sizes))
+        return train([], **how)
+    wanted = min(per_label, max(1, max_rows // len(sizes)))
+    share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, wanted / n))])
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("text")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = rows.where(place < share[F.col("label")]).select("id", "label", "text").dropDuplicates()
 
     def features(batches):
         for batch in batches:
@@ -207,16 +211,22 @@ def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_
             for i, label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 if has_letter(raw):
                     cal = crc32(f"calibrate {i}".encode()) % 5 == 0
-                    out += [(i, label, cal, kind, x.tolist(), c.tolist()) for kind, (x, c) in _examples(i, raw, buckets) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["id", "label", "cal", "kind", "idx", "n"])
-
-    table = drawn.mapInArrow(features, "id string, label string, cal boolean, kind int, idx array<int>, n array<float>").toArrow()
-    table = table.sort_by([("label", "ascending"), ("id", "ascending"), ("kind", "ascending")])
-    idx, n = table["idx"].combine_chunks(), table["n"].combine_chunks()
-    flat_i, flat_n = idx.flatten().to_numpy(), n.flatten().to_numpy()
-    o = np.concatenate([[0], np.cumsum(idx.value_lengths().to_numpy())]).astype(np.int64)
-    rows_ = [(a, b, k, flat_i[o[i] : o[i + 1]], flat_n[o[i] : o[i + 1]]) for i, (a, b, k) in enumerate(zip(table["label"].to_pylist(), table["cal"].to_pylist(), table["kind"].to_pylist(), strict=True))]
-    return train(rows_, buckets=buckets, dim=dim, epochs=epochs, rate=rate, seed=seed, max_error=max_error)
+                    out += [(i or "", label, cal, kind, x.tobytes(), c.tobytes()) for kind, (x, c) in _examples(i or "", raw, buckets) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], ["id", "label", "cal", "kind", "idx", "n"])
+
+    def learn(batches):
+        got = []
+        for batch in batches:
+            got += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        got.sort(key=lambda r: (r[1], r[0], r[3], r[4]))
+        model = train([(label, cal, kind, np.frombuffer(x, np.int32), np.frombuffer(n, np.float32)) for _, label, cal, kind, x, n in got], **how)
+        del got
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = drawn.mapInArrow(features, "id string, label string, cal boolean, kind int, idx binary, n binary")
+    models = made.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else train([], **how)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str], prefix: str = "") -> DataFrame:

@@ -13,6 +13,7 @@ more than once is toxic if any of its labels says so.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32, ship, utf8
+from .common import crc32, give_back, ship, utf8
 from .langid import fold
 
 #: Bytes hashed in one go; slices end between words unless a word is longer than this.
@@ -161,7 +162,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, *, bits: int, rank: int, e
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", where: Column | None = None, per_class: int = 12_000, bits: int = 18, rank: int = 8, epochs: int = 16, rate: float = 0.1, l2: float = 5e-4, seed: int = 11) -> FactorizationMachine:
     """Fit on at most about ``per_class`` labelled documents of each class, drawn by a hash of the id.
 
-    The bound holds whatever the corpus; only term buckets of the sampled documents reach the driver.
+    The bound holds whatever the corpus; term buckets of the sampled documents meet in one
+    task, which trains, and only the machine reaches the driver.  Equal rows are drawn once.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -173,18 +175,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     share = min(1.0, 2 * per_class / sum(sizes.values()))
     place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     drawn = known.where(place < share).select("id", "y").limit(3 * per_class)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select(F.col("id").cast("string").alias("id"), "y", "text")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select(F.col("id").cast("string").alias("id"), "y", "text").dropDuplicates()
+    how = {"bits": bits, "rank": rank, "epochs": epochs, "rate": rate, "l2": l2, "seed": seed}
 
     def features(batches):
         for batch in batches:
-            lists = [terms(raw, bits) for raw in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], ["id", "y", "terms"])
-
-    table = sample.mapInArrow(features, "id string, y int, terms array<int>").toArrow()
-    ids, y, lists = table["id"].to_pylist(), table["y"].to_numpy(), table["terms"].combine_chunks()
-    flat, o = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    order = sorted(range(len(ids)), key=lambda i: (crc32(ids[i].encode()), ids[i], flat[o[i] : o[i + 1]].tobytes()))
-    return train([flat[o[i] : o[i + 1]] for i in order], y[order], bits=bits, rank=rank, epochs=epochs, rate=rate, l2=l2, seed=seed)
+            lists = [terms(raw, bits).tobytes() for raw in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.binary())], ["id", "y", "terms"])
+
+    def learn(batches):
+        got = []
+        for batch in batches:
+            got += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        got.sort(key=lambda r: (crc32(r[0].encode()), r[0], r[2]))
+        model = train([np.frombuffer(t, np.int32) for _, _, t in got], np.array([y for _, y, _ in got]), **how)
+        del got
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = sample.mapInArrow(features, "id string, y int, terms binary")
+    models = made.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else train([], np.zeros(0), **how)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", keep: list[str], output: str = "score") -> DataFrame:
