@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of, clamp, matches, occurrences, present, sql_any, sql_matches, sql_occurrences, sql_present
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 # Weighted patterns of documentation and of other project text.
 WEIGHTS = {"strong_indicators": 3, "medium_indicators": 2, "weak_indicators": 1}
@@ -102,13 +102,13 @@ def _sql_pattern_score(text: str, patterns: dict[str, list[str]]) -> str:
 _ASCII = "regexp_replace(lower(text), '[À-ÖØ-öø-ÿĀ-ɏ]', 'z', 'g')"
 
 
-def rule_relevance(docs: DataFrame) -> DataFrame:
-    """Weighted pattern counts for and against documentation, brought to 0..1; texts under 20 characters score 0."""
+def rule_relevance(docs: DataFrame, *keep: str) -> DataFrame:
+    """Weighted pattern counts for and against documentation, brought to 0..1; texts under 20 characters score 0; with the columns to keep."""
     low = F.lower("text")
     long = F.length(F.trim(F.coalesce("text", F.lit("")))) >= 20
-    scored = docs.select("doc_id", long.alias("long"), F.coalesce(pattern_score(low, DOCUMENTATION), F.lit(0)).cast("long").alias("doc_score"), F.coalesce(pattern_score(low, OTHER), F.lit(0)).cast("long").alias("non_doc_score"))
+    scored = docs.select("doc_id", *keep, long.alias("long"), F.coalesce(pattern_score(low, DOCUMENTATION), F.lit(0)).cast("long").alias("doc_score"), F.coalesce(pattern_score(low, OTHER), F.lit(0)).cast("long").alias("non_doc_score"))
     score = F.when(F.col("long"), clamp((F.col("doc_score") - F.col("non_doc_score") + 5) / 10, 0.0, 1.0)).otherwise(0.0)
-    return scored.select("doc_id", "doc_score", "non_doc_score", score.alias("score"), (score > 0.5).alias("is_relevant"))
+    return scored.select("doc_id", *keep, "doc_score", "non_doc_score", score.alias("score"), (score > 0.5).alias("is_relevant"))
 
 
 _RELEVANCE_SQL = f"""SELECT doc_id, doc_score, non_doc_score, CASE WHEN long THEN greatest(0.0, least(1.0, (doc_score - non_doc_score + 5) / 10))::DOUBLE ELSE 0.0 END AS score,
@@ -157,7 +157,7 @@ FROM (SELECT *, {_ASCII} AS t FROM documents)"""
 
 def optimal_threshold(docs: DataFrame) -> DataFrame:
     """Median pattern score of each source, kept between 0.3 and 0.9."""
-    scored = rule_relevance(docs).join(docs.select("doc_id", "source"), "doc_id")
+    scored = rule_relevance(docs, "source")
     return scored.groupBy("source").agg(clamp(F.median("score"), 0.3, 0.9).alias("threshold"))
 
 
@@ -222,7 +222,7 @@ _LANGUAGE_SQL = "SELECT doc_id, CASE " + " ".join(f"WHEN {sql_any('text', marks)
 CASE WHEN contains(text, 'def ') THEN 'Function definition example' WHEN contains(text, 'class ') THEN 'Class definition example' WHEN contains(text, 'print(') THEN 'Basic output example' WHEN {sql_any("text", ["for ", "while "])} THEN 'Loop example' WHEN contains(text, 'if ') THEN 'Conditional logic example' ELSE 'code example' END AS kind FROM documents"""
 
 # Words without topics of their own.
-STOP = ["the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "that", "this", "for", "on", "with", "as", "by", "at", "from", "was", "are", "be"]
+STOP = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "this", "that", "these", "those", "it", "its", "they", "them", "their"]
 
 
 def topic_words(docs: DataFrame, top: int = 20) -> DataFrame:
@@ -292,30 +292,34 @@ def distinct_tokens(docs: DataFrame) -> DataFrame:
 
 def batch_summary(docs: DataFrame) -> DataFrame:
     """Share of relevant texts of each source, and what to do about it."""
-    scored = rule_relevance(docs).join(docs.select("doc_id", "source"), "doc_id")
+    scored = rule_relevance(docs, "source")
     by = scored.groupBy("source").agg(F.count("*").alias("total"), F.count_if("is_relevant").alias("relevant"))
     rate = F.col("relevant") / F.col("total")
     return by.select("source", "total", "relevant", F.when(rate > 0.8, "good").when(rate > 0.5, "review").otherwise("filter").alias("advice"))
 
 
+def _docs(s, d: str) -> DataFrame:
+    return spread(table(s, d, "documents"))
+
+
 QUERIES = {
-    "tx_rule_relevance": lambda s, d: rule_relevance(table(s, d, "documents")),
-    "tx_matched_patterns": lambda s, d: matched_patterns(table(s, d, "documents")),
-    "tx_indicator_counts": lambda s, d: indicator_counts(table(s, d, "documents")),
-    "tx_section_score": lambda s, d: section_score(table(s, d, "documents")),
-    "tx_relevance_cascade": lambda s, d: relevance_cascade(table(s, d, "documents")),
-    "tx_optimal_threshold": lambda s, d: optimal_threshold(table(s, d, "documents")),
-    "tx_method_accuracy": lambda s, d: method_accuracy(table(s, d, "documents"), table(s, d, "labels")),
-    "tx_difficulty": lambda s, d: difficulty(table(s, d, "documents")),
-    "tx_code_language": lambda s, d: languages_of(table(s, d, "documents")),
-    "tx_topic_words": lambda s, d: topic_words(table(s, d, "documents")),
+    "tx_rule_relevance": lambda s, d: rule_relevance(_docs(s, d)),
+    "tx_matched_patterns": lambda s, d: matched_patterns(_docs(s, d)),
+    "tx_indicator_counts": lambda s, d: indicator_counts(_docs(s, d)),
+    "tx_section_score": lambda s, d: section_score(_docs(s, d)),
+    "tx_relevance_cascade": lambda s, d: relevance_cascade(_docs(s, d)),
+    "tx_optimal_threshold": lambda s, d: optimal_threshold(_docs(s, d)),
+    "tx_method_accuracy": lambda s, d: method_accuracy(_docs(s, d), table(s, d, "labels")),
+    "tx_difficulty": lambda s, d: difficulty(_docs(s, d)),
+    "tx_code_language": lambda s, d: languages_of(_docs(s, d)),
+    "tx_topic_words": lambda s, d: topic_words(_docs(s, d)),
     "tx_name_similarity": lambda s, d: name_similarity(table(s, d, "nation")),
-    "tx_checksums": lambda s, d: checksums(table(s, d, "documents")),
-    "tx_line_sections": lambda s, d: line_sections(table(s, d, "documents")),
-    "tx_completeness": lambda s, d: completeness(table(s, d, "documents")),
+    "tx_checksums": lambda s, d: checksums(_docs(s, d)),
+    "tx_line_sections": lambda s, d: line_sections(_docs(s, d)),
+    "tx_completeness": lambda s, d: completeness(_docs(s, d)),
     "tx_versions": lambda s, d: versions_in(table(s, d, "part")),
-    "tx_distinct_tokens": lambda s, d: distinct_tokens(table(s, d, "documents")),
-    "tx_batch_summary": lambda s, d: batch_summary(table(s, d, "documents")),
+    "tx_distinct_tokens": lambda s, d: distinct_tokens(_docs(s, d)),
+    "tx_batch_summary": lambda s, d: batch_summary(_docs(s, d)),
 }
 ORACLE = {
     "tx_rule_relevance": _RELEVANCE_SQL,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import MIME, table
 
 # Error titles, path marks of pages that are no documentation, default ports, schemes.
-ERROR_TITLES = ["404 Not Found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "Access Denied"]
+ERROR_TITLES = ["404 Not Found", "403 Forbidden", "500 Internal Server Error", "Service Unavailable", "Page Not Found", "Access Denied"]
 NOT_DOCS = [r"/issues?/", r"/pull/", r"/merge_requests?/", r"/commits?/", r"/branches?/", r"/releases?/", r"/tags?/", r"/actions?/", r"/workflows?/", r"/settings", r"/contributors?", r"/graphs?", r"/network", r"/pulse", r"/security", r"/insights"]
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 TRAVERSAL = r"(?:^|/)\.\.(?:/|$)|%2e%2e"
@@ -52,17 +52,17 @@ _HEADINGS_SQL = " UNION ALL ".join(rf"""SELECT * FROM (SELECT page_id, {n} AS le
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
-    """Length of the visible text, and its first words: scripts, styles, comments and tags gone, five entities decoded."""
+    """Length of the visible text, and the text: scripts, styles, comments and tags gone, five entities decoded."""
     text = F.col("html")
     for pattern in (r"(?is)<(script|style|noscript|iframe)[^>]*>.*?</(script|style|noscript|iframe)>", r"(?s)<!--.*?-->", r"<[^>]*>"):
         text = F.regexp_replace(text, pattern, " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return pages.select("page_id", F.length(text).alias("n_chars"), F.substring(text, 1, 80).alias("start"))
+    return pages.select("page_id", F.length(text).alias("n_chars"), text.alias("text"))
 
 
-_TEXT_SQL = r"""SELECT page_id, length(t)::INT AS n_chars, substr(t, 1, 80) AS start FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
+_TEXT_SQL = r"""SELECT page_id, length(t)::INT AS n_chars, t AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|iframe)[^>]*>.*?</(script|style|noscript|iframe)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)"""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import convert, graph, history, models, search, text, web
+from ..operators import code, convert, discovery, graph, history, markup, models, repos, search, text, urls, web
 from ..streaming import events
 
-MODULES = (text, web, convert, search, history, graph, models, events)
+MODULES = (text, code, web, markup, urls, convert, search, discovery, history, graph, repos, models, events)
 
 
 def queries() -> dict:

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer splits than there are cores; a large table stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(url, html, status): whole files as fetched pages."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"), F.lit(200).alias("status"))
@@ -34,9 +40,11 @@ def append(df: DataFrame, path: str, *keys: str) -> None:
 MIME = {
     "html": "text/html",
     "htm": "text/html",
+    "xhtml": "application/xhtml+xml",
     "md": "text/markdown",
     "markdown": "text/markdown",
     "rst": "text/x-rst",
+    "rest": "text/x-rst",
     "adoc": "text/asciidoc",
     "asciidoc": "text/asciidoc",
     "txt": "text/plain",
@@ -44,4 +52,18 @@ MIME = {
     "xml": "application/xml",
     "yaml": "application/yaml",
     "yml": "application/yaml",
+    "css": "text/css",
+    "js": "application/javascript",
+    "py": "text/x-python",
+    "java": "text/x-java",
+    "c": "text/x-c",
+    "cpp": "text/x-c++",
+    "cs": "text/x-csharp",
+    "go": "text/x-go",
+    "rb": "text/x-ruby",
+    "php": "text/x-php",
+    "pl": "text/x-perl",
+    "sh": "text/x-shellscript",
+    "bat": "text/x-bat",
+    "ps1": "text/x-powershell",
 }
