@@ -13,10 +13,11 @@ them than that with all others together links with nothing; what stays is verifi
 whole sets.
 
 Equal sets are one class from the start.  The first pass verifies each class
-against the smallest class it shares a part with; the second takes up what that leaves
-open: members of one group in different components, filtered by folded sketches (which
-bound the difference from below as well).  So a group of many copies costs its size, not
-its square, and no link that could join two components goes unverified.
+against the one that comes first under most of its parts, the second what that leaves
+apart against the hubs of its groups (the classes that share most).  The third takes up
+what is still open: members of one group in different components, filtered by folded
+sketches (which bound the difference from below as well).  So a group of many copies of
+one text costs its size, not its square, and no link that could join two components goes unverified.
 
 Defined results: null and empty texts have no shingle and link with nothing; fewer words
 than a shingle's make one shingle of the whole sequence; repeated rows are one class; ids
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, release, ship, utf8
+from .common import Table, release, ship, tidy, utf8
 from .components import components
 
 _SPACE = np.zeros(256, bool)
@@ -248,7 +249,7 @@ def sketch(docs: DataFrame, rule: Rule, buckets: int, *, id_col: str, text_col:
         if keys:
             yield blobs(keys, sets, bands)
 
-    return rows.mapInArrow(run, _SKETCHED)
+    return rows.mapInArrow(tidy(run), _SKETCHED)
 
 
 def _meet(blobs: DataFrame) -> DataFrame:
@@ -300,7 +301,7 @@ def _meet(blobs: DataFrame) -> DataFrame:
         if parts:
             yield rows(bucket, parts)
 
-    return blobs.mapInArrow(run, "key long, head long, band int")
+    return blobs.mapInArrow(tidy(run), "key long, head long, band int")
 
 
 def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -320,7 +321,7 @@ def _sets(texts: DataFrame, rule: Rule) -> DataFrame:
                 sent.clear()
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(got, pa.binary())], ["digest", "s"])
 
-    return texts.mapInArrow(run, "digest binary, s binary")
+    return texts.mapInArrow(tidy(run), "digest binary, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -342,7 +343,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 nb.append(len(q))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (common, na, nb)]], ["a", "b", "common", "na", "nb"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, common long, na long, nb long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long, common long, na long, nb long")
 
 
 def _links(verified: DataFrame, rule: Rule) -> Column:
@@ -365,8 +366,8 @@ def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
     buckets = min(4 * partitions, 1 << 15)
     sketched = Table(sketch(docs, rule, buckets, id_col=id_col, text_col=text_col), "jac-sketched")
     sketches = Table(sketched.df.where("bucket is null").select("id", "key", "n", "digest"), "jac-sets").df
-    # A class is an equal set; its name is its row in this table, so that no two classes share one whatever their ids.
-    classes = Table(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")).withColumn("name", F.monotonically_increasing_id()), "jac-classes")
+    # A class is an equal set; its name is its row in this table, so that no two classes share one whatever their ids; names go by ids.
+    classes = Table(sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")).repartitionByRange("class_id").sortWithinPartitions("class_id").withColumn("name", F.monotonically_increasing_id()), "jac-classes")
     # The digest's first eight bytes, as the number that blobs hold.
     heads = classes.df.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("head"), "name")
     met = Table(_meet(sketched.df.where("bucket is not null").select("bucket", "blob").repartition(partitions, "bucket").sortWithinPartitions("bucket")), "jac-met")
@@ -375,10 +376,10 @@ def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
     able = met.df.groupBy("head", "band").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("head", "band")
     shared = Table(met.df.join(able, ["head", "band"]).join(heads, "head").select("key", F.col("name").alias("id")), "jac-shared")
     met.drop()
-    # First, each class against the first that it shares a key with.
+    # First, each class against the one that comes first under most of its keys: chance brings others together under one or two.
     groups = shared.df.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
     members = shared.df.join(groups, "key")
-    first = Table(members.where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "jac-star")
+    first = Table(_most_shared(members.where("a <> id").select("a", F.col("id").alias("b"))), "jac-star")
     wanted = Table(members.select(F.col("id").alias("name")).distinct().join(classes.df, "name"), "jac-wanted")
     asked = wanted.df.select(F.col("class_id").alias("__asked")).distinct()
     texts = docs.join(asked, F.col(id_col).cast("long").eqNullSafe(F.col("__asked")), "left_semi").select(text_col)
@@ -389,22 +390,43 @@ def _grouped(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
     first.drop()
     links = done.df.where(_links(done.df, rule)).select("a", "b")
     names = components(links)
-    rest = _open_pairs(shared.df, names, sets.df, rule)
-    second = Table(_verified(rest, sets.df, rule), "jac-verified")
+    # What that leaves apart is compared with the hubs of its groups; whatever is apart then, with one another.
+    for open_pairs in (lambda: _hub_pairs(shared.df, names), lambda: _open_pairs(shared.df, names, sets.df, rule)):
+        pairs = Table(open_pairs(), "jac-open")
+        done = Table(_verified(pairs.df, sets.df, rule), "jac-verified")
+        pairs.drop()
+        more = done.df.where(_links(done.df, rule)).select("a", "b")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            names = components(links)
     sets.drop()
     shared.drop()
-    more = second.df.where(_links(second.df, rule)).select("a", "b")
-    if more.limit(1).count():
-        names = components(links.unionByName(more))
-    done.drop()
-    second.drop()
     linked = classes.df.join(names.withColumnRenamed("id", "name"), "name", "left").select("digest", "class_id", F.coalesce("component", "name").alias("group"))
     smallest = linked.groupBy("group").agg(F.min("class_id").alias("component_id"))
     full = Table(linked.join(smallest, "group"), "jac-named").df
     return sketches.join(full, "digest", "left").select("id", "key", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), "group")
 
 
-#: Bits of a folded sketch for each shingle of the larger set in a group; unrelated sets then differ in over twice what linked ones may.
+def _hub_pairs(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b): each class that shares a key with a class of another component, with the hub among those: the one that shares keys most."""
+    named = shared.join(names, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("key", "k")
+    members = named.join(mixed, "key")
+    degree = members.groupBy("id").agg(F.sum("k").alias("degree"))
+    ranked = members.join(degree, "id")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("last"), "c")).alias("hub"))
+    met = ranked.select("key", "id", "c").join(hubs, "key").where(F.col("hub.c") != F.col("c"))
+    best = _most_shared(met.select((-F.col("hub.last")).alias("a"), F.col("id").alias("b")))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _most_shared(met: DataFrame) -> DataFrame:
+    """(a, b): of (a, b) of each key, for each b the a that it meets under most keys, the first of equals."""
+    times = met.groupBy("b", "a").agg(F.count("*").alias("n"))
+    return times.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+
+
+#: Bits of a folded sketch for each shingle: unrelated sets then differ in over twice what linked ones may.
 _FOLD = 1
 
 
@@ -425,7 +447,7 @@ def _open_pairs(shared: DataFrame, names: DataFrame, sets: DataFrame, rule: Rule
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("c0 <> c1").select("key", "blocks")
     placed = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = placed.select("key", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("own"), "id", "c")
-    folded = sets.mapInArrow(_folded_rows, "id long, n long, f binary")
+    folded = sets.mapInArrow(tidy(_folded_rows), "id long, n long, f binary")
     rows = spread.join(folded, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     def run(batches):
@@ -439,7 +461,7 @@ def _open_pairs(shared: DataFrame, names: DataFrame, sets: DataFrame, rule: Rule
         if held:
             yield from _pairs(held, rule)
 
-    return rows.select("key", "i", "j", "id", "c", "n", "f").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "i", "j", "id", "c", "n", "f").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _folded_rows(batches):
@@ -452,6 +474,10 @@ def _folded_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.binary())], ["id", "n", "f"])
 
 
+#: Pairs sent on at once.
+SENT = 50_000
+
+
 def _pairs(held: list[tuple], rule: Rule):
     ids, c, n = (np.array([r[k] for r in held]) for k in (3, 4, 5))
     if (c == c[0]).all():
@@ -460,14 +486,21 @@ def _pairs(held: list[tuple], rule: Rule):
     sketch = np.empty((len(held), least), np.uint64)
     for i, r in enumerate(held):  # a longer fold folds onto a shorter one
         sketch[i] = np.bitwise_xor.reduce(np.frombuffer(r[6], np.uint64).reshape(-1, least), axis=0)
+    a, b, size = [], [], 0
     for i in range(len(held) - 1):
         j = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
-        if len(j):
-            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
-            j = j[apart <= (rule.den - rule.num) * (n[j] + n[i]) // (rule.den + rule.num)]
-        if len(j):
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if not len(j):
+            continue
+        apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
+        j = j[apart <= (rule.den - rule.num) * (n[j] + n[i]) // (rule.den + rule.num)]
+        a.append(np.minimum(ids[i], ids[j]))
+        b.append(np.maximum(ids[i], ids[j]))
+        size += len(j)
+        if size > SENT:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a, b, size = [], [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 def keep_first(docs: DataFrame, rule: Rule | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
