@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Table, ship
+from .common import Table, ship, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of discovered spans: the base ones and what only contexts can tell.
@@ -127,7 +127,8 @@ def _instance(token: str) -> str:
 
 @lru_cache(1 << 16)
 def _plain(word: str) -> str:
-    return _short(re.sub(r"[0-9]", "0", word.lower()).strip("\"'<>()[]{}.,;!?*|"))
+    low = re.sub(r"[0-9]", "0", word.lower())
+    return _short(low.strip("\"'<>()[]{}.,;!?*|") or low)
 
 
 def _before(text: str, start: int) -> list[str]:
@@ -151,7 +152,19 @@ def _contexts(before: list[str], after: str | None) -> list[str]:
     return found
 
 
+def _word_around(text: str, start: int, end: int, last: tuple[int, int] = (0, 0)) -> tuple[int, int]:
+    """From white space to white space; ``last`` is what the place before gave, so that a long word is walked once."""
+    if last[0] <= start and end <= last[1]:
+        return last
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return start, end
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
+    """Of a place that begins and ends at white space."""
     after = _WORD.search(text, end)
     return _contexts([_plain(w) for w in _before(text, start)], _plain(after[0]) if after else None)
 
@@ -183,14 +196,13 @@ def _words_in(text: str, wanted, known: _Known):
         word, (a, b) = words[i], spans[i]
         if _HINT.search(word):
             continue
-        if word[0] in _EDGE or word[-1] in _EDGE:
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while b > a and text[b - 1] in _EDGE:
-                b -= 1
-            held = patterns(text, a, b) if b > a else []
-        else:
-            held = _contexts([_plain(w) for w in words[max(0, i - 2) : i]], _plain(words[i + 1]) if i + 1 < len(words) else None)
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        if a == b:
+            continue
+        held = _contexts([_plain(w) for w in words[max(0, i - 2) : i]], _plain(words[i + 1]) if i + 1 < len(words) else None)
         held = [p for p in held if wanted(p)]
         if held:
             base = base_spans(text) if base is None else base
@@ -237,7 +249,7 @@ def contexts(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str) -
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], schema.names)
 
-    return rows.mapInArrow(run, schema).join(known.select("pattern").distinct(), "pattern", "left_semi")
+    return rows.mapInArrow(tidy(run), schema).join(known.select("pattern").distinct(), "pattern", "left_semi")
 
 
 _OCCURRENCE = "array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>>"
@@ -261,10 +273,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
                 held = []
                 if with_contexts and (base or _HINT.search(text)):
                     held = [(k, a, b) for k, a, b in base] + [("secret" if _SECRET.match(text[a:b]) else None, a, b) for a, b in _tokens(text, base)]
-                seen.append([{"kind": k, "start": a, "end": b, "instance": _instance(text[a:b]), "patterns": patterns(text, a, b)} for k, a, b in held])
+                rows, last = [], (0, 0)
+                for k, a, b in sorted(held, key=lambda h: h[1]):
+                    last = _word_around(text, a, b, last)
+                    rows.append({"kind": k, "start": a, "end": b, "instance": _instance(text[a:b]), "patterns": patterns(text, *last)})
+                seen.append(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, span_type), pa.array(seen, occurrence_type)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
@@ -362,7 +378,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
 
 
 def blank(text: str, spans: list[tuple[str, int, int]]) -> str:
