@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _LOCAL_SCRATCH: list[str] = []
+#: Settings of batches, where the session has Spark's own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,14 +31,14 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
-    # Batches of whole texts: a tenth of Spark's default keeps what a task holds at once small.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # Batches of whole texts: bounded in bytes, so that long ones do not pile up in a task.
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) in (None, "10000", "67108864b"):
+            spark.conf.set(name, value)
 
 
 def give_back() -> None:
-    """Return freed memory to the system: workers outlive their tasks."""
-    gc.collect()
+    """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -54,6 +56,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_SCRATCH[0]}"
 
 
+def tidy(run):
+    """``run`` over batches, giving freed memory back at its end: workers outlive their tasks, several to an executor."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 class Table:
     """A DataFrame written once to the shared folder and read back, with its path."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32, give_back, ship, utf8
+from .common import crc32, give_back, ship, tidy, utf8
 
 NGRAMS = (1, 2, 3, 4)
 #: Bytes looked at in one go; longer texts are taken in overlapping slices.
@@ -247,4 +247,4 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", k
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], *names])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)

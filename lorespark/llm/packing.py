@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import binpack, tokens
-from .common import Table, crc32, ship
+from .common import Table, crc32, ship, tidy
 
 _log = logging.getLogger(__name__)
 #: Pieces of one length that one task ranks.
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
                 cols = [some.column(0).take(pa.array(of, pa.int64())), *[pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]]
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _slots(packing: binpack.Packing) -> list[tuple[int, int, int, int, int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32, give_back, ship, utf8
+from .common import crc32, give_back, ship, tidy, utf8
 from .langid import fold
 
 #: Bytes hashed in one go; slices end between words unless a word is longer than this.
@@ -214,4 +214,4 @@ def score(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text
             got = pa.array([m.score(raw) for raw in utf8(batch.column(batch.num_columns - 1))], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], [*batch.schema.names[:-1], output])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
