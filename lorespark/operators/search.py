@@ -99,6 +99,23 @@ def related_sources(docs: DataFrame) -> DataFrame:
     return met.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("similarity"))
 
 
+def related_tags(docs: DataFrame, tag: str, top: int = 10) -> DataFrame:
+    """Tags of the sources that have ``tag``: in how many of these, in what share of them, in how many sources at all."""
+    tags = source_tags(docs).where("source IS NOT NULL")
+    holders = tags.where(F.col("tag") == tag).select("source", F.lit(True).alias("held"))
+    by = tags.join(holders, "source", "left").groupBy("tag").agg(F.count_if("held").alias("together"), F.count("*").alias("total_usage")).where("together > 0")
+    # The tag itself comes first and has all holders; the window sees these few rows only.
+    first = by.orderBy((F.col("tag") == tag).desc(), F.col("together").desc(), "tag").limit(top + 1)
+    share = F.round(F.col("together") / F.max("together").over(Window.partitionBy()), 2)
+    return first.withColumn("score", share).where(F.col("tag") != tag).select("tag", "together", "total_usage", "score")
+
+
+def tag_suggestions(docs: DataFrame, part: str, top: int = 10) -> DataFrame:
+    """Tags that hold ``part``: those that begin with it first, then the shortest."""
+    found = source_tags(docs).where(F.contains("tag", F.lit(part.lower()))).select("tag").distinct()
+    return found.orderBy(~F.startswith("tag", F.lit(part.lower())), F.length("tag"), "tag").limit(top)
+
+
 def multi_tag(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """Documents with any of the tags, and what share of them they have."""
     hits = F.array_intersect(F.array_distinct(tokens(F.col("text"))), F.array(*[F.lit(t) for t in wanted]))
@@ -164,6 +181,8 @@ QUERIES = {
     "se_popular_tags": lambda s, d: popular_tags(table(s, d, "documents")),
     "se_tag_relevance": lambda s, d: tag_relevance(table(s, d, "documents")),
     "se_related_sources": lambda s, d: related_sources(table(s, d, "documents")),
+    "se_related_tags": lambda s, d: related_tags(table(s, d, "documents"), "license"),
+    "se_tag_suggestions": lambda s, d: tag_suggestions(table(s, d, "documents"), "en"),
     "se_multi_tag": lambda s, d: multi_tag(table(s, d, "documents"), TERMS),
     "se_facets": lambda s, d: facets(table(s, d, "documents")),
     "se_suggestions": lambda s, d: suggestions(table(s, d, "documents"), "th"),
@@ -184,6 +203,8 @@ ORACLE = {
     "se_popular_tags": f"SELECT tag, count(*) AS popularity, sum(n)::BIGINT AS n_docs, min(source) AS first_source FROM {_TAGS_SQL} GROUP BY tag ORDER BY popularity DESC, n_docs DESC, tag LIMIT 20",
     "se_tag_relevance": f"SELECT source, count(*) AS n_tags, count(*) FILTER (p = 1) AS n_unique, count(*) FILTER (p > 5) AS n_common, sum(100 + CASE WHEN p = 1 THEN 30 WHEN p <= 3 THEN 20 ELSE 0 END)::BIGINT AS relevance FROM (SELECT *, count(*) OVER (PARTITION BY tag) AS p FROM {_TAGS_SQL}) GROUP BY source",
     "se_related_sources": f"WITH t AS {_TAGS_SQL}, s AS (SELECT source, count(*) AS n FROM t GROUP BY source), b AS (SELECT x.source AS a, y.source AS b, count(*) AS shared FROM t x JOIN t y ON x.tag = y.tag AND x.source < y.source GROUP BY ALL) SELECT a, b, shared, round(shared / (p.n + q.n - shared), 6) AS similarity FROM b JOIN s p ON p.source = a JOIN s q ON q.source = b",
+    "se_related_tags": f"WITH t AS {_TAGS_SQL}, h AS (SELECT source FROM t WHERE tag = 'license' AND source IS NOT NULL) SELECT tag, count(*) FILTER (source IN (FROM h)) AS together, count(*) AS total_usage, round(together / (SELECT count(*) FROM h), 2) AS score FROM t WHERE source IS NOT NULL AND tag <> 'license' GROUP BY tag HAVING together > 0 ORDER BY together DESC, tag LIMIT 10",
+    "se_tag_suggestions": f"SELECT tag FROM (SELECT DISTINCT tag FROM {_TAGS_SQL}) WHERE contains(tag, 'en') ORDER BY NOT starts_with(tag, 'en'), length(tag), tag LIMIT 10",
     "se_multi_tag": f"SELECT doc_id, n::INT AS n, round(n / {len(TERMS)}, 6) AS ratio FROM (SELECT doc_id, len(list_intersect(list_distinct(ts), {_Q})) AS n FROM {_TOKENS_SQL}) WHERE n > 0",
     "se_facets": "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY ALL UNION ALL SELECT 'size', CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END, count(*) FROM documents GROUP BY ALL",
     "se_suggestions": f"SELECT term, count(*) AS n, levenshtein(term, 'th')::INT AS edits FROM {_POSTINGS_SQL} WHERE starts_with(term, 'th') GROUP BY term ORDER BY n DESC, term LIMIT 10",

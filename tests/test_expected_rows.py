@@ -2,10 +2,11 @@
 
 import ast
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.operators import code, discovery, markup, repos, search, text, urls, web
+from lorespark.operators import code, discovery, markup, models, repos, search, text, urls, web
 from lorespark.sources import tables
 
 
@@ -106,3 +107,33 @@ def test_errors(spark, kind, message, want):
     event = next(k for k in range(45) if k % 9 == kind and k % 5 == message)
     got = discovery.error_categories(spark.createDataFrame([(event,)], "event_id long")).collect()
     assert [(r["category"], r["n"]) for r in got] == [(want, 1)]
+
+
+def test_tags_that_occur_together(spark):
+    docs = spark.createDataFrame([(1, "a", "spark license table"), (2, "b", "license table index"), (3, "c", "table licensed"), (4, None, "license nothing")], "doc_id int, source string, text string")
+    got = [(r["tag"], r["together"], r["total_usage"], r["score"]) for r in search.related_tags(docs, "license").collect()]
+    assert got == [("table", 2, 3, 1.0), ("index", 1, 1, 0.5), ("spark", 1, 1, 0.5)]
+    assert [r["tag"] for r in search.tag_suggestions(docs, "LIC").collect()] == ["license", "licensed"]
+
+
+def test_latent_directions_are_singular_vectors(spark):
+    rng = np.random.default_rng(3)
+    dense = rng.standard_normal((60, 4)) @ rng.standard_normal((4, 30)) + 1e-3 * rng.standard_normal((60, 30))
+    rows = spark.createDataFrame([(list(range(30)), [float(x) for x in r]) for r in dense], "ids array<int>, weights array<double>").repartition(3)
+    got = models.latent_directions(rows, 30, rank=4)
+    want = np.linalg.svd(dense)[2][:4].T
+    assert np.allclose(np.abs((got * want).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_clusters_and_topics_name_their_words(spark):
+    kinds = [["river", "water", "boat", "shore", "stream"], ["engine", "wheel", "brake", "gear", "motor"]]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(kinds[i % 2], 12))) for i in range(40)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for got in (models.clusters(docs, k=2, rank=5).collect(), models.topics(docs, k=2).collect()):
+        assert sorted(r["doc_id"] for r in got) == list(range(42))
+        at = {r["doc_id"]: r[1] for r in got}
+        assert len({at[i] for i in range(0, 40, 2)}) == len({at[i] for i in range(1, 40, 2)}) == 1 and at[0] != at[1]
+        for r in got:
+            if r["doc_id"] < 40:
+                assert {w for t in r["keywords"][:5] for w in t.split()} <= set(kinds[r["doc_id"] % 2])
