@@ -12,7 +12,7 @@ from .text import STOP
 # Categories by substrings, in the order they are tried.
 CATEGORIES = {"api": ["api", "endpoint", "rest", "graphql"], "guide": ["guide", "tutorial", "how-to", "howto"], "reference": ["reference", "doc", "documentation"], "concept": ["concept", "overview", "introduction"], "example": ["example", "sample", "demo"]}
 #: A query for the corpus at hand.
-TERMS = ["the", "and", "reation", "license"]
+TERMS = ["the", "and", "data", "license"]
 
 
 def tokens(text: Column, longer_than: int = 0) -> Column:
