@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import code, convert, discovery, graph, history, markup, models, repos, search, text, urls, web
+from ..operators import code, convert, dependencies, discovery, graph, history, markup, models, operations, repos, search, text, urls, web
 from ..streaming import events
 
-MODULES = (text, code, web, markup, urls, convert, search, discovery, history, graph, repos, models, events)
+MODULES = (text, code, web, markup, urls, convert, search, discovery, history, graph, dependencies, repos, models, operations, events)
 
 
 def queries() -> dict:
