@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of
-from ..sources.tables import table
+from ..sources.tables import kept, table
+from .urls import resolve
 from .web import HREF
 
 # Pairs known to conflict and families of which one is enough.
@@ -152,34 +153,45 @@ def pair_matrix(nations: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).select("a", "b", kind.alias("kind"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst): pages whose first links are alike follow each other: a page links to the next that shares its first target."""
-    first = F.regexp_extract("html", HREF, 1)
-    line = Window.partitionBy(first).orderBy("page_id")
-    return pages.select(F.col("page_id").alias("src"), F.lead("page_id").over(line).alias("dst"), F.lead("page_id", 3).over(line).alias("far"))
+def url_links(pages: DataFrame) -> DataFrame:
+    """(src, dst): the links of every page as URLs, resolved against the page's own, fragments left out."""
+    href = F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href")
+    each = pages.select("url", href).select(F.substring_index("url", "#", 1).alias("src"), resolve(F.col("url"), F.col("href")).alias("dst"))
+    return each.where("dst like 'http%'").distinct()
 
 
-def frontier(spark: SparkSession, pages: DataFrame, seeds_below: int = 10, most_depth: int = 4, budget: int = 100_000) -> DataFrame:
-    """(page_id, depth): breadth first from the seeds along links, each page once, at most ``budget`` new ones a depth.
+def entry_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(url,): pages that no link leads to, where a crawl of them all has to begin."""
+    own = pages.select(F.substring_index("url", "#", 1).alias("url")).where("url is not null").distinct()
+    return own.join(links.select(F.col("dst").alias("url")), "url", "left_anti")
 
+
+def frontier(links: DataFrame, seeds: DataFrame, budget: int | None = None) -> DataFrame:
+    """(url, depth): breadth first from the seeds along (src, dst), each URL once, until nothing new is found.
+
+    ``budget`` is the most new URLs that a depth takes, first by name; all where it is not given.
     Every depth is a table in the shared folder, so that the plan stays flat and a lost executor costs one depth.
     """
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lorespark"
-    root = f"{home.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    both = page_links(pages)
-    links = both.select("src", "dst").unionByName(both.select("src", F.col("far").alias("dst"))).where("dst is not null").distinct()
-    pages.where(F.col("page_id") < seeds_below).select("page_id", F.lit(0).alias("depth")).write.parquet(f"{root}/depth=0")
-    schema = "page_id long"
-    for depth in range(1, most_depth + 1):
-        visited = spark.read.schema(schema).parquet(*[f"{root}/depth={k}" for k in range(depth)])
-        edge = spark.read.schema(schema).parquet(f"{root}/depth={depth - 1}")
-        found = edge.join(links, edge.page_id == links.src).select(F.col("dst").alias("page_id")).distinct().join(visited, "page_id", "left_anti")
-        found.orderBy("page_id").limit(budget).withColumn("depth", F.lit(depth)).write.parquet(f"{root}/depth={depth}")
-    return spark.read.schema("page_id long, depth int").parquet(*[f"{root}/depth={k}" for k in range(most_depth + 1)])
+    links = kept(links.select("src", "dst"), "frontier-links")
+    edge = kept(seeds.select("url", F.lit(0).alias("depth")).dropDuplicates(["url"]), "frontier")
+    visited, depth = edge, 0
+    while not edge.isEmpty():
+        depth += 1
+        found = edge.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
+        if budget is not None:
+            found = found.orderBy("url").limit(budget)
+        edge = kept(found.withColumn("depth", F.lit(depth)), "frontier")
+        visited = visited.unionByName(edge)
+    return visited
+
+
+def page_frontier(pages: DataFrame) -> DataFrame:
+    links = kept(url_links(pages), "frontier-links")
+    return frontier(links, entry_pages(pages, links))
 
 
-_LINK_SQL = rf"(SELECT page_id AS src, lead(page_id) OVER w AS dst, lead(page_id, 3) OVER w AS far FROM (SELECT page_id, regexp_extract(html, '{HREF}', 1) AS f FROM pages) WINDOW w AS (PARTITION BY f ORDER BY page_id))"
-_FRONTIER_SQL = f"WITH RECURSIVE b AS MATERIALIZED {_LINK_SQL}, l AS MATERIALIZED (SELECT src, dst FROM b WHERE dst IS NOT NULL UNION SELECT src, far FROM b WHERE far IS NOT NULL), t AS (SELECT page_id, 0 AS depth FROM pages WHERE page_id < 10 UNION SELECT l.dst, t.depth + 1 FROM t JOIN l ON l.src = t.page_id WHERE t.depth < 4) SELECT page_id, min(depth)::INT AS depth FROM t GROUP BY page_id"
+_FRONTIER_SQL = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS src, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*$', '') AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM pages) WHERE starts_with(href, '/')),
+t AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url, 0 AS depth FROM pages WHERE regexp_replace(url, '#.*$', '') NOT IN (SELECT dst FROM l) UNION SELECT l.dst, t.depth + 1 FROM t JOIN l ON l.src = t.url WHERE t.depth < 50) SELECT url, min(depth)::INT AS depth FROM t GROUP BY url"""
 
 
 def should_crawl(pages: DataFrame) -> DataFrame:
@@ -232,7 +244,7 @@ QUERIES = {
     "dg_tree_metrics": lambda s, d: tree_metrics(table(s, d, "orders")),
     "dg_diagram": lambda s, d: rendered_edges(table(s, d, "nation"), table(s, d, "region")),
     "dg_matrix": lambda s, d: pair_matrix(table(s, d, "nation")),
-    "cr_frontier": lambda s, d: frontier(s, table(s, d, "pages")),
+    "cr_frontier": lambda s, d: page_frontier(table(s, d, "pages")),
     "cr_should_crawl": lambda s, d: should_crawl(table(s, d, "pages")),
     "cr_backend": lambda s, d: backend_for(s, table(s, d, "pages")),
     "cr_task_status": lambda s, d: task_status(table(s, d, "events")),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lorespark.operators import graph, history, models, text, web
+from lorespark.operators import dependencies, graph, history, models, operations, text, web
 
 
 def test_similarity_of_kitten_and_sitting(spark):
@@ -62,3 +62,44 @@ def test_entry_gives_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_crawl_takes_every_page_once_whatever_the_circles(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d"), ("x", "y"), ("y", "x")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",)], "url string")
+    assert sorted(map(tuple, graph.frontier(links, seeds).collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 1)]
+    assert sorted(map(tuple, graph.frontier(links, seeds, budget=1).collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert graph.frontier(links, seeds.limit(0)).count() == 0
+
+
+def test_links_of_every_form_become_urls(spark):
+    html = '<a href="/x#top"></a><a href="y"></a><a href="https://b.org/z"></a><a href="mailto:q@b.org"></a>'
+    pages = spark.createDataFrame([(1, "https://a.org/d/e?q#f", html)], "page_id long, url string, html string")
+    assert sorted(r["dst"] for r in graph.url_links(pages).collect()) == ["https://a.org/d/y", "https://a.org/x", "https://b.org/z"]
+
+
+def _deps(spark, rows):
+    return spark.createDataFrame(rows, "project long, node long, ecosystem string, name string, version string, parent long")
+
+
+def test_issues_circles_and_trees_of_dependencies(spark):
+    rows = [(1, 1, "python", "django", ">=4", None), (1, 2, "javascript", "react", ">=18", 1), (1, 3, "python", "django", ">=5", 2), (2, 1, "python", "numpy", "", None), (2, 2, "python", "pytest", ">=8", 1), (2, 3, "python", "flask", ">=3", None)]
+    deps = _deps(spark, rows)
+    found = {(r["project"], r["issue_type"], r["subject"], r["libraries"]) for r in dependencies.issues(deps).collect()}
+    assert found == {(1, "integration_opportunity", "python/javascript", ""), (1, "version_conflict", "django", ">=4, >=5")}
+    assert [r["suggestion"] for r in dependencies.resolutions(dependencies.issues(deps)).collect()] == ["Unify version specification for django"]
+    assert {r["project"]: r["circular"] for r in dependencies.circular(deps).collect()} == {1: True, 2: False}
+    trees = {r["project"]: r["tree"] for r in dependencies.tree_text(deps).collect()}
+    assert trees[1] == "└── django >=4\n    └── react >=18\n        └── django >=5\n"
+    assert trees[2] == "├── numpy \n│   └── pytest >=8\n└── flask >=3\n"
+    none = _deps(spark, [])
+    assert [f(none).count() for f in (dependencies.issues, dependencies.circular, dependencies.tree_text)] == [0, 0, 0]
+
+
+def test_a_breaker_opens_waits_and_closes(spark):
+    calls = [(1, 0, 0, True), (1, 1, 10, True), (1, 2, 20, False), (1, 3, 120, False), (1, 4, 130, True), (1, 5, 140, True), (1, 6, 150, False), (2, 7, 0, True), (2, 8, 1, False), (2, 9, 2, True)]
+    df = spark.createDataFrame(calls, "user_id long, event_id long, us long, failed boolean")
+    got = {r["event_id"]: (r["allowed"], r["state"]) for r in operations.circuit_breaker(df, failures=2, reset_us=100).collect()}
+    assert got == {0: (True, "closed"), 1: (True, "open"), 2: (False, "open"), 3: (True, "closed"), 4: (True, "closed"), 5: (True, "open"), 6: (False, "open"), 7: (True, "closed"), 8: (True, "closed"), 9: (True, "closed")}
+    waits = {r["event_id"]: r["waited"] for r in operations.rate_limit(df.where("user_id = 1"), most=2, period_us=200).collect()}
+    assert waits == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True, 6: True}
