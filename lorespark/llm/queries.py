@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licences, media, mixing, neardup, packing, pii, tokentree, toxicity
+from . import decontaminate, filters, hardneg, jaccard, langid, licences, media, mixing, neardup, packing, pii, tokentree, toxicity
 from .common import crc_bucket, documents
 
 
@@ -73,9 +73,23 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
+def op11_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", F.expr("if(vec_id % 7 = 0, (cast(label as bigint) + 1) % 10, label)"))
+    return hardneg.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_embedding_neardup, op4_source_mix, op5_gif_media, op6_token_counts, op7_ngram_jaccard, op8_pii, op9_toxicity, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_embedding_neardup, op4_source_mix, op5_gif_media, op6_token_counts, op7_ngram_jaccard, op8_pii, op9_toxicity, op10_licence_scan, op11_suffix_decontamination, op12_filter_audit, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mix": mixing.ORACLE, "op10_licence_scan": licences.oracle_sql()}
+    return {"op4_source_mix": mixing.ORACLE, "op10_licence_scan": licences.oracle_sql(), "op11_suffix_decontamination": decontaminate.ORACLE, "op12_filter_audit": filters.ORACLE, "op13_hard_negatives": hardneg.ORACLE}
