@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import kept, table
+from .setjoin import jaccard_pairs
 
 #: Interactions weigh by kind (fixed values): looked up, seen, taken.
 KIND_WEIGHT = {"view": 1.0, "click": 2.0, "purchase": 5.0}
@@ -130,13 +131,10 @@ def event_sessions(events: DataFrame, gap_minutes: int = 360) -> DataFrame:
 
 
 def similar_users(events: DataFrame, top: int = 5, least: float = 0.2) -> DataFrame:
-    """Users alike by the days they are active on: pairs come from shared days, the best ``top`` of each user stay."""
-    pairs = events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).where(F.col("event_type") == "purchase").distinct()
-    size = pairs.groupBy("user_id").agg(F.count("*").alias("n"))
-    a, b = pairs.select(F.col("user_id").alias("a"), "day"), pairs.select(F.col("user_id").alias("b"), "day")
-    both = a.join(b, "day").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    met = both.join(size.select(F.col("user_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("user_id").alias("b"), F.col("n").alias("nb")), "b")
-    scored = met.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("similarity")).where(F.col("similarity") > least)
+    """Users alike by the days they are active on: more than ``least``, the best ``top`` of each user."""
+    days = events.where((F.col("event_type") == "purchase") & F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.date_format("ts", "yyyy-MM-dd")).alias("terms"))
+    pairs = kept(jaccard_pairs(days, least).where(F.col("similarity") > least).select("a", "b", "similarity"), "alike")
+    scored = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))).where(F.col("rank") <= top).select("a", "b", "similarity", F.col("rank").cast("long").alias("rank"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of, quote, sql_any
-from ..sources.tables import table
+from ..sources.tables import kept, spread, table
+from .setjoin import jaccard_pairs
 from .text import STOP
 
 # Categories by substrings, in the order they are tried.
@@ -90,15 +91,33 @@ def tag_relevance(docs: DataFrame) -> DataFrame:
 
 
 def related_sources(docs: DataFrame) -> DataFrame:
-    """Jaccard of the sources' tag sets; pairs come from shared tags, whose sources are few."""
-    tags = source_tags(docs).select("source", "tag")
+    """Jaccard of the sources' tag sets, of all pairs that share a tag.
+
+    Tags of the very same sources count as one, with their number: a tag that many sources have makes
+    its pairs once, together with all tags like it, and each of these pairs is in the result.
+    """
+    tags = source_tags(docs).where("source IS NOT NULL").select("source", "tag")
     size = tags.groupBy("source").agg(F.count("*").alias("n"))
-    a, b = tags.select(F.col("source").alias("a"), "tag"), tags.select(F.col("source").alias("b"), "tag")
-    both = a.join(b, "tag").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    alike = tags.groupBy("tag").agg(F.sort_array(F.collect_set("source")).alias("holders")).where(F.size("holders") > 1).groupBy("holders").agg(F.count("*").alias("k"))
+    first = alike.select("holders", "k", F.posexplode("holders").alias("pos", "a"))
+    pairs = first.select("a", "k", F.explode(F.slice("holders", F.col("pos") + 2, F.size("holders"))).alias("b"))
+    both = pairs.groupBy("a", "b").agg(F.sum("k").alias("shared"))
     met = both.join(size.select(F.col("source").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("source").alias("b"), F.col("n").alias("nb")), "b")
     return met.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("similarity"))
 
 
+def all_related(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """(a, b, shared, similarity): all pairs of documents whose terms are ``least`` alike or more."""
+    return jaccard_pairs(docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("terms")), least)
+
+
+def most_related(docs: DataFrame, top: int = 5, least: float = 0.3) -> DataFrame:
+    """(doc_id, rank, related_id, similarity): each document's most alike others."""
+    pairs = kept(all_related(docs, least), "related")
+    both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("related_id"), "similarity").unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("related_id"), "similarity"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("similarity").desc(), "related_id"))).where(F.col("rank") <= top).select("doc_id", "rank", "related_id", "similarity")
+
+
 def related_tags(docs: DataFrame, tag: str, top: int = 10) -> DataFrame:
     """Tags of the sources that have ``tag``: in how many of these, in what share of them, in how many sources at all."""
     tags = source_tags(docs).where("source IS NOT NULL")
@@ -181,6 +200,8 @@ QUERIES = {
     "se_popular_tags": lambda s, d: popular_tags(table(s, d, "documents")),
     "se_tag_relevance": lambda s, d: tag_relevance(table(s, d, "documents")),
     "se_related_sources": lambda s, d: related_sources(table(s, d, "documents")),
+    "se_all_related": lambda s, d: all_related(spread(table(s, d, "documents"))),
+    "se_most_related": lambda s, d: most_related(spread(table(s, d, "documents"))),
     "se_related_tags": lambda s, d: related_tags(table(s, d, "documents"), "license"),
     "se_tag_suggestions": lambda s, d: tag_suggestions(table(s, d, "documents"), "en"),
     "se_multi_tag": lambda s, d: multi_tag(table(s, d, "documents"), TERMS),
@@ -194,7 +215,10 @@ QUERIES = {
 _Q = "[" + ", ".join(quote(t) for t in TERMS) + "]"
 _POSTINGS_SQL = f"(SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM {_TOKENS_SQL}) GROUP BY ALL)"
 _MEANS_SQL = "(SELECT label, list(x ORDER BY pos) AS e FROM (SELECT label, pos, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label)"
+_RELATED_SQL = f"(WITH t AS (SELECT doc_id, unnest(list_distinct(ts)) AS term FROM {_TOKENS_SQL}), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM t x JOIN t y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL) SELECT a, b, shared, round(shared / (m.n + k.n - shared), 6) AS similarity FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 10 * shared >= 3 * (m.n + k.n - shared))"
 ORACLE = {
+    "se_all_related": f"SELECT * FROM {_RELATED_SQL}",
+    "se_most_related": f"WITH p AS {_RELATED_SQL} SELECT doc_id, rank::INT AS rank, related_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, related_id) AS rank FROM (SELECT a AS doc_id, b AS related_id, similarity FROM p UNION ALL SELECT b, a, similarity FROM p)) WHERE rank <= 5",
     "se_index": f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM {_POSTINGS_SQL} GROUP BY term ORDER BY df DESC, term LIMIT 50",
     "se_search": f"SELECT doc_id, (2 * len(list_intersect(list_distinct(ts), {_Q})) + 3 * {sql_any('lower(source)', TERMS)}::INT)::BIGINT AS score FROM {_TOKENS_SQL} WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20",
     "se_snippets": "SELECT doc_id, CASE WHEN a > 0 THEN substr(text, b, 57 + a - b) ELSE substr(text, 1, 200) || '...' END AS snippet FROM (SELECT *, greatest(1, a - 50) AS b FROM (SELECT *, instr(lower(text), 'license') AS a FROM documents))",
