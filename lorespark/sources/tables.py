@@ -12,11 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """The session's shared folder; one under /tmp where none is set, which only a local session may use."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not home and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (home or "/tmp/lorespark").rstrip("/")
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the session's shared folder and read back; a folder under /tmp only where none is set."""
+    """``df`` written to the session's shared folder and read back."""
     spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lorespark"
-    path = f"{home.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
