@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of
-from ..sources.tables import kept, table
+from ..sources.tables import folder, kept, table
 from .urls import resolve
 from .web import HREF
 
@@ -110,8 +110,7 @@ def depths(edges: DataFrame) -> DataFrame:
     round brings no further node to its root.  Every round ends in a table.
     """
     spark = edges.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lorespark"
-    root = f"{home.rstrip('/')}/depths-{uuid.uuid4().hex}"
+    root = f"{folder(spark)}/depths-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, step: int) -> DataFrame:
         df.write.parquet(f"{root}/{step}")

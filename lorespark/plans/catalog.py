@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import code, convert, dependencies, discovery, fuzzy, graph, history, markup, models, operations, repos, search, text, urls, vectors, web
+from ..operators import code, convert, crawl, dependencies, discovery, fuzzy, graph, history, markup, models, operations, repos, search, text, urls, vectors, web
 from ..streaming import events
 
-MODULES = (text, code, web, markup, urls, convert, search, discovery, fuzzy, history, graph, dependencies, repos, models, vectors, operations, events)
+MODULES = (text, code, web, markup, urls, convert, search, discovery, fuzzy, history, graph, dependencies, repos, crawl, models, vectors, operations, events)
 
 
 def queries() -> dict:
