@@ -10,6 +10,7 @@ import html
 import html.parser
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,14 +70,22 @@ class _Builder(html.parser.HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        #: Open elements by tag, so that a tag that closes nothing needs no look at all of them.
+        self.n_open: Counter[str] = Counter()
+
+    def _close(self, k: int) -> None:
+        for n in self.open[k:]:
+            self.n_open[n.tag] -= 1
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in _SCOPES.get(tag, ()):
-                break
-            if self.open[k].tag in _CLOSES.get(tag, ()):
-                del self.open[k:]
-                break
+        if any(self.n_open[t] for t in _CLOSES.get(tag, ())):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in _SCOPES.get(tag, ()):
+                    break
+                if self.open[k].tag in _CLOSES[tag]:
+                    self._close(k)
+                    break
         names: dict[str, str] = {}
         for name, value in attrs:
             names.setdefault(name, value or "")
@@ -84,6 +93,7 @@ class _Builder(html.parser.HTMLParser):
         self.open[-1].nodes.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -91,10 +101,11 @@ class _Builder(html.parser.HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.n_open[tag]:
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag == tag:
+                    self._close(k)
+                    return
 
     def handle_data(self, data):
         self.open[-1].nodes.append(Node(None, text=data))
@@ -113,15 +124,16 @@ def safe(url: str) -> bool:
 
 
 def _flatten(value, prefix: str, out: dict[str, str]) -> None:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if not k.startswith("@"):
-                _flatten(v, f"{prefix}_{k.lower()}" if prefix else k.lower(), out)
-    elif isinstance(value, list):
-        for v in value:
-            _flatten(v, prefix, out)
-    elif prefix:
-        out.setdefault(prefix, value if isinstance(value, str) else json.dumps(value))
+    """Leaves by their path, the first of a path winning; on a stack of its own, since data may be nested at will."""
+    open_: list = [(prefix, value)]
+    while open_:
+        name, v = open_.pop()
+        if isinstance(v, dict):
+            open_.extend((f"{name}_{k.lower()}" if name else k.lower(), x) for k, x in reversed(v.items()) if not k.startswith("@"))
+        elif isinstance(v, list):
+            open_.extend((name, x) for x in reversed(v))
+        elif name:
+            out.setdefault(name, v if isinstance(v, str) else json.dumps(v))
 
 
 def metadata(root: Node) -> dict[str, str]:
@@ -132,7 +144,7 @@ def metadata(root: Node) -> dict[str, str]:
         if script.attrs.get("type", "").lower() == "application/ld+json":
             try:
                 _flatten(json.loads(script.content()), "", out)
-            except ValueError:
+            except (ValueError, RecursionError):  # broken, or nested deeper than the parser goes
                 continue
     for meta in root.walk("meta"):
         content = (meta.attrs.get("content", meta.attrs.get("value", "")) or "").strip()
@@ -163,27 +175,48 @@ def _language(node: Node) -> str | None:
     return None
 
 
+def _own(node: Node, *tags: str) -> list[Node]:
+    """Elements of these tags that are not inside one another, nor inside a table below."""
+    out, stack = [], list(reversed(node.nodes))
+    while stack:
+        n = stack.pop()
+        if n.tag in tags:
+            out.append(n)
+        elif n.tag is not None and n.tag != "table":
+            stack += reversed(n.nodes)
+    return out
+
+
 def _cells(row: Node, *tags: str) -> list[Node]:
-    return list(row.walk(*tags))
+    return _own(row, *tags)
+
+
+def _rows(node: Node) -> list[Node]:
+    """A table's own rows; those of tables inside it are theirs."""
+    return _own(node, "tr")
 
 
 def table_content(node: Node) -> dict:
     """Headers are the first row's; the others are rows."""
-    rows = list(node.walk("tr"))
+    rows = _rows(node)
     if not rows:
         return {"headers": [], "rows": []}
     head = _cells(rows[0], "th") or _cells(rows[0], "td")
     return {"headers": [c.clean() for c in head], "rows": [[c.clean() for c in _cells(r, "td", "th")] for r in rows[1:]]}
 
 
+#: Columns that a cell spans at most, as in browsers.
+SPAN = 1000
+
+
 def table_markdown(node: Node) -> str:
     out = []
-    for k, row in enumerate(node.walk("tr")):
+    for k, row in enumerate(_rows(node)):
         cells = (_cells(row, "th") or _cells(row, "td")) if k == 0 else _cells(row, "td", "th")
         texts = []
         for c in cells:
-            span = c.attrs.get("colspan", "1")
-            texts += [c.clean() or " "] * (int(span) if span.isdigit() else 1)
+            span = c.attrs.get("colspan") or "1"
+            texts += [c.clean() or " "] * (min(int(span[:6]), SPAN) if span.isascii() and span.isdigit() else 1)
         if texts:
             out.append(f"| {' | '.join(texts)} |")
             if k == 0:
@@ -239,37 +272,54 @@ def _assets(root: Node) -> list[dict]:
     return list(out.values())
 
 
+def _marked(n: Node, inner: str) -> str:
+    """A node as Markdown, for what its nodes came to."""
+    if n.tag in ("b", "strong"):
+        return f"**{inner.strip()}**" if inner.strip() else ""
+    if n.tag in ("i", "em"):
+        return f"*{inner.strip()}*" if inner.strip() else ""
+    if n.tag == "code":
+        return f"`{n.content()}`"
+    if n.tag == "a":
+        href = n.attrs.get("href", "")
+        return f"[{inner.strip()}]({href})" if href and safe(href) else inner
+    if n.tag == "img":
+        return f"![{n.attrs.get('alt', '')}]({n.attrs.get('src', '')})" if safe(n.attrs.get("src", "")) else ""
+    if n.tag == "abbr":
+        return f"{inner} ({n.attrs['title']})" if n.attrs.get("title") else inner
+    if n.tag == "iframe":
+        src = n.attrs.get("src", "")
+        return f"[iframe]({src})" if src and safe(src) else ""
+    return "\n" if n.tag == "br" else inner
+
+
 def _inline(node: Node) -> str:
     """A node's text with emphasis, code, links and images as Markdown."""
-    out = []
-    for n in node.nodes:
-        if n.tag is None:
+    open_ = [(node, iter(node.nodes), [])]
+    while True:
+        top, nodes, out = open_[-1]
+        n = next(nodes, None)
+        if n is None:
+            open_.pop()
+            text = "".join(out)
+            if not open_:
+                return text
+            open_[-1][2].append(_marked(top, text))
+        elif n.tag is None:
             out.append(n.text)
-            continue
-        if n.tag in _DROPPED and n.tag != "iframe":
-            continue
-        inner = _inline(n)
-        if n.tag in ("b", "strong"):
-            out.append(f"**{inner.strip()}**" if inner.strip() else "")
-        elif n.tag in ("i", "em"):
-            out.append(f"*{inner.strip()}*" if inner.strip() else "")
-        elif n.tag == "code":
-            out.append(f"`{n.content()}`")
-        elif n.tag == "a":
-            href = n.attrs.get("href", "")
-            out.append(f"[{inner.strip()}]({href})" if href and safe(href) else inner)
-        elif n.tag == "img":
-            out.append(f"![{n.attrs.get('alt', '')}]({n.attrs.get('src', '')})" if safe(n.attrs.get("src", "")) else "")
-        elif n.tag == "abbr":
-            out.append(f"{inner} ({n.attrs['title']})" if n.attrs.get("title") else inner)
-        elif n.tag == "iframe":
-            src = n.attrs.get("src", "")
-            out.append(f"[iframe]({src})" if src and safe(src) else "")
-        elif n.tag == "br":
-            out.append("\n")
-        else:
-            out.append(inner)
-    return "".join(out)
+        elif n.tag not in _DROPPED or n.tag == "iframe":
+            open_.append((n, iter(n.nodes), []))
+
+
+def _block_holders(root: Node) -> set[int]:
+    """Identities of nodes that are blocks or have one below them."""
+    order, found = [root], set()
+    for n in order:
+        order.extend(n.nodes)
+    for n in reversed(order):
+        if n.tag in _BLOCKS or any(id(x) in found for x in n.nodes):
+            found.add(id(n))
+    return found
 
 
 def _squeeze(text: str) -> str:
@@ -279,73 +329,75 @@ def _squeeze(text: str) -> str:
 def markdown(root: Node) -> str:
     """Headings, paragraphs, lists, tables, code, definitions, emphasis and links of the body."""
     body = next(root.walk("body"), root)
+    holders = _block_holders(body)
     out: list[str] = []
-
-    def block(node: Node) -> None:
-        loose: list[Node] = []
-
-        def flush() -> None:
-            if loose:
-                holder = Node("p")
-                holder.nodes = list(loose)
-                loose.clear()
-                text = _squeeze(_inline(holder))
-                if text:
-                    out.append(text)
-
-        for n in node.nodes:
-            if n.tag is None or (n.tag not in _BLOCKS and not any(x.tag in _BLOCKS for x in n.walk())):
-                loose.append(n)
-                continue
-            flush()
-            if n.tag in _DROPPED or n.tag == "head":
-                continue
-            if re.fullmatch("h[1-6]", n.tag):
-                text = _squeeze(_inline(n))
-                if text:
-                    out.append(f"{'#' * int(n.tag[1])} {text}")
-            elif n.tag == "pre":
-                code = next(n.walk("code"), n)
-                language = _language(code) or _language(n)
-                if language or "class" not in code.attrs:
-                    out.append(f"```{language or ''}\n{n.content().strip(chr(10))}\n```")
-            elif n.tag == "table":
-                text = table_markdown(n)
-                if text:
-                    out.append(text)
-            elif n.tag in ("ul", "ol"):
-                items = [_squeeze(_inline(i)) for i in n.nodes if i.tag == "li"]
-                out.append("\n".join(f"{k}. {t}" if n.tag == "ol" else f"- {t}" for k, t in enumerate(items, 1)))
-            elif n.tag == "dl":
-                holder = Node("")
-                holder.nodes = [n]
-                out.append("\n".join(f"**{d['term']}**: {d['text']}" for d in _definitions(holder)))
-            elif n.tag == "blockquote":
-                out.append("\n".join(f"> {line}" for line in _squeeze(_inline(n)).split("\n")))
-            else:
-                block(n)
-        flush()
-
-    block(body)
+    open_: list[tuple] = [(iter(body.nodes), [])]
+
+    def flush(loose: list[Node]) -> None:
+        if loose:
+            holder = Node("p")
+            holder.nodes = list(loose)
+            loose.clear()
+            text = _squeeze(_inline(holder))
+            if text:
+                out.append(text)
+
+    while open_:
+        nodes, loose = open_[-1]
+        n = next(nodes, None)
+        if n is None:
+            flush(loose)
+            open_.pop()
+            continue
+        if n.tag is None or id(n) not in holders:
+            loose.append(n)
+            continue
+        flush(loose)
+        if n.tag in _DROPPED or n.tag == "head":
+            continue
+        if re.fullmatch("h[1-6]", n.tag):
+            text = _squeeze(_inline(n))
+            if text:
+                out.append(f"{'#' * int(n.tag[1])} {text}")
+        elif n.tag == "pre":
+            code = next(n.walk("code"), n)
+            language = _language(code) or _language(n)
+            if language or "class" not in code.attrs:
+                out.append(f"```{language or ''}\n{n.content().strip(chr(10))}\n```")
+        elif n.tag == "table":
+            text = table_markdown(n)
+            if text:
+                out.append(text)
+        elif n.tag in ("ul", "ol"):
+            items = [_squeeze(_inline(i)) for i in n.nodes if i.tag == "li"]
+            out.append("\n".join(f"{k}. {t}" if n.tag == "ol" else f"- {t}" for k, t in enumerate(items, 1)))
+        elif n.tag == "dl":
+            holder = Node("")
+            holder.nodes = [n]
+            out.append("\n".join(f"**{d['term']}**: {d['text']}" for d in _definitions(holder)))
+        elif n.tag == "blockquote":
+            out.append("\n".join(f"> {line}" for line in _squeeze(_inline(n)).split("\n")))
+        else:
+            open_.append((iter(n.nodes), []))
     return "\n\n".join(x for x in out if x)
 
 
 def cleaned(root: Node) -> str:
     """The markup without scripts, styles and embedded frames, its elements with a few attributes only."""
-    out = []
-
-    def write(node: Node) -> None:
-        for n in node.nodes:
-            if n.tag is None:
-                out.append(html.escape(n.text, quote=False))
-            elif n.tag not in _DROPPED:
-                kept = "".join(f' {k}="{html.escape(v)}"' for k, v in n.attrs.items() if k in KEPT_ATTRIBUTES and safe(v))
-                out.append(f"<{n.tag}{kept}>")
-                if n.tag not in _VOID:
-                    write(n)
-                    out.append(f"</{n.tag}>")
-
-    write(root)
+    out: list[str] = []
+    left: list = list(reversed(root.nodes))
+    while left:
+        n = left.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag is None:
+            out.append(html.escape(n.text, quote=False))
+        elif n.tag not in _DROPPED:
+            kept = "".join(f' {k}="{html.escape(v)}"' for k, v in n.attrs.items() if k in KEPT_ATTRIBUTES and safe(v))
+            out.append(f"<{n.tag}{kept}>")
+            if n.tag not in _VOID:
+                left.append(f"</{n.tag}>")
+                left.extend(reversed(n.nodes))
     return "".join(out)
 
 
@@ -368,25 +420,34 @@ _FIELDS = {
 }
 
 
-def extract_page(page: str | None) -> dict:
+def _headings(root: Node) -> list[dict]:
+    heads = ((int(h.tag[1]), h.clean()) for h in root.walk("h1", "h2", "h3", "h4", "h5", "h6"))
+    return [{"level": k, "text": t} for k, t in sorted((h for h in heads if h[1]), key=lambda h: h[0])]
+
+
+#: How each field is taken from a parsed page.
+_TAKEN = {
+    "metadata": lambda root: [{"name": k, "value": v} for k, v in metadata(root).items()],
+    "headings": _headings,
+    "links": lambda root: [{"text": a.clean(), "href": a.attrs["href"], "title": a.attrs.get("title", "")} for a in root.walk("a") if "href" in a.attrs],
+    "images": lambda root: [{"src": i.attrs.get("src", ""), "alt": i.attrs.get("alt", ""), "title": i.attrs.get("title", "")} for i in root.walk("img")],
+    "assets": _assets,
+    "tables": lambda root: [table_content(t) for t in root.walk("table")],
+    "code": lambda root: [{"language": _language(next(p.walk("code"), p)) or _language(p), "code": p.content().strip("\n")} for p in root.walk("pre")],
+    "definitions": _definitions,
+    "abbreviations": lambda root: [{"term": a.clean(), "title": a.attrs.get("title", "")} for a in root.walk("abbr")],
+    "footnotes": _footnotes,
+    "frames": lambda root: [f.attrs["src"] for f in root.walk("iframe") if f.attrs.get("src") and safe(f.attrs["src"])],
+    "text": lambda root: " ".join(next(root.walk("body"), root).content(_DROPPED).split()),
+    "markdown": markdown,
+    "cleaned": cleaned,
+}
+
+
+def extract_page(page: str | None, wanted: list[str] | None = None) -> dict:
+    """The fields ``wanted`` (all if not given) of a page, of any depth; only these are made."""
     root = parse(page)
-    heads = sorted(((int(h.tag[1]), h.clean()) for h in root.walk("h1", "h2", "h3", "h4", "h5", "h6") if h.clean()), key=lambda h: h[0])
-    return {
-        "metadata": [{"name": k, "value": v} for k, v in metadata(root).items()],
-        "headings": [{"level": k, "text": t} for k, t in heads],
-        "links": [{"text": a.clean(), "href": a.attrs["href"], "title": a.attrs.get("title", "")} for a in root.walk("a") if "href" in a.attrs],
-        "images": [{"src": i.attrs.get("src", ""), "alt": i.attrs.get("alt", ""), "title": i.attrs.get("title", "")} for i in root.walk("img")],
-        "assets": _assets(root),
-        "tables": [table_content(t) for t in root.walk("table")],
-        "code": [{"language": _language(next(p.walk("code"), p)) or _language(p), "code": p.content().strip("\n")} for p in root.walk("pre")],
-        "definitions": _definitions(root),
-        "abbreviations": [{"term": a.clean(), "title": a.attrs.get("title", "")} for a in root.walk("abbr")],
-        "footnotes": _footnotes(root),
-        "frames": [f.attrs["src"] for f in root.walk("iframe") if f.attrs.get("src") and safe(f.attrs["src"])],
-        "text": " ".join(next(root.walk("body"), root).content(_DROPPED).split()),
-        "markdown": markdown(root),
-        "cleaned": cleaned(root),
-    }
+    return {name: _TAKEN[name](root) for name in wanted or _TAKEN}
 
 
 def extract(pages: DataFrame, wanted: list[str] | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -397,7 +458,7 @@ def extract(pages: DataFrame, wanted: list[str] | None = None, id_col: str = "pa
 
     def run(batches):
         for batch in batches:
-            got = [extract_page(p.as_py()) for p in batch.column(1)]
+            got = [extract_page(p.as_py(), names) for p in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[n] for g in got], _FIELDS[n][0]) for n in names]], [id_col, *names])
 
     return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} {_FIELDS[n][1]}" for n in names))
