@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import code, convert, crawl, dependencies, diffs, discovery, fuzzy, graph, history, hosts, markup, models, operations, repos, search, text, urls, vectors, web
+from ..operators import code, convert, crawl, dependencies, diffs, discovery, fuzzy, graph, history, hosts, lightmarkup, markup, models, operations, repos, search, text, urls, vectors, web
 from ..streaming import events
 
-MODULES = (text, code, web, markup, urls, hosts, convert, search, discovery, fuzzy, history, diffs, graph, dependencies, repos, crawl, models, vectors, operations, events)
+MODULES = (text, code, web, markup, lightmarkup, urls, hosts, convert, search, discovery, fuzzy, history, diffs, graph, dependencies, repos, crawl, models, vectors, operations, events)
 
 
 def queries() -> dict:
