@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..operators import code, convert, crawl, dependencies, diffs, discovery, fuzzy, graph, history, hosts, lightmarkup, markup, models, operations, repos, search, store, text, urls, vectors, web
+from ..sources import codecs
 from ..streaming import events
 
-MODULES = (text, code, web, markup, lightmarkup, urls, hosts, convert, search, discovery, fuzzy, history, diffs, store, graph, dependencies, repos, crawl, models, vectors, operations, events)
+MODULES = (codecs, text, code, web, markup, lightmarkup, urls, hosts, convert, search, discovery, fuzzy, history, diffs, store, graph, dependencies, repos, crawl, models, vectors, operations, events)
 
 
 def queries() -> dict:
