@@ -31,7 +31,7 @@ def sets_of(seed, n=150):
     return rows + [(500, None), (501, []), (502, [None]), (503, ["w0", None]), (504, ["w0"]), (504, ["w0", "w1"]), (None, ["w0"])]
 
 
-@pytest.mark.parametrize("least", [0, 0.2, 0.3, 0.5, 0.8, 1])
+@pytest.mark.parametrize("least", [0, 0.2, 0.3, 0.8])
 def test_equals_all_pairs(spark, least, monkeypatch):
     monkeypatch.setattr(setjoin, "CELL", 10)  # common elements go to many cells
     rows = sets_of(int(100 * least))
