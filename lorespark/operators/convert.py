@@ -6,11 +6,13 @@ import re
 import tomllib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import ship
-from ..sources.tables import table
+from ..sources.tables import spread, table
+from .lightmarkup import BLOCKS_SQL, PLAIN, rendered
+from .rendering import PACKAGE_SQL, TOML_SQL, package_manifests, toml_manifests
 
 # What stands for what in each pair of formats; $1 and $2 are the groups.
 RULES = {
@@ -19,28 +21,25 @@ RULES = {
     "adoc_md": [(r"(?m)^=\s+(.+)$", "# $1"), (r"(?m)^==\s+(.+)$", "## $1"), (r"(?m)^===\s+(.+)$", "### $1"), (r"(?m)^\[source,\s*(\w+)\]\s*\n----\s*\n([\s\S]+?)----", "```$1\n$2\n```"), (r"link:([^\[]+)\[([^\]]+)\]", "[$2]($1)")],
     "html_plain": [(r"<[^>]+>", ""), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"), (r"\s+", " ")],
 }
-#: Snippets of each format.
-SAMPLES = [
-    ("md_html", "# Title\n\nSome **bold** and *soft* [link](https://x.org)\n- one\n- two\n"),
-    ("md_html", "## Second\ntext"),
-    ("rst_md", "Title\n=====\n\nPart\n----\ntext\n\nSub\n~~~~\n"),
-    ("adoc_md", "= Title\n== Part\n[source, python]\n----\nprint(1)\n----\nsee link:https://x.org[here]\n"),
-    ("html_plain", "<p>a &lt;b&gt; &amp; c</p>\n<div> d  e </div>"),
-]
-
-
 def convert(text: Column, kind: str) -> Column:
     for pattern, put in RULES[kind]:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(put))
     return F.trim(text) if kind == "html_plain" else text
 
 
-def converted_samples(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(SAMPLES)], "id long, kind string, text string")
-    out = F.when(F.lit(False), "")
-    for kind in RULES:
-        out = out.when(F.col("kind") == kind, convert(F.col("text"), kind))
-    return df.select("id", "kind", out.alias("converted"))
+def rendered_markdown(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): each document's plain lines as a title, then parts, items and bold lines, as the lines' digests say."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: F.regexp_like(x, F.lit(PLAIN)))
+    digit = lambda x: F.substring(F.md5(x), 1, 1)
+    made = lambda x, i: F.when(i == 0, F.concat(F.lit("# "), x)).when(digit(x) < "4", F.concat(F.lit("## "), x)).when(digit(x) < "8", F.concat(F.lit("- "), x)).when(digit(x) < "a", F.concat(F.lit("see ["), x, F.lit("](https://x.org)"))).otherwise(F.concat(F.lit("**"), x, F.lit("**")))
+    return docs.select("doc_id", F.array_join(F.transform(lines, made), "\n\n").alias("text"))
+
+
+def converted(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, converted): each document rendered in three formats and converted from them."""
+    sides = {"md_html": rendered_markdown(docs), "rst_md": rendered(docs, "rst"), "adoc_md": rendered(docs, "asciidoc")}
+    each = [df.select("doc_id", F.lit(kind).alias("kind"), convert(F.col("text"), kind).alias("converted")) for kind, df in sides.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def _sql(text: str, kind: str) -> str:
@@ -64,9 +63,6 @@ def markdown_export(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", name.alias("name"), F.md5(body).alias("digest"), F.length(body).alias("n_chars"))
 
 
-PACKAGE = '{"name": "web", "dependencies": {"react": "^18.0.0", "axios": "1.4.0"}, "devDependencies": {"jest": "^29.0.0"}}'
-
-
 def package_json(df: DataFrame) -> DataFrame:
     """(id, name, version, dev) of package manifests; what isn't JSON has none."""
     parsed = df.select("id", F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>").alias("p"))
@@ -103,19 +99,23 @@ def toml_dependencies(df: DataFrame) -> DataFrame:
     return out.select("id", F.inline("deps"))
 
 
-MANIFESTS = [(1, '[dependencies]\nserde = "1.0"\ntokio = {version = "1.28", features = ["full"]}\n[dev-dependencies]\nproptest = "1"'), (2, '[project]\nname = "x"\ndependencies = ["numpy>=1.2", "uvicorn[standard] >= 0.1"]\n[build-system]\nrequires = ["setuptools"]'), (3, "broken ["), (4, None)]
-
 QUERIES = {
-    "hx_convert": lambda s, d: converted_samples(s),
+    "hx_convert": lambda s, d: converted(spread(table(s, d, "documents"))),
     "hx_plain_pages": lambda s, d: plain_pages(table(s, d, "pages")),
     "io_markdown_export": lambda s, d: markdown_export(table(s, d, "documents")),
-    "dg_package_json": lambda s, d: package_json(s.createDataFrame([(1, PACKAGE), (2, "no json"), (3, None)], "id long, content string")),
-    "dg_toml": lambda s, d: toml_dependencies(s.createDataFrame(MANIFESTS, "id long, content string")),
+    "dg_package_json": lambda s, d: package_json(package_manifests(table(s, d, "lineitem"))),
+    "dg_toml": lambda s, d: toml_dependencies(toml_manifests(table(s, d, "lineitem"))),
+}
+#: What each block must come to; a title of two letters is none, its line being too short.
+_CONVERTED = {
+    "md_html": "CASE kind WHEN 'heading' THEN '<h' || level || '>' || text || '</h' || level || '>' WHEN 'item' THEN '<li>' || text || '</li>' WHEN 'code' THEN 'see <a href=\"https://x.org\">' || text || '</a>' ELSE '<strong>' || text || '</strong>' END",
+    "rst_md": "CASE WHEN kind = 'heading' AND length(text) > 2 THEN repeat('#', level) || ' ' || text WHEN kind = 'heading' THEN text || chr(10) || repeat(CASE level WHEN 1 THEN '=' ELSE '-' END, length(text)) WHEN kind = 'item' THEN '- ' || text WHEN kind = 'code' THEN '.. code-block:: python' || chr(10) || chr(10) || '   ' || text ELSE text END",
+    "adoc_md": "CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'item' THEN '* ' || text WHEN 'code' THEN '```python' || chr(10) || text || chr(10) || chr(10) || '```' ELSE text END",
 }
 ORACLE = {
-    "hx_convert": "SELECT id, kind, CASE kind " + " ".join(f"WHEN '{k}' THEN {_sql('text', k)}" for k in RULES) + " END AS converted FROM (VALUES " + ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(SAMPLES)) + ") AS t(id, kind, text)",
+    "hx_convert": " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, coalesce(string_agg({made}, chr(10) || chr(10) ORDER BY seq), '') AS converted FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN ({BLOCKS_SQL}) b USING (doc_id) GROUP BY doc_id" for kind, made in _CONVERTED.items()),
     "hx_plain_pages": f"SELECT page_id, length(t)::INT AS n_chars, md5(t) AS digest FROM (SELECT page_id, {_sql('html', 'html_plain')} AS t FROM pages)",
     "io_markdown_export": r"SELECT doc_id, substr(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 1, 40) AS name, md5(body) AS digest, length(body)::INT AS n_chars FROM (SELECT *, '# ' || title || chr(10) || chr(10) || '- source: ' || source || chr(10) || '- lang: ' || lang || chr(10) || chr(10) || text AS body FROM (SELECT *, string_split(text, chr(10))[1] AS title FROM documents))",
-    "dg_package_json": f"WITH p AS (SELECT 1 AS id, '{PACKAGE}'::JSON AS j) SELECT id, k AS name, json_extract_string(j, '$.dependencies.' || k) AS version, false AS dev FROM (SELECT id, j, unnest(json_keys(j, '$.dependencies')) AS k FROM p) UNION ALL SELECT id, k, json_extract_string(j, '$.devDependencies.' || k), true FROM (SELECT id, j, unnest(json_keys(j, '$.devDependencies')) AS k FROM p)",
-    "dg_toml": "SELECT * FROM (VALUES (1, 'serde', '1.0', 'runtime'), (1, 'tokio', '1.28', 'runtime'), (1, 'proptest', '1', 'dev'), (2, 'numpy', '>=1.2', 'runtime'), (2, 'uvicorn', '>= 0.1', 'runtime'), (2, 'setuptools', '', 'build')) AS t(id, name, version, kind)",
+    "dg_package_json": PACKAGE_SQL,
+    "dg_toml": TOML_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import any_of, matches, quote, sql_any, sql_matches
 from ..sources.tables import spread, table
 from .code import _DOCS, sample_docs
+from .crawl import outcomes
 from .history import AS_OF
 from .search import _TOKENS_SQL, tokens
 from .text import _ASCII, SECTION_AGAINST, SECTION_FOR
@@ -396,9 +397,9 @@ def gaps(docs: DataFrame) -> DataFrame:
 
 
 def fetched(pages: DataFrame) -> DataFrame:
-    """(page_id, status, is_success, is_valid) of fetched pages."""
-    status = F.element_at(F.array(*[F.lit(x) for x in (200, 204, 301, 404, 503, 200)]), (F.col("page_id") % 6 + 1).cast("int"))
-    return pages.select("page_id", status.alias("status"), ((status >= 200) & (status < 300)).alias("is_success"), ((status == 200) & (F.length("html") > 0)).alias("is_valid"))
+    """(page_id, status, is_success, is_valid) of fetched pages: an empty one came without content."""
+    blank = F.length(F.trim("html")) == 0
+    return outcomes(pages, F.when(blank, 204), F.lit(None).cast("string"), F.col("html")).select("page_id", "status", "is_success", "is_valid")
 
 
 def _t(name: str, f):
@@ -479,5 +480,5 @@ ORACLE = {
     "tx_keyword_verdicts": f"SELECT doc_id, verdict, verdict = 'documentation' AS is_relevant, round(least(CASE verdict WHEN 'unclear' THEN 0.5 ELSE 0.8 END::DOUBLE + CASE source WHEN 'src0' THEN 0.2 WHEN 'src1' THEN 0.1 ELSE 0 END, 1.0), 6) AS confidence, CASE WHEN doc_id % 2 = 0 AND length(text) > 2000 THEN 'remote' ELSE 'local' END AS provider FROM (SELECT *, {_sql_cascade('lower(coalesce(text, ' + chr(39) * 2 + '))', [('legal', LEGAL), ('meta', META), ('documentation', CLEAR)], 'unclear')} AS verdict FROM documents)",
     "tx_markdown_sections": f"SELECT p_partkey AS doc_id, v.section::BIGINT AS section, v.level AS level, v.title AS title, v.is_relevant AS is_relevant FROM part, LATERAL (VALUES {_SECTION_ROWS}) AS v(section, level, title, is_relevant)",
     "tx_gaps": f"SELECT doc_id, section, priority, effort, needs FROM documents CROSS JOIN (VALUES {', '.join(f'({quote(s)}, {quote(s.split(chr(95))[0])}, {quote(p)}, {quote(e)}, {quote(n)})' for s, _, p, e, n in ESSENTIAL)}) AS v(section, mark, priority, effort, needs) WHERE NOT contains(lower(coalesce(text, '')), mark)",
-    "io_fetched": "SELECT page_id, status, status >= 200 AND status < 300 AS is_success, status = 200 AND length(html) > 0 AS is_valid FROM (SELECT *, [200, 204, 301, 404, 503, 200][(page_id % 6 + 1)::INT] AS status FROM pages)",
+    "io_fetched": "SELECT page_id, status, coalesce(status < 300, false) AS is_success, coalesce(status = 200, false) AS is_valid FROM (SELECT page_id, CASE WHEN html IS NULL THEN NULL WHEN length(trim(html)) = 0 THEN 204 ELSE 200 END AS status FROM pages)",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of
 from ..sources.tables import folder, kept, table
+from .rendering import PROJECTS_SQL, failed_calls, projects
 from .urls import resolve
 from .web import HREF
 
@@ -23,20 +24,7 @@ PROJECT_FILES = {
     "go": ["go.mod", "go.sum", "Gopkg.toml"],
     "java": ["pom.xml", "build.gradle", "build.gradle.kts"],
 }
-#: Small projects to run the operators on: name, requirement lines, files.
-PROJECTS = [
-    (1, "requests>=2.28.0\nfastapi>=0.95.0 # web\nnumpy>=1.21.0\nurllib3\nfastapi==0.90", "README.md,requirements.txt,docs/api/index.md,docs/guide/start.md"),
-    (2, "django>=4.0\nflask[async]>=2.0\n# none\ngit+https://example.com/x.git#egg=x\npytest", "setup.py,LICENSE,examples/demo.py,docs/a/b/c.md"),
-    (3, "", "package.json,src/app.js,CHANGELOG.md,docs/logo.png"),
-    (4, "uvicorn~=0.20\nnumpy", "Makefile,config/settings.ini"),
-]
-
-
-def projects(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROJECTS, "project long, requirements string, files string")
-
-
-_PROJECTS_SQL = "(VALUES " + ", ".join(f"({i}, '{r}', '{f}')" for i, r, f in PROJECTS) + ") AS p(project, requirements, files)"
+_PROJECTS_SQL = PROJECTS_SQL
 _LINE = r"^([a-zA-Z0-9_.-]+)(?:\[[^\]]*\])?([><=!~]+.*)?$"
 
 
@@ -228,17 +216,17 @@ def task_status(events: DataFrame) -> DataFrame:
     return last.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("seen") < end - F.expr("interval 3 days")).alias("n_silent"))
 
 
-def retry_delays(spark: SparkSession) -> DataFrame:
-    """Delays of the first ten attempts: doubled, and grown by a step, both bounded."""
-    n = F.col("id")
-    return spark.range(10).select(n.alias("attempt"), F.least(F.pow(F.lit(2.0), n), F.lit(60.0)).alias("exponential"), F.least(1.0 + n * 2.0, F.lit(15.0)).alias("linear"))
+def retry_delays(calls: DataFrame) -> DataFrame:
+    """Rows with the delays of their ``attempt`` (from 0): doubled, and grown by a step, both bounded."""
+    n = F.col("attempt")
+    return calls.withColumns({"exponential": F.least(F.pow(F.lit(2.0), n), F.lit(60.0)), "linear": F.least(1.0 + n * 2.0, F.lit(15.0))})
 
 
 QUERIES = {
-    "dg_requirements": lambda s, d: parse_requirements(projects(s)),
-    "dg_compatibility": lambda s, d: compatibility(projects(s)),
-    "dg_project_types": lambda s, d: project_types(projects(s)),
-    "dg_file_map": lambda s, d: file_map(projects(s)),
+    "dg_requirements": lambda s, d: parse_requirements(projects(table(s, d, "lineitem"))),
+    "dg_compatibility": lambda s, d: compatibility(projects(table(s, d, "lineitem"))),
+    "dg_project_types": lambda s, d: project_types(projects(table(s, d, "lineitem"))),
+    "dg_file_map": lambda s, d: file_map(projects(table(s, d, "lineitem"))),
     "dg_depths": lambda s, d: depths(order_chain(table(s, d, "orders"))),
     "dg_tree_metrics": lambda s, d: tree_metrics(table(s, d, "orders")),
     "dg_diagram": lambda s, d: rendered_edges(table(s, d, "nation"), table(s, d, "region")),
@@ -247,7 +235,7 @@ QUERIES = {
     "cr_should_crawl": lambda s, d: should_crawl(table(s, d, "pages")),
     "cr_backend": lambda s, d: backend_for(s, table(s, d, "pages")),
     "cr_task_status": lambda s, d: task_status(table(s, d, "events")),
-    "st_retry_delays": lambda s, d: retry_delays(s),
+    "st_retry_delays": lambda s, d: retry_delays(failed_calls(table(s, d, "events"))),
 }
 ORACLE = {
     "dg_requirements": f"SELECT * FROM {_REQ_SQL}",
@@ -262,5 +250,5 @@ ORACLE = {
     "cr_should_crawl": _CRAWL_SQL,
     "cr_backend": _BACKEND_SQL,
     "cr_task_status": "SELECT status, count(*) AS n, count(*) FILTER (seen < TIMESTAMP '2024-01-28 00:00:00') AS n_silent FROM (SELECT user_id, max_by(event_type, row(ts, event_id)) AS status, max(ts) AS seen FROM events GROUP BY user_id) GROUP BY status",
-    "st_retry_delays": "SELECT i AS attempt, least(pow(2.0, i), 60.0)::DOUBLE AS exponential, least(1.0 + i * 2.0, 15.0)::DOUBLE AS linear FROM range(10) t(i)",
+    "st_retry_delays": "SELECT user_id, event_id, i AS attempt, least(pow(2.0, i), 60.0)::DOUBLE AS exponential, least(1.0 + i * 2.0, 15.0)::DOUBLE AS linear FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)",
 }

@@ -347,9 +347,9 @@ QUERIES = {
 _LINES_SQL = f"SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '{PLAIN}')) AS ls FROM documents"
 _EACH_SQL = f"SELECT doc_id, (generate_subscripts(ls, 1) - 1)::INT AS seq, unnest(ls) AS text FROM ({_LINES_SQL})"
 _KIND_SQL = "CASE WHEN seq = 0 OR d < '4' THEN 'heading' WHEN d < '8' THEN 'item' WHEN d < 'a' THEN 'code' ELSE 'paragraph' END"
-_BLOCKS_SQL = f"SELECT doc_id, seq, kind, CASE WHEN kind <> 'heading' THEN 0 WHEN seq = 0 THEN 1 ELSE 2 END AS level, CASE kind WHEN 'item' THEN 'ul' WHEN 'code' THEN 'python' ELSE '' END AS info, text FROM (SELECT *, {_KIND_SQL} AS kind FROM (SELECT *, substr(md5(text), 1, 1) AS d FROM ({_EACH_SQL})))"
+BLOCKS_SQL = f"SELECT doc_id, seq, kind, CASE WHEN kind <> 'heading' THEN 0 WHEN seq = 0 THEN 1 ELSE 2 END AS level, CASE kind WHEN 'item' THEN 'ul' WHEN 'code' THEN 'python' ELSE '' END AS info, text FROM (SELECT *, {_KIND_SQL} AS kind FROM (SELECT *, substr(md5(text), 1, 1) AS d FROM ({_EACH_SQL})))"
 ORACLE = {
-    "hx_rst_blocks": _BLOCKS_SQL,
-    "hx_asciidoc_blocks": _BLOCKS_SQL,
-    "hx_rst_markdown": f"SELECT doc_id, coalesce(string_agg(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'item' THEN '- ' || text WHEN 'code' THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10) || chr(10) ORDER BY seq), '') AS markdown FROM (SELECT doc_id FROM documents) LEFT JOIN ({_BLOCKS_SQL}) b USING (doc_id) GROUP BY doc_id",
+    "hx_rst_blocks": BLOCKS_SQL,
+    "hx_asciidoc_blocks": BLOCKS_SQL,
+    "hx_rst_markdown": f"SELECT doc_id, coalesce(string_agg(CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'item' THEN '- ' || text WHEN 'code' THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10) || chr(10) ORDER BY seq), '') AS markdown FROM (SELECT doc_id FROM documents) LEFT JOIN ({BLOCKS_SQL}) b USING (doc_id) GROUP BY doc_id",
 }
