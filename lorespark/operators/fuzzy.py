@@ -95,9 +95,9 @@ def terms_of(docs: DataFrame) -> DataFrame:
 
 
 def misspelled(texts: DataFrame) -> DataFrame:
-    """(word): words of more than three letters with their second and third exchanged."""
+    """(word): words of more than five letters with their second and third exchanged."""
     w = F.col("w")
-    return texts.select(F.explode(tokens(F.col("text"), 3)).alias("w")).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("word")).distinct()
+    return texts.select(F.explode(tokens(F.col("text"), 5)).alias("w")).select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, F.lit(4), F.length(w))).alias("word")).distinct()
 
 
 def corrections(docs: DataFrame, texts: DataFrame, most: int = 2, top: int = 5) -> DataFrame:
@@ -128,7 +128,7 @@ _FLAT = lambda x: f"translate({x}, '{_LETTERS}', '{''.join(chr(65 + i) for i in
 _BENCHMARK_SQL = _TOKENS_SQL.replace("FROM documents", "FROM benchmark")
 _NAMES = ", ".join(f"({i}, {quote(k)}, [{', '.join(map(quote, ws))}])" for i, (k, ws) in enumerate(USE_CASES.items()))
 ORACLE = {
-    "se_corrections": f"""WITH w AS (SELECT DISTINCT substr(w, 1, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) AS word FROM (SELECT unnest(ts) AS w FROM {_BENCHMARK_SQL}) WHERE length(w) > 3),
+    "se_corrections": f"""WITH w AS (SELECT DISTINCT substr(w, 1, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) AS word FROM (SELECT unnest(ts) AS w FROM {_BENCHMARK_SQL}) WHERE length(w) > 5),
 t AS (SELECT term, count(*) AS n FROM (SELECT unnest(ts) AS term FROM {_TOKENS_SQL}) GROUP BY term),
 p AS (SELECT word, term, n, levenshtein({_FLAT('word')}, {_FLAT('term')})::INT AS edits FROM w JOIN t ON length(term) BETWEEN length(word) - 2 AND length(word) + 2 WHERE edits <= 2)
 SELECT word, rank::INT AS rank, term, n, edits FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY starts_with(term, word) DESC, contains(term, word) DESC, n DESC, length(term), term) AS rank FROM p) WHERE rank <= 5""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_of, clamp, matches, occurrences, present, sql_any, sql_matches, sql_occurrences, sql_present
+from ..functions.expressions import any_of, clamp, guarded_matches, guarded_occurrences, present, sql_any, sql_matches, sql_occurrences, sql_present
 from ..sources.tables import spread, table
 
 # Weighted patterns of documentation and of other project text.
@@ -91,7 +91,7 @@ SECTIONS = {"installation": "install", "usage": "usage", "api": "api", "examples
 
 
 def pattern_score(text: Column, patterns: dict[str, list[str]]) -> Column:
-    return sum((matches(text, p) * WEIGHTS[level] for level, ps in patterns.items() for p in ps), F.lit(0))
+    return sum((guarded_matches(text, p) * WEIGHTS[level] for level, ps in patterns.items() for p in ps), F.lit(0))
 
 
 def _sql_pattern_score(text: str, patterns: dict[str, list[str]]) -> str:
@@ -104,9 +104,10 @@ _ASCII = "regexp_replace(lower(text), '[À-ÖØ-öø-ÿĀ-ɏ]', 'z', 'g')"
 
 def rule_relevance(docs: DataFrame, *keep: str) -> DataFrame:
     """Weighted pattern counts for and against documentation, brought to 0..1; texts under 20 characters score 0; with the columns to keep."""
-    low = F.lower("text")
+    # Lower case is made once, in a step of its own.
+    low = F.col("__low")
     long = F.length(F.trim(F.coalesce("text", F.lit("")))) >= 20
-    scored = docs.select("doc_id", *keep, long.alias("long"), F.coalesce(pattern_score(low, DOCUMENTATION), F.lit(0)).cast("long").alias("doc_score"), F.coalesce(pattern_score(low, OTHER), F.lit(0)).cast("long").alias("non_doc_score"))
+    scored = docs.select("doc_id", *keep, long.alias("long"), F.lower("text").alias("__low")).select("doc_id", *keep, "long", F.coalesce(pattern_score(low, DOCUMENTATION), F.lit(0)).cast("long").alias("doc_score"), F.coalesce(pattern_score(low, OTHER), F.lit(0)).cast("long").alias("non_doc_score"))
     score = F.when(F.col("long"), clamp((F.col("doc_score") - F.col("non_doc_score") + 5) / 10, 0.0, 1.0)).otherwise(0.0)
     return scored.select("doc_id", *keep, "doc_score", "non_doc_score", score.alias("score"), (score > 0.5).alias("is_relevant"))
 
@@ -141,7 +142,8 @@ def section_score(docs: DataFrame) -> DataFrame:
 
 def relevance_cascade(docs: DataFrame) -> DataFrame:
     """The first rule that holds gives the score; without one, the pattern score."""
-    low = F.lower("text")
+    docs = docs.select("doc_id", "text", F.lower("text").alias("__low"))
+    low = F.col("__low")
     has = lambda *t: any_of(low, t)
     rules = F.when(has("documentation"), 0.9).when(has("installation", "getting started"), 0.8).when(has("example") & has("tutorial"), 0.85).when(has("contributing", "pull request"), 0.2).when(has("license"), 0.1).when(has("issue") & has("bug"), 0.15).when(has("changelog", "release"), 0.3)
     score = clamp((pattern_score(low, DOCUMENTATION) - pattern_score(low, OTHER) + 5) / 10, 0.0, 1.0)
@@ -171,7 +173,7 @@ def method_accuracy(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _level_score(text: Column, level: str) -> Column:
     words, phrases, patterns = LEVELS[level]
-    total = sum((occurrences(text, w) for w in words), F.lit(0)) * 1.0 + sum((occurrences(text, p) for p in phrases), F.lit(0)) * 2.0 + sum((matches(text, p) for p in patterns), F.lit(0)) * 1.5
+    total = sum((guarded_occurrences(text, w) for w in words), F.lit(0)) * 1.0 + sum((guarded_occurrences(text, p) for p in phrases), F.lit(0)) * 2.0 + sum((guarded_matches(text, p) for p in patterns), F.lit(0)) * 1.5
     return F.when(F.length(text) > 0, total / (F.length(text) / 1000)).otherwise(0.0)
 
 
@@ -183,7 +185,8 @@ def _sql_level_score(text: str, level: str) -> str:
 
 def difficulty(docs: DataFrame) -> DataFrame:
     """The level of the highest score after complexity and length; the easier one on ties."""
-    low = F.lower("text")
+    docs = docs.select("doc_id", "text", F.lower("text").alias("__low"))
+    low = F.col("__low")
     h, m, n = (present(low, COMPLEXITY[k]) for k in (3, 2, 1))
     base = docs.select("doc_id", F.length("text").alias("len"), h.alias("h"), m.alias("m"), n.alias("l"), *[_level_score(low, x).alias(x) for x in LEVELS])
     total = F.col("h") + F.col("m") + F.col("l")
