@@ -130,7 +130,8 @@ _NAMES = ", ".join(f"({i}, {quote(k)}, [{', '.join(map(quote, ws))}])" for i, (k
 ORACLE = {
     "se_corrections": f"""WITH w AS (SELECT DISTINCT substr(w, 1, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) AS word FROM (SELECT unnest(ts) AS w FROM {_BENCHMARK_SQL}) WHERE length(w) > 5),
 t AS (SELECT term, count(*) AS n FROM (SELECT unnest(ts) AS term FROM {_TOKENS_SQL}) GROUP BY term),
-p AS (SELECT word, term, n, levenshtein({_FLAT('word')}, {_FLAT('term')})::INT AS edits FROM w JOIN t ON length(term) BETWEEN length(word) - 2 AND length(word) + 2 WHERE edits <= 2)
+a AS MATERIALIZED (SELECT word, {_FLAT('word')} AS f, unnest(range(length(word) - 2, length(word) + 3)) AS k FROM w), b AS MATERIALIZED (SELECT term, n, {_FLAT('term')} AS g, length(term) AS k FROM t),
+p AS (SELECT word, term, n, levenshtein(f, g)::INT AS edits FROM a JOIN b USING (k) WHERE edits <= 2)
 SELECT word, rank::INT AS rank, term, n, edits FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY starts_with(term, word) DESC, contains(term, word) DESC, n DESC, length(term), term) AS rank FROM p) WHERE rank <= 5""",
     "se_use_case_suggestions": f"""WITH p AS (SELECT DISTINCT substr(t, 1, 3) AS part FROM (SELECT unnest(ts) AS t FROM {_TOKENS_SQL})), u AS (SELECT * FROM (VALUES {_NAMES}) AS x(i, name, words)),
 k AS (SELECT i, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM u),
