@@ -236,10 +236,13 @@ def _best_pairs(rule: Rule, negatives: bool):
 
 
 def _pairs(anchors: DataFrame, blocks: DataFrame, strips: int) -> DataFrame:
-    """Each block of anchors with each block of vectors of the same length, strip by strip."""
+    """Each block of anchors with each block of vectors of the same length, strip by strip.
+
+    Both sides are shuffled: packed files look small to the planner, and a broadcast would hold every block of anchors once for each strip.
+    """
     named = anchors.select("dim", F.monotonically_increasing_id().alias("block"), *(F.col(c).alias(f"a_{c}") for c in ("uid", "id", "label", "vec")), *[c for c in ("lo", "hi") if c in anchors.columns])
     dealt = named.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    return dealt.join(blocks, ["dim", "strip"]).drop("strip", "n")
+    return dealt.hint("merge").join(blocks, ["dim", "strip"]).drop("strip", "n")
 
 
 def mine(vectors: DataFrame, anchor: Column, rule: Rule = Rule(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -258,10 +261,10 @@ def mine(vectors: DataFrame, anchor: Column, rule: Rule = Rule(), id_col: str =
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("a_uid").orderBy(*by_score))).where(F.col("r") <= rule.positives)
     positives = Table(ranked.select("a_uid", "a_id", (F.col("r") - 1).cast("long").alias("p"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives").df
     ends = positives.groupBy("a_uid").agg(F.sort_array(F.collect_list(F.struct("p", "positive_score"))).alias("b")).mapInArrow(_ends(rule), "b_uid long, lo binary, hi binary")
-    banded = Table(_pack(anchors.join(ends, F.col("uid") == F.col("b_uid")).repartition(groups, "uid"), BLOCK, bands=True), "negatives-bands").df
+    banded = Table(_pack(anchors.hint("merge").join(ends, F.col("uid") == F.col("b_uid")).repartition(groups, "uid"), BLOCK, bands=True), "negatives-bands").df
     hard = _pairs(banded, blocks, strips).mapInArrow(_best_pairs(rule, True), seen).drop("a_id")
     ranked = hard.withColumn("rank", F.row_number().over(Window.partitionBy("a_uid", "p").orderBy(*by_score))).where(F.col("rank") <= rule.negatives)
-    whole = ranked.select("a_uid", "p", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(positives, ["a_uid", "p"])
+    whole = ranked.select("a_uid", "p", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).hint("merge").join(positives, ["a_uid", "p"])
     return whole.select(F.col("a_id").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 

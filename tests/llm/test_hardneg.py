@@ -85,3 +85,10 @@ def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(hardneg.ORACLE).fetchall())
+
+
+def test_no_block_is_broadcast(spark):
+    rows = [(i, [float((i * k) % 13 - 6) for k in range(1, 9)], i % 3) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    plan = hardneg.mine(vectors, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
