@@ -77,3 +77,10 @@ def test_pages_on_spark(spark):
     rows = [(1, nested("div", 5000, "deep")), (2, None), (3, ""), (4, "<title>t</title>" + nested("b", 2000, "bold"))]
     got = {r["page_id"]: r for r in markup.extract(spark.createDataFrame(rows, "page_id long, html string"), ["text", "markdown", "metadata"]).collect()}
     assert got[1]["text"] == "deep" and got[1]["markdown"] == "deep" and got[2]["text"] == "" and "bold" in got[4]["markdown"] and got[4]["metadata"][0]["value"] == "t"
+
+
+def test_rendered_parts_are_dealt_over_all_cores(spark):
+    # One small file: without dealing, one task would parse every page.
+    pages = markup._parts(spark, "/root/testdata/sf0.01")
+    held = [n for n in pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    assert len(held) >= 4 * spark.sparkContext.defaultParallelism and max(held) <= 2 * sum(held) / len(held)
