@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import kept, table
-from .setjoin import jaccard_pairs
+from .setjoin import most_alike
 
 #: Interactions weigh by kind (fixed values): looked up, seen, taken.
 KIND_WEIGHT = {"view": 1.0, "click": 2.0, "purchase": 5.0}
@@ -132,10 +132,9 @@ def event_sessions(events: DataFrame, gap_minutes: int = 360) -> DataFrame:
 
 def similar_users(events: DataFrame, top: int = 5, least: float = 0.2) -> DataFrame:
     """Users alike by the days they are active on: more than ``least``, the best ``top`` of each user."""
-    days = events.where((F.col("event_type") == "purchase") & F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.date_format("ts", "yyyy-MM-dd")).alias("terms"))
-    pairs = kept(jaccard_pairs(days, least).where(F.col("similarity") > least).select("a", "b", "similarity"), "alike")
-    scored = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b"))).where(F.col("rank") <= top).select("a", "b", "similarity", F.col("rank").cast("long").alias("rank"))
+    days = events.where((F.col("event_type") == "purchase") & F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.unix_date(F.col("ts").cast("date"))).alias("terms"))
+    best = most_alike(days, top, least)
+    return best.select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 def recommendations(orders: DataFrame, lineitem: DataFrame, parts: DataFrame, top: int = 3) -> DataFrame:

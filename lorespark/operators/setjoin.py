@@ -10,6 +10,9 @@ An element in many prefixes is split into blocks of sets, and each pair of block
 so that no element is one task.
 
 Elements are joined by 64-bit hashes and compared as they are: a collision costs work, no pair.
+
+Where few elements make nearly all sets alike and only each set's best are asked for, ``most_alike`` makes no pairs:
+equal sets are one class, blocks of classes meet as matrices, and of each class only its best are kept.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import ship
@@ -26,6 +29,8 @@ from ..sources.tables import kept
 
 #: Elements whose counts are sent to all tasks (12 bytes each), and sets of an element that one cell holds.
 HEAVY, CELL = 1 << 16, 2048
+#: Classes of a block, and blocks that a block meets in one task.
+CLASSES, STRIP = 1024, 32
 _TOP = np.int64(1) << 62
 
 
@@ -124,3 +129,79 @@ def jaccard_pairs(sets: DataFrame, least: float | str, id_col: str = "id", terms
     shared = F.size(F.array_intersect("terms_a", "terms_b"))
     sized = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), shared.cast("long").alias("shared"), (F.size("terms_a") + F.size("terms_b") - shared).cast("long").alias("union"))
     return sized.where((F.col("shared") > 0) & (F.col("shared") * t.denominator >= F.col("union") * t.numerator)).select("a", "b", "shared", F.round(F.col("shared") / F.col("union"), 6).alias("similarity"))
+
+
+def _best_of_blocks(top: int, least: float):
+    """Over pairs of blocks of classes: of each class of the first the ``top`` + 1 most alike rows that this task has seen."""
+
+    def run(batches):
+        block, uids, held = None, None, None
+
+        def emit():
+            row, key, ids = held
+            return pa.RecordBatch.from_arrays([pa.array(uids[row]), pa.array(ids), pa.array(key)], ["uid", "other", "millionths"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = batch.column("own")[r].values, batch.column("met")[r].values
+                if block != batch.column("block")[r].as_py():
+                    if block is not None:
+                        yield emit()
+                    block, uids, held = batch.column("block")[r].as_py(), a.field("uid").to_numpy(), [np.zeros(0, np.int64)] * 3
+                terms = [x.field("terms") for x in (a, b)]
+                sizes = [t.value_lengths().to_numpy().astype(np.int64) for t in terms]
+                flat = [t.flatten().to_numpy() for t in terms]
+                words, at = np.unique(np.concatenate(flat), return_inverse=True)
+                bits = [np.zeros((len(n), len(words)), np.float32) for n in sizes]
+                for m, n, i in zip(bits, sizes, (at[: len(flat[0])], at[len(flat[0]) :]), strict=True):
+                    m[np.repeat(np.arange(len(n)), n), i] = 1
+                shared = (bits[0] @ bits[1].T).astype(np.int64)
+                union = sizes[0][:, None] + sizes[1][None, :] - shared
+                key = (2_000_000 * shared + union) // (2 * union)  # rounded to six places, halves up
+                # Classes better than the (top + 1)-th best class cannot be missed: each has a row at least.
+                floor = np.full(len(key), least * 1e6)
+                if key.shape[1] > top:
+                    floor = np.maximum(floor, np.partition(key, -top - 1, axis=1)[:, -top - 1] - 0.5)
+                i, j = np.nonzero((shared > 0) & (key > floor[:, None]))
+                n_ids = b.field("ids").value_lengths().to_numpy()
+                start = np.cumsum(n_ids) - n_ids
+                ids = b.field("ids").flatten().to_numpy()
+                k = n_ids[j]
+                place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start[j], k)
+                row, key, ids = (np.concatenate(x) for x in zip(held, (np.repeat(i, k), np.repeat(key[i, j], k), ids[place]), strict=True))
+                order = np.lexsort((ids, -key, row))
+                row, key, ids = row[order], key[order], ids[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) <= top
+                held = [row[best], key[best], ids[best]]
+        if block is not None:
+            yield emit()
+
+    return run
+
+
+def most_alike(sets: DataFrame, top: int, least: float, id_col: str = "id", terms_col: str = "terms") -> DataFrame:
+    """(id, rank, other, similarity): of each row the ``top`` others whose sets are most alike (Jaccard, rounded to six places), more than ``least``; ties by the smaller id.
+
+    Ids are integers, each once; terms are integers.  Rows of equal sets are one class, which is compared once and shown by its
+    ``top`` + 1 smallest ids.  Work is quadratic in the number of different sets, memory is that of two blocks.
+    """
+    spark = sets.sparkSession
+    ship(spark)
+    made = sets.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(F.array_compact(F.col(terms_col)))).alias("terms")).where(F.size("terms") > 0)
+    rows = kept(made, "sets")
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("terms").orderBy("id"))).where(F.col("r") <= top + 1)
+    classes = kept(first.groupBy("terms").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("uid", F.monotonically_increasing_id()), "classes")
+    n_blocks = max(1, -(-classes.count() // CLASSES))
+    strips = max(1, -(-n_blocks // STRIP), min(n_blocks, 4 * spark.sparkContext.defaultParallelism))
+    block = F.pmod(F.xxhash64("uid"), F.lit(n_blocks))
+    packed = kept(classes.groupBy(block.alias("block")).agg(F.collect_list(F.struct("uid", "terms", "ids")).alias("rows")), "blocks")
+    own = packed.select("block", F.col("rows").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"))
+    # Shuffled: one block is not small, and each is there once for each strip.
+    met = own.hint("merge").join(packed.select(F.pmod("block", F.lit(strips)).cast("int").alias("strip"), F.col("rows").alias("met")), "strip")
+    found = met.select("block", "own", "met").mapInArrow(_best_of_blocks(top, least), "uid long, other long, millionths long")
+    line = Window.partitionBy("uid").orderBy(F.col("millionths").desc(), "other")
+    best = found.withColumn("r", F.row_number().over(line)).where(F.col("r") <= top + 1).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("r", "other", "millionths"))).alias("best"))
+    named = classes.select("uid", "terms").hint("merge").join(best, "uid").drop("uid")
+    others = F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, top)
+    each = rows.hint("merge").join(named, "terms").select("id", F.posexplode(others).alias("pos", "x"))
+    return each.select("id", (F.col("pos") + 1).alias("rank"), F.col("x.other").alias("other"), (F.col("x.millionths") / F.lit(1e6)).alias("similarity"))

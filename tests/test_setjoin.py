@@ -1,5 +1,6 @@
 """Set-similarity join against all pairs."""
 
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -69,3 +70,19 @@ def test_users_alike(spark):
 def test_sources_by_shared_tags(spark):
     docs = spark.createDataFrame([("a", "spark table"), ("a", "index"), ("b", "table index"), ("c", "engine"), (None, "engine table")], "source string, text string")
     assert [tuple(r) for r in search.related_sources(docs).collect()] == [("a", "b", 2, round(2 / 3, 6))]
+
+
+@pytest.mark.parametrize("top,least", [(3, 0.2), (1, 0.0), (2, 0.6)])
+def test_most_alike_makes_no_pairs(spark, monkeypatch, top, least):
+    monkeypatch.setattr(setjoin, "CLASSES", 7)
+    monkeypatch.setattr(setjoin, "jaccard_pairs", None)
+    rng = random.Random(top)
+    base = [sorted(rng.sample(range(12), rng.randint(1, 8))) for _ in range(60)]
+    rows = [(500 - i, base[i % 60]) for i in range(180)] + [(None, [1, 2]), (900, []), (901, None), (902, [None, 3])]
+    got = sorted(map(tuple, setjoin.most_alike(spark.createDataFrame(rows, "id long, terms array<int>"), top, least).collect()))
+    sets = [(i, {x for x in t or () if x is not None}) for i, t in rows if i is not None]
+    want = []
+    for i, s in sets:
+        alike = sorted((-round(len(s & t) / len(s | t), 6), j) for j, t in sets if j != i and s & t)
+        want += [(i, r, j, -v) for r, (v, j) in enumerate([x for x in alike if -x[0] > least][:top], 1)]
+    assert got == sorted(want)
