@@ -109,8 +109,10 @@ def depths(edges: DataFrame) -> DataFrame:
     while left:
         step += 1
         above = now.select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        met = now.join(above, "up", "left")
-        now = kept(met.select("child", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")), step)
+        # Nodes that are at their root stay as they are: joined, they would all come to one task, that of the null key.
+        met = now.where("up is not null").join(above, "up", "left")
+        moved = met.select("child", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
+        now = kept(now.where("up is null").unionByName(moved), step)
         before, left = left, now.where("up is not null").count()
         if left == before:
             break  # a path of any length to a root gets some node there each round; only cycles are left

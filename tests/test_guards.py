@@ -40,3 +40,23 @@ def test_counts_on_spark(spark):
     pairs += [(expressions.guarded_occurrences(low, w), expressions.occurrences(low, w)) for w in ("api", "how to", "zzz")]
     for row in df.select(*[F.coalesce(b, F.lit(0)).eqNullSafe(a).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).collect():
         assert all(row)
+
+
+def test_finished_nodes_do_not_meet_in_one_task(spark):
+    from lorespark.operators import graph
+
+    chains = [(10 * c + k, 10 * c + k - 1 if k else None) for c in range(800) for k in range(5)]
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("false", "-1"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        got = graph.depths(spark.createDataFrame(chains, "child long, parent long").repartition(8))
+        # Joined rows come out by their key: nodes without one would be in one file.
+        files = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+        rows = {tuple(r) for r in got.collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert rows == {(10 * c + k, 10 * c, k) for c in range(800) for k in range(5)}
+    assert max(files) < len(chains) / 2
