@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Batches of whole texts and pages to Python, where the session has Spark's own sizes: bounded, so that what a worker makes of a batch does not grow with the table.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def session(name: str = "lorespark", **settings: str) -> SparkSession:
@@ -30,3 +32,6 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) in (None, "10000", "67108864b"):
+            spark.conf.set(name, value)

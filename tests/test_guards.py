@@ -60,3 +60,12 @@ def test_finished_nodes_do_not_meet_in_one_task(spark):
             spark.conf.set(n, v)
     assert rows == {(10 * c + k, 10 * c, k) for c in range(800) for k in range(5)}
     assert max(files) < len(chains) / 2
+
+
+def test_batches_to_python_are_bounded(spark):
+    from lorespark.sources.session import BATCHES, ship
+
+    for name, own in zip(BATCHES, ("10000", "67108864b"), strict=True):
+        spark.conf.set(name, own)
+    ship(spark)
+    assert {n: spark.conf.get(n) for n in BATCHES} == BATCHES
