@@ -58,6 +58,12 @@ def guarded_matches(text: Column, pattern: str) -> Column:
     return F.when(any_of(text, plain), counted).otherwise(0) if plain else F.coalesce(counted, F.lit(0))
 
 
+def guarded_like(text: Column, pattern: str) -> Column:
+    """Whether a pattern is in the text, by search for plain strings where the pattern's are not there."""
+    plain, like = literals(pattern), F.regexp_like(text, F.lit(pattern))
+    return F.when(any_of(text, plain), like).otherwise(False) if plain else like
+
+
 def guarded_occurrences(text: Column, term: str) -> Column:
     """``occurrences``, without a copy of the text where the term is not there; 0 for a null."""
     return F.when(F.contains(text, F.lit(term)), occurrences(text, term)).otherwise(0)

@@ -96,8 +96,9 @@ def _sql_word_score(low: str, words: list[str]) -> str:
 
 def use_cases(docs: DataFrame, top: int = 3) -> DataFrame:
     """(doc_id, use_case, score, rank): the use cases a text speaks for most."""
-    low = F.lower("text")
-    each = docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("use_case"), F.round(_word_score(low, w), 6).alias("score")) for k, w in USE_CASES.items()])))
+    # Lower case is made once, in a step of its own.
+    low = F.col("__low")
+    each = docs.select("doc_id", F.lower("text").alias("__low")).select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("use_case"), F.round(_word_score(low, w), 6).alias("score")) for k, w in USE_CASES.items()])))
     ranked = each.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "use_case")))
     return ranked.where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
 
@@ -107,9 +108,9 @@ _CASES = f"(SELECT doc_id, unnest([{', '.join(map(quote, USE_CASES))}]) AS use_c
 
 def detected_use_cases(docs: DataFrame) -> DataFrame:
     """(doc_id, use_cases): those of which at least two words are in the text."""
-    low = F.lower("text")
+    low = F.col("__low")
     some = [F.when(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) >= 2, F.lit(k)) for k, words in USE_CASES.items()]
-    return docs.select("doc_id", F.array_join(F.array_compact(F.array(*some)), ",").alias("use_cases"))
+    return docs.select("doc_id", F.lower("text").alias("__low")).select("doc_id", F.array_join(F.array_compact(F.array(*some)), ",").alias("use_cases"))
 
 
 def use_case_search(docs: DataFrame, query: str, top: int = 20) -> DataFrame:

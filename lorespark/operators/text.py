@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_of, clamp, guarded_matches, guarded_occurrences, present, sql_any, sql_matches, sql_occurrences, sql_present
+from ..functions.expressions import any_of, clamp, guarded_like, guarded_matches, guarded_occurrences, present, sql_any, sql_matches, sql_occurrences, sql_present
 from ..sources.tables import spread, table
 
 # Weighted patterns of documentation and of other project text.
@@ -119,10 +119,11 @@ FROM (SELECT doc_id, length(trim(text)) >= 20 AS long, {_sql_pattern_score(_ASCI
 
 def matched_patterns(docs: DataFrame) -> DataFrame:
     """Numbers of the patterns that match, documentation first."""
-    low = F.lower("text")
+    # Lower case is made once, in a step of its own; a pattern runs only where a plain string of it is there.
+    low = F.col("__low")
     all_patterns = [p for group in (DOCUMENTATION, OTHER) for ps in group.values() for p in ps]
-    hits = F.array(*[F.when(F.regexp_like(low, F.lit(p)), F.lit(str(i))) for i, p in enumerate(all_patterns)])
-    return docs.select("doc_id", F.array_join(F.array_compact(hits), ",").alias("matched"))
+    hits = F.array(*[F.when(guarded_like(low, p), F.lit(str(i))) for i, p in enumerate(all_patterns)])
+    return docs.select("doc_id", F.lower("text").alias("__low")).select("doc_id", F.array_join(F.array_compact(hits), ",").alias("matched"))
 
 
 def _matched_sql() -> str:

@@ -69,3 +69,12 @@ def test_batches_to_python_are_bounded(spark):
         spark.conf.set(name, own)
     ship(spark)
     assert {n: spark.conf.get(n) for n in BATCHES} == BATCHES
+
+
+def test_lower_case_is_made_once(spark):
+    from lorespark.operators import discovery
+
+    docs = spark.createDataFrame([(1, "API docs"), (2, None)], "doc_id long, text string")
+    for query in (text.matched_patterns, discovery.use_cases, discovery.detected_use_cases):
+        plan = query(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1, query.__name__
