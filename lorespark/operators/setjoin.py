@@ -1,15 +1,12 @@
-"""Pairs of sets by Jaccard similarity, at low thresholds, by prefix filtering.
+"""Pairs of sets by Jaccard similarity, at low thresholds, block by block.
 
-All elements get one order, rare ones first: the ``HEAVY`` most common ones by their counts,
-all others before them by hash.  Of a set of n elements only the first n - ceil(t n) + 1 (its
-prefix) can hold the first element that it shares with a set at similarity t or more, so only
-prefixes are joined.  A pair that meets there must be able to reach the overlap that its sizes
-ask for: by its sizes alone, by the places of each shared element, and by how many elements the prefixes share
-and what is left behind the prefix that ends first.  What is left is compared as whole sets.
-An element in many prefixes is split into blocks of sets, and each pair of blocks is a cell of its own,
-so that no element is one task.
+At a threshold of 0.3 most pairs share a rare element, so pairs are not shuffled to be counted: sets are dealt into
+blocks of like sizes, blocks whose sizes allow the threshold meet, and a task counts what all pairs of two blocks share.
+Elements that many sets of both blocks have are columns of two matrices that are multiplied, the others are counted from
+their lists.  Only pairs that are alike enough leave a task, or of each set only its best.  Blocks meet in tiles of strips
+of blocks, so that each is copied as often as there are strips, not as there are blocks.
 
-Elements are joined by 64-bit hashes and compared as they are: a collision costs work, no pair.
+Elements are compared by 64-bit hashes, with a seed for which no two elements at hand have the same.
 
 Where few elements make nearly all sets alike and only each set's best are asked for, ``most_alike`` makes no pairs:
 equal sets are one class, blocks of classes meet as matrices, and of each class only its best are kept.
@@ -21,92 +18,168 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import ship
 from ..sources.tables import kept
 
-#: Elements whose counts are sent to all tasks (12 bytes each), and sets of an element that one cell holds.
-HEAVY, CELL = 1 << 16, 2048
+#: Columns of the matrices that are multiplied at once, and sets of a block.
+HEAVY, CELL = 2048, 1024
+#: Elements that a set of a block may have on average, pairs counted at once, and how much cheaper a cell of a product is than a counted pair.
+WIDE, COUNTED, DENSE = 256, 1 << 22, 400
+#: Strips of blocks at least, for enough tiles, and blocks of a strip at most.
+STRIPS, LONG = 12, 32
 #: Classes of a block, and blocks that a block meets in one task.
 CLASSES, STRIP = 1024, 32
-_TOP = np.int64(1) << 62
 
 
-def prefix_length(n, t: Fraction):
-    """Elements of a set of n that are joined; all of them where any shared element counts."""
-    return n - np.maximum(-(-n * t.numerator // t.denominator), 1) + 1
+def _seed(base: DataFrame) -> int:
+    """The first seed for which the elements at hand have hashes of their own."""
+    terms = kept(base.select(F.explode("terms").alias("term")).distinct(), "elements")
+    n, seed = terms.count(), 42
+    while terms.select(F.xxhash64("term", F.lit(seed))).distinct().count() < n:
+        seed += 1
+    return seed
+
+
+def _cuts(sizes: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+    """For sizes in order and how many sets have them: what comes before each size, by the weight of its sets; and the least and largest size of each block."""
+    room, before, seen = CELL * WIDE, [], 0
+    spans: dict[int, tuple[int, int]] = {}
+    for n, sets in sizes:
+        before.append(seen)
+        seen += sets * max(n, WIDE)
+        for block in range(before[-1] // room, (seen - 1) // room + 1):
+            spans[block] = (spans.get(block, (n, n))[0], n)
+    return before, [spans[k] for k in range(len(spans))]
+
+
+def _inverted(batches):
+    """Over blocks of sets: (block, ids, sizes, words, counts, rows), rows being the places of the sets that have each word."""
+    for batch in batches:
+        for block, sets in zip(batch.column("block"), batch.column("sets"), strict=True):
+            own = sets.values
+            lists = own.field("hashes")
+            sizes = lists.value_lengths().to_numpy().astype(np.int32)
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            words, counts = np.unique(flat, return_counts=True)
+            found = [own.field("id"), *map(pa.array, (sizes, words, counts.astype(np.int32), row[np.argsort(flat, kind="stable")]))]
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in found)], ["block", "ids", "sizes", "words", "counts", "rows"])
+
+
+def _shared(a: dict, b: dict) -> np.ndarray:
+    """How many words the sets of two blocks share: sets of the one times sets of the other."""
+    n, m = len(a["sizes"]), len(b["sizes"])
+    _, i, j = np.intersect1d(a["words"], b["words"], assume_unique=True, return_indices=True)
+    p, q = a["counts"][i].astype(np.int64), b["counts"][j].astype(np.int64)
+    first = [np.cumsum(x["counts"], dtype=np.int64) - x["counts"] for x in (a, b)]
+    p_at, q_at = first[0][i], first[1][j]
+    dense = p * q * DENSE > n * m
+    total = np.zeros((n, m), np.float32)
+
+    def places(at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(at, k)
+
+    many = np.flatnonzero(dense)
+    for start in range(0, len(many), HEAVY):
+        few = many[start : start + HEAVY]
+        sides = []
+        for x, rows, at, k in ((a, n, p_at[few], p[few]), (b, m, q_at[few], q[few])):
+            bits = np.zeros((rows, len(few)), np.float32)
+            bits[x["rows"][places(at, k)], np.repeat(np.arange(len(few)), k)] = 1
+            sides.append(bits)
+        total += sides[0] @ sides[1].T
+    # Each place of a word in the first block with all of its places in the second.
+    rare = np.flatnonzero(~dense)
+    mine, word = a["rows"][places(p_at[rare], p[rare])], np.repeat(rare, p[rare])
+    ends = np.cumsum(q[word])
+    start = 0
+    while start < len(word):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNTED, "right")))
+        k = q[word[start:end]]
+        other = b["rows"][places(q_at[word[start:end]], k)]
+        total += np.bincount(np.repeat(mine[start:end].astype(np.int64) * m, k) + other, minlength=n * m).reshape(n, m).astype(np.float32)
+        start = end
+    return total
+
+
+def _alike(least: Fraction, top: int | None):
+    """Over pairs of blocks: (a, b, shared, union) of the pairs that are ``least`` alike; with ``top``, both ways and of each set its ``top`` best in a block."""
+    t, s = least.numerator, least.denominator
+
+    def best(row: np.ndarray, other: pa.Array, own: pa.Array, shared: np.ndarray, union: np.ndarray) -> np.ndarray:
+        """Places of each row's best, by similarity to six places and the smaller id."""
+        differ = np.flatnonzero(own.to_numpy(zero_copy_only=False) != other.to_numpy(zero_copy_only=False))
+        key = (2_000_000 * shared + union) // (2 * union)
+        order = differ[np.lexsort((other.to_numpy(zero_copy_only=False)[differ], -key[differ], row[differ]))]
+        return order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < top]
 
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sides = []
+                for name in ("own", "met"):
+                    x = batch.column(name)[r]
+                    sides.append({"block": x["block"].as_py(), "ids": x["ids"].values} | {f: x[f].values.to_numpy() for f in ("sizes", "words", "counts", "rows")})
+                a, b = sides
+                found = _shared(a, b)
+                both = a["sizes"][:, None].astype(np.float32) + b["sizes"][None, :].astype(np.float32)
+                i, j = np.nonzero((found > 0) & (found * np.float32(s + t) >= both * np.float32(t * 0.9999)))
+                shared = found[i, j].astype(np.int64)
+                union = a["sizes"][i].astype(np.int64) + b["sizes"][j] - shared
+                keep = shared * s >= union * t
+                if a["block"] == b["block"]:
+                    keep &= i < j
+                i, j, shared, union = i[keep], j[keep], shared[keep], union[keep]
+                one, two = a["ids"].take(pa.array(i)), b["ids"].take(pa.array(j))
+                ways = [(one, two, np.arange(len(i)))]
+                if top:
+                    # A block with itself has each set's others on either side.
+                    if a["block"] == b["block"]:
+                        i, j, one, two, shared, union = np.concatenate([i, j]), np.concatenate([j, i]), pa.concat_arrays([one, two]), pa.concat_arrays([two, one]), np.tile(shared, 2), np.tile(union, 2)
+                        ways = [(one, two, best(i, two, one, shared, union))]
+                    else:
+                        ways = [(one, two, best(i, two, one, shared, union)), (two, one, best(j, one, two, shared, union))]
+                for x, y, at in ways:
+                    yield pa.RecordBatch.from_arrays([x.take(pa.array(at)), y.take(pa.array(at)), pa.array(shared[at]), pa.array(union[at])], ["a", "b", "shared", "union"])
 
-def _common(hashes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the commonest elements, sorted by hash."""
-    by = hashes.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = by.orderBy(F.col("n").desc(), "h").limit(HEAVY).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    return run
 
 
-def _prefixes(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(key, cell, block, uid, n, pos, rest, last) of each element of a prefix, once for each cell it takes part in."""
+def _compared(sets: DataFrame, least: Fraction, top: int | None, id_col: str, terms_col: str) -> DataFrame:
+    """(a, b, shared, union): rows that are ``least`` alike, as ``_alike`` gives them."""
     spark = sets.sparkSession
-    sent = spark.sparkContext.broadcast(_common(sets))
-    cell = CELL
-
-    def run(batches):
-        common, counts = sent.value
-        rank = np.empty(len(counts), np.int64)
-        rank[np.lexsort((common, counts))] = np.arange(len(counts))
-        for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
-            h = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
-            heavy = common[at] == h if len(common) else np.zeros(len(h), bool)
-            key, splits = h & (_TOP - 1), np.ones(len(h), np.int64)
-            key[heavy] = _TOP + rank[at[heavy]]
-            splits[heavy] = -(-counts[at[heavy]] // cell)
-            order = np.lexsort((h, key, row))
-            starts = np.cumsum(sizes) - sizes
-            pos = np.arange(len(h)) - np.repeat(starts, sizes)
-            p = prefix_length(sizes.astype(np.int64), t)
-            last = key[order][np.minimum(starts + p - 1, max(len(h) - 1, 0))] if len(h) else np.zeros(len(sizes), np.int64)
-            keep = pos < p[row]
-            order, row, pos = order[keep], row[keep], pos[keep]
-            key, splits = key[order], splits[order]
-            uid = batch.column(0).to_numpy()
-            block = (uid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % splits
-            again = np.repeat(np.arange(len(key)), splits)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(splits) - splits, splits)
-            mine = block[again]
-            cells = np.minimum(mine, other) * splits[again] + np.maximum(mine, other)
-            rest = (sizes - p)[row]
-            columns = [key[again], cells, mine, mine != other, uid[row][again], sizes[row][again].astype(np.int64), pos[again], rest[again], last[row][again]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cell", "block", "crossed", "uid", "n", "pos", "rest", "last"])
-
-    return sets.select("uid", "hashes").mapInArrow(run, "key long, cell long, block long, crossed boolean, uid long, n long, pos long, rest long, last long")
-
-
-def _needed(a: Column, b: Column, t: Fraction) -> Column:
-    """Shared elements that sets of these sizes need: ceil(t / (1 + t) * (a + b)), one at least."""
-    return F.greatest(F.ceil(((a + b) * t.numerator).cast("double") / (t.numerator + t.denominator) - 1e-9), F.lit(1))
-
-
-def candidates(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): pairs of uids, a below b, that sizes, places and prefixes allow to be ``t`` alike."""
-    rows = kept(_prefixes(sets, t), "prefixes")
-    l, r = rows.alias("l"), rows.alias("r")  # noqa: E741
-    c = lambda side, name: F.col(f"{side}.{name}")
-    fits = (c("l", "n") * t.denominator >= c("r", "n") * t.numerator) & (c("r", "n") * t.denominator >= c("l", "n") * t.numerator)
-    left = F.least(c("l", "n") - c("l", "pos"), c("r", "n") - c("r", "pos"))
-    reach = F.least(c("l", "pos"), c("r", "pos")) + left >= _needed(c("l", "n"), c("r", "n"), t)
-    # A cell of two blocks is for pairs between them; those within a block have a cell of their own.
-    apart = ~c("l", "crossed") | (c("l", "block") != c("r", "block"))
-    met = l.join(r, (c("l", "key") == c("r", "key")) & (c("l", "cell") == c("r", "cell")) & (c("l", "uid") < c("r", "uid")) & apart & fits & reach)
-    first = c("l", "last") <= c("r", "last")
-    pairs = met.groupBy(c("l", "uid").alias("a"), c("r", "uid").alias("b")).agg(F.count("*").alias("both"), F.first(F.when(first, c("l", "rest")).otherwise(c("r", "rest"))).alias("rest"), F.first(_needed(c("l", "n"), c("r", "n"), t)).alias("needed"))
-    return pairs.where(F.col("both") + F.col("rest") >= F.col("needed")).select("a", "b")
+    ship(spark)
+    terms = F.array_distinct(F.array_compact(F.col(terms_col)))
+    base = kept(sets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), terms.alias("terms")).where(F.size("terms") > 0), "sets")
+    kind = base.schema["id"].dataType.simpleString()
+    sizes = [(r["n"], r["count"]) for r in base.groupBy(F.size("terms").alias("n")).count().orderBy("n").collect()]
+    if not sizes:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, shared long, union long")
+    before, spans = _cuts(sizes)
+    seed = _seed(base)
+    # A set's block: what comes before its size, and a place among the sets of its size.
+    each = spark.createDataFrame([(n, at, c) for (n, c), at in zip(sizes, before, strict=True)], "n int, at long, sets long")
+    hashed = base.select("id", F.size("terms").alias("n"), F.transform("terms", lambda x: F.xxhash64(x, F.lit(seed))).alias("hashes"))
+    place = F.pmod(F.xxhash64("id", "hashes"), F.col("sets")) * F.greatest(F.col("n"), F.lit(WIDE))
+    dealt = hashed.join(F.broadcast(each), "n").select(F.floor((F.col("at") + place) / F.lit(CELL * WIDE)).cast("int").alias("block"), F.struct("id", "hashes").alias("x"))
+    packed = dealt.groupBy("block").agg(F.collect_list("x").alias("sets"))
+    blocks = kept(packed.mapInArrow(_inverted, f"block int, ids array<{kind}>, sizes array<int>, words array<bigint>, counts array<int>, rows array<int>"), "blocks")
+    width = max(1, min(LONG, len(spans) // STRIPS))
+    n_strips = -(-len(spans) // width)
+    low, high = [x[0] for x in spans[::width]], [spans[min(k + width, len(spans)) - 1][1] for k in range(0, len(spans), width)]
+    tiles = [(p, q) for p in range(n_strips) for q in range(p, n_strips) if high[p] * least.denominator >= low[q] * least.numerator]
+    of = spark.createDataFrame([(k, p, q) for k, (p, q) in enumerate(tiles)], "tile int, p int, q int")
+    strip = F.floor(F.col("block") / F.lit(width)).cast("int")
+    whole = F.struct("block", "ids", "sizes", "words", "counts", "rows")
+    parts = min(4 * len(tiles), 16 * spark.sparkContext.defaultParallelism)
+    own = blocks.select(strip.alias("p"), whole.alias("own")).join(F.broadcast(of.select("tile", "p")), "p").select("tile", "own").repartition(parts, "tile")
+    met = blocks.select(strip.alias("q"), whole.alias("met")).join(F.broadcast(of.select("tile", "q")), "q").select("tile", "met").repartition(parts, "tile")
+    fits = F.array_max("own.sizes") * least.denominator >= F.array_min("met.sizes") * least.numerator
+    pairs = own.hint("merge").join(met, "tile").where((F.col("own.block") <= F.col("met.block")) & fits).select("own", "met")
+    return pairs.mapInArrow(_alike(least, top), f"a {kind}, b {kind}, shared long, union long")
 
 
 def jaccard_pairs(sets: DataFrame, least: float | str, id_col: str = "id", terms_col: str = "terms") -> DataFrame:
@@ -114,21 +187,18 @@ def jaccard_pairs(sets: DataFrame, least: float | str, id_col: str = "id", terms
 
     Arrays count as sets, nulls in them and null or empty arrays as nothing; rows that repeat an id
     are sets of their own, and not paired with one another; a row with a null id is left out.
+    Work is quadratic in the number of sets of like sizes, memory is that of two blocks.
     """
-    spark = sets.sparkSession
-    ship(spark)
-    t = Fraction(str(least))
-    terms = F.array_distinct(F.array_compact(F.col(terms_col)))
-    made = sets.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), terms.alias("terms")).where(F.size("terms") > 0)
-    # Numbered once and read back, so that numbers stay.
-    base = kept(made.withColumn("uid", F.monotonically_increasing_id()).withColumn("hashes", F.transform("terms", lambda x: F.xxhash64(x))), "sets")
-    pairs = candidates(base.select("uid", "hashes"), t)
-    one = base.select(F.col("uid").alias("a"), F.col("id").alias("id_a"), F.col("terms").alias("terms_a"))
-    two = base.select(F.col("uid").alias("b"), F.col("id").alias("id_b"), F.col("terms").alias("terms_b"))
-    met = pairs.join(one, "a").join(two, "b").where("id_a <> id_b")
-    shared = F.size(F.array_intersect("terms_a", "terms_b"))
-    sized = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), shared.cast("long").alias("shared"), (F.size("terms_a") + F.size("terms_b") - shared).cast("long").alias("union"))
-    return sized.where((F.col("shared") > 0) & (F.col("shared") * t.denominator >= F.col("union") * t.numerator)).select("a", "b", "shared", F.round(F.col("shared") / F.col("union"), 6).alias("similarity"))
+    found = _compared(sets, Fraction(str(least)), None, id_col, terms_col).where("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", F.round(F.col("shared") / F.col("union"), 6).alias("similarity"))
+
+
+def jaccard_best(sets: DataFrame, top: int, least: float | str, id_col: str = "id", terms_col: str = "terms") -> DataFrame:
+    """(id, rank, other, similarity): of each id the ``top`` most alike others of ``jaccard_pairs``, ties by the smaller id; ids are integers; pairs are not shuffled, only each block's best."""
+    found = _compared(sets, Fraction(str(least)), top, id_col, terms_col)
+    each = found.select(F.col("a").alias("id"), F.col("b").alias("other"), F.round(F.col("shared") / F.col("union"), 6).alias("similarity"))
+    line = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
+    return each.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= top).select("id", "rank", "other", "similarity")
 
 
 def _best_of_blocks(top: int, least: float):

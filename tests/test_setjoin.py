@@ -86,3 +86,12 @@ def test_most_alike_makes_no_pairs(spark, monkeypatch, top, least):
         alike = sorted((-round(len(s & t) / len(s | t), 6), j) for j, t in sets if j != i and s & t)
         want += [(i, r, j, -v) for r, (v, j) in enumerate([x for x in alike if -x[0] > least][:top], 1)]
     assert got == sorted(want)
+
+
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "CELL", 10)
+    monkeypatch.setattr(setjoin, "COUNTED", 7)  # what blocks share is counted in many steps
+    rows = sets_of(5)
+    got = setjoin.jaccard_pairs(spark.createDataFrame(rows, "id long, terms array<string>"), 0.2)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == plain(rows, 0.2)
