@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of, quote, sql_any
-from ..sources.tables import kept, spread, table
-from .setjoin import jaccard_pairs
+from ..sources.tables import spread, table
+from .setjoin import jaccard_best, jaccard_pairs
 from .text import STOP
 
 # Categories by substrings, in the order they are tried.
@@ -113,9 +113,8 @@ def all_related(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
 def most_related(docs: DataFrame, top: int = 5, least: float = 0.3) -> DataFrame:
     """(doc_id, rank, related_id, similarity): each document's most alike others."""
-    pairs = kept(all_related(docs, least), "related")
-    both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("related_id"), "similarity").unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("related_id"), "similarity"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("similarity").desc(), "related_id"))).where(F.col("rank") <= top).select("doc_id", "rank", "related_id", "similarity")
+    best = jaccard_best(docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("terms")), top, least)
+    return best.select(F.col("id").alias("doc_id"), "rank", F.col("other").alias("related_id"), "similarity")
 
 
 def related_tags(docs: DataFrame, tag: str, top: int = 10) -> DataFrame:

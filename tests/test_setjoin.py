@@ -95,3 +95,18 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     got = setjoin.jaccard_pairs(spark.createDataFrame(rows, "id long, terms array<string>"), 0.2)
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == plain(rows, 0.2)
+
+
+@pytest.mark.parametrize("top,least", [(1, 0), (3, 0.2), (500, 0.3)])
+def test_best_of_each_set(spark, monkeypatch, top, least):
+    monkeypatch.setattr(setjoin, "CELL", 10)
+    monkeypatch.setattr(setjoin, "HEAVY", 3)
+    monkeypatch.setattr(setjoin, "jaccard_pairs", None)
+    rows = sets_of(7)[:-2]
+    rows = [r for r in rows if r[0] != 504]  # ids once
+    got = sorted(map(tuple, setjoin.jaccard_best(spark.createDataFrame(rows, "id long, terms array<string>"), top, least).collect()))
+    by = {}
+    for a, b, _, v in plain(rows, least):
+        by.setdefault(a, []).append((-v, b))
+        by.setdefault(b, []).append((-v, a))
+    assert got == sorted((i, r, j, -v) for i, found in by.items() for r, (v, j) in enumerate(sorted(found)[:top], 1))
