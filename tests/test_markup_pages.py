@@ -84,3 +84,19 @@ def test_rendered_parts_are_dealt_over_all_cores(spark):
     pages = markup._parts(spark, "/root/testdata/sf0.01")
     held = [n for n in pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
     assert len(held) >= 4 * spark.sparkContext.defaultParallelism and max(held) <= 2 * sum(held) / len(held)
+
+
+def test_plain_markup_is_read_as_by_the_standard_parser(monkeypatch):
+    pieces = ["<", ">", "/", '"', "'", "=", " ", "\n", "\x0b", "\xa0", "<p", "<p>", "</p>", '<a href="x">', "<a href=x/>", "<A HREF='y&amp;' b>", "<br/>", "<br />", "<input disabled/>", "<script>", "</script>", '<script src="q">a&b</script>', "<STYLE>p{}</style >", "<style>x</script>", "<title>", "<!-- c -->", "<!--", "-->", "<!doctype html>", "&amp;", "&lt", "&", "text", "<td>", "<tr>", "<table>", "</table>", "<li>", "</ul>", "</ p>", "</>", "<?x?>", "<!x>", "<script/>", "<scripts>", '<a b="1" b="2" C>', "`", "<dl><dt>", "<dd>", "</a\n>"]
+    r = random.Random(3)
+    pages = ["".join(r.choice(pieces) for _ in range(r.randint(1, 9))) for _ in range(20_000)]
+    pages += ["<script>a < b; '</p>' && '<b>'</script>x", "<script><!-- x </script> --></script>", markup.TEMPLATE]
+
+    def flat(n, depth=0):
+        return [(depth, n.tag, n.attrs, n.text), *(y for x in n.nodes for y in flat(x, depth + 1))]
+
+    got = [flat(markup.parse(p)) for p in pages]
+    assert markup._plain(markup.TEMPLATE) is not None and sum(markup._plain(p) is not None for p in pages) > 4_000
+    monkeypatch.setattr(markup, "_plain", lambda page: None)
+    for page, tree in zip(pages, got, strict=True):
+        assert tree == flat(markup.parse(page)), page
