@@ -100,3 +100,51 @@ def test_plain_markup_is_read_as_by_the_standard_parser(monkeypatch):
     monkeypatch.setattr(markup, "_plain", lambda page: None)
     for page, tree in zip(pages, got, strict=True):
         assert tree == flat(markup.parse(page)), page
+
+
+def _flat(n, depth=0):
+    return [(depth, n.tag, n.attrs, n.text), *(y for x in n.nodes for y in _flat(x, depth + 1))]
+
+
+def test_plain_pages_are_split_and_read_as_by_the_pattern():
+    # The pattern alone took over three times as long; pages of plain markup must not come to it.
+    assert markup._split(markup.TEMPLATE) is not None
+    pieces = ["<", ">", "a > b", "<p>", "</p>", "<P >", '<a href="x>y">', "<a href='&lt;' b>", "<br/>", "<i/>", "<script>", "</script>", "</SCRIPT>", "</script >", "a&amp;b", "<style x=1>", "</style>", "<!-- c -->", "<!-- <b> -->", "<!-- a > b -->", "<!---->", "<!doctype html>", "<!x>", "<ſcript>", "</ſcript>", f'<img alt="{"long " * 50}">', "<td>", "<tr>", "<li>", "</ul>", "<dt>", "<dd>"]
+    r = random.Random(5)
+    split = 0
+    for page in ("".join(r.choice(pieces) for _ in range(r.randint(0, 9))) for _ in range(20_000)):
+        got, want = markup._split(page), markup._matched(page)
+        split += got is not None
+        assert got is None or (want is not None and _flat(got) == _flat(want)), page
+    assert split > 4_000
+
+
+def test_marks_kept_are_few_and_short():
+    for k in range(2 * markup._known_mark.cache_info().maxsize):
+        markup.parse(f'<p id="{k}"><img alt="{k}{"x" * markup.SHORT}">')
+    info = markup._known_mark.cache_info()
+    assert info.currsize <= info.maxsize <= 4096 and markup._known_mark("/p") == ("end", "p", {})
+    assert not any(len(markup.parse(f"<p {'x' * n}>").nodes) != 1 for n in (markup.SHORT - 2, markup.SHORT, 10_000))
+
+
+def test_elements_are_found_in_the_order_of_a_walk():
+    r = random.Random(6)
+    for _ in range(300):
+        page = "".join(r.choice(["<b>", "</b>", "<p>", "</p>", "<div>", "</div>", "<li>", "<br>", "<td>", "<tr>", "<table>", "</table>", "<dt>", "<dd>", "x", "<"]) for _ in range(r.randrange(60)))
+        root = markup.parse(page)
+        for tags in ((), ("b",), ("li", "p"), ("td", "tr", "table"), ("i",)):
+            assert [id(n) for n in root.walk(*tags)] == [id(n) for n in markup.Node.walk(root, *tags)]
+
+
+def test_looking_for_elements_takes_no_walk(monkeypatch):
+    monkeypatch.setattr(markup.Node, "walk", None)
+    got = markup.extract_page('<h2>a</h2><img src="s"><abbr title="t">b</abbr><pre>c</pre><h1>d</h1>', ["headings", "images", "abbreviations"])
+    assert [h["text"] for h in got["headings"]] == ["d", "a"] and got["images"][0]["src"] == "s" and got["abbreviations"] == [{"term": "b", "title": "t"}]
+
+
+def test_part_pages_hold_values_as_they_are(spark):
+    # A value that names another place of the template was filled in again.
+    rows = [(1, "{size} <&", "{brand}", "$1 {name}", 7), (2, None, "t", "b", 1)]
+    got = {r["page_id"]: r["html"] for r in markup.part_pages(spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int")).collect()}
+    assert got[1].startswith('<!doctype html><html><head><title> {size} <& </title><meta name="description" content="{brand} 7"><meta property="og:title" content="$1 {name}">') and got[2] is None
+    assert "{broken" in got[1] and '"price":7,' in got[1]
