@@ -27,3 +27,16 @@ def test_odd_line_ends(spark, tmp_path, name):
         c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["hx_convert", "hx_rst_blocks"])
+def test_every_character(spark, tmp_path, name):
+    # Each character of the basic plane (and some above) at the ends and inside of lines, 64 to a document.
+    held = [chr(k) for k in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1F600, 0x1F640)]]
+    rows = [(k, "\n".join(line for c in held[k : k + 64] for line in (f"ab{c}cd", f"{c}ef", f"gh {c}"))) for k in range(0, len(held), 64)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
