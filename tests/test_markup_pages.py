@@ -148,3 +148,14 @@ def test_part_pages_hold_values_as_they_are(spark):
     got = {r["page_id"]: r["html"] for r in markup.part_pages(spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int")).collect()}
     assert got[1].startswith('<!doctype html><html><head><title> {size} <& </title><meta name="description" content="{brand} 7"><meta property="og:title" content="$1 {name}">') and got[2] is None
     assert "{broken" in got[1] and '"price":7,' in got[1]
+
+
+@pytest.mark.parametrize("field", ["metadata", "code", "abbreviations", "tables", "images"])
+def test_fields_of_plain_pages_are_those_of_the_standard_parser(monkeypatch, field):
+    pieces = ['<meta name="a" content="b&amp;c">', '<meta property="og:x" content="1">', '<p itemprop="k">v</p>', "<title> t </title>", '<script type="application/ld+json">{"q": [1]}</script>', '<pre><code class="language-python">a\n</code></pre>', "<pre>b</pre>", '<abbr title="t">x</abbr>', "<abbr>y</abbr>", "<table><tr><th>h<th>i<tr><td>1<td>2</table>", "<table><tr><td><table><tr><td>in</table></table>", '<img src="s" alt="&lt;">', "<img src=u title='w'/>", "<h1>z</h1>", "text"]
+    r = random.Random(7)
+    pages = ["".join(r.choices(pieces, k=r.randint(1, 9))) for _ in range(300)] + [markup.TEMPLATE]
+    assert all(markup._split(p) is not None for p in pages)
+    got = [markup.extract_page(p, [field]) for p in pages]
+    monkeypatch.setattr(markup, "_plain", lambda page: None)
+    assert got == [markup.extract_page(p, [field]) for p in pages] and any(g[field] for g in got)
