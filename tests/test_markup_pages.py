@@ -159,3 +159,35 @@ def test_fields_of_plain_pages_are_those_of_the_standard_parser(monkeypatch, fie
     got = [markup.extract_page(p, [field]) for p in pages]
     monkeypatch.setattr(markup, "_plain", lambda page: None)
     assert got == [markup.extract_page(p, [field]) for p in pages] and any(g[field] for g in got)
+
+
+def test_elements_read_alone_are_those_of_the_whole_tree():
+    pieces = ["<b>", "</b>", "<p>", "<p id=a>", "</p>", "<div id='b'>", "</div>", "<li id=c>", "<li>", "</li>", "<ul>", "</ul>", "<br>", "<br id=d/>", "</br>", "<i/>", "<td>", "</td>", "<tr>", "<table>", "</table>", "<dl>", "<dt>", "<dd id=e>", "<script id=f>", "</script>", "<!-- c -->", "a &amp; b", "x > y"]
+    r = random.Random(8)
+    alone = 0
+    for page in ("".join(r.choices(pieces, k=r.randint(1, 14))) for _ in range(20_000)):
+        if markup._split(page) is None:
+            continue
+        want = markup._split(page).tree()
+        for tags, having in ((("b",), ""), (("p", "li"), ""), (("table", "td"), ""), (("script", "br"), ""), (("dl", "dd"), "id"), ((), "id")):
+            root = markup._split(page)
+            assert [_flat(n) for n in root.walk(*tags, having=having)] == [_flat(n) for n in want.walk(*tags, having=having)], page
+            alone += root.whole is None
+    assert alone > 20_000
+
+
+@pytest.mark.parametrize("field", ["metadata", "code", "abbreviations", "tables", "images"])
+def test_fields_of_single_elements_need_no_whole_tree(monkeypatch, field):
+    # The whole tree of every page was made for each of these, which took most of the time.
+    want = markup.extract_page(markup.TEMPLATE, [field])
+    monkeypatch.setattr(markup.Pieces, "tree", lambda self: 1 / 0)
+    assert markup.extract_page(markup.TEMPLATE, [field]) == want and want[field]
+
+
+def test_marks_inside_a_found_element_are_read_once(monkeypatch):
+    # Each of 1,500 tables inside one another, read by itself, would be a million marks.
+    read = []
+    alone = markup.Pieces.alone
+    monkeypatch.setattr(markup.Pieces, "alone", lambda self, at: read.append(at) or alone(self, at))
+    root = markup._split("<table><tr><td>" * 1500 + "</td></tr></table>" * 1500 + "<table></table>")
+    assert sum(1 for _ in root.walk("table")) == 1501 and read == [0, 9000] and root.whole is None
