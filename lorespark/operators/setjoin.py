@@ -2,9 +2,10 @@
 
 At a threshold of 0.3 most pairs share a rare element, so pairs are not shuffled to be counted: sets are dealt into
 blocks of like sizes, blocks whose sizes allow the threshold meet, and a task counts what all pairs of two blocks share.
-Elements that many sets of both blocks have are columns of two matrices that are multiplied, the others are counted from
-their lists.  Only pairs that are alike enough leave a task, or of each set only its best.  Blocks meet in tiles of strips
-of blocks, so that each is copied as often as there are strips, not as there are blocks.
+The commonest elements are columns of two matrices that are multiplied, rare ones are counted from their lists; those
+between are at first only bounded by how many of them a set has, and compared where a pair may still be alike enough.
+Only pairs that are alike enough leave a task, or of each set only its best.  Blocks meet in tiles of two strips of
+blocks: a task holds the one and passes the other by, so that each is copied as often as there are strips.
 
 Elements are compared by 64-bit hashes, with a seed for which no two elements at hand have the same.
 
@@ -24,23 +25,26 @@ from pyspark.sql import functions as F
 from ..sources.session import ship
 from ..sources.tables import kept
 
-#: Columns of the matrices that are multiplied at once, and sets of a block.
-HEAVY, CELL = 2048, 1024
-#: Elements that a set of a block may have on average, pairs counted at once, and how much cheaper a cell of a product is than a counted pair.
-WIDE, COUNTED, DENSE = 256, 1 << 22, 400
+#: Columns of the matrices that are multiplied, and elements that are only bounded at first; an element that at most this share of the sets have is neither.
+HEAVY, MIDDLE, RARE = 256, 4096, 0.01
+#: Sets of a block, and elements that a set of a block may have on average.
+CELL, WIDE = 2048, 1024
+#: Pairs counted at once, places of their counts, and pairs looked at closely at once.
+COUNTED, CELLS, CHOSEN = 1 << 22, 1 << 19, 1 << 13
 #: Strips of blocks at least, for enough tiles, and blocks of a strip at most.
 STRIPS, LONG = 12, 32
 #: Classes of a block, and blocks that a block meets in one task.
 CLASSES, STRIP = 1024, 32
 
 
-def _seed(base: DataFrame) -> int:
-    """The first seed for which the elements at hand have hashes of their own."""
-    terms = kept(base.select(F.explode("terms").alias("term")).distinct(), "elements")
+def _common(base: DataFrame, n_sets: int) -> tuple[int, list[int]]:
+    """The first seed for which the elements at hand have hashes of their own; and the hashes of those that most sets have, the commonest first, at most ``HEAVY + MIDDLE``."""
+    terms = kept(base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("sets")), "elements")
     n, seed = terms.count(), 42
     while terms.select(F.xxhash64("term", F.lit(seed))).distinct().count() < n:
         seed += 1
-    return seed
+    often = terms.where(F.col("sets") > RARE * n_sets).orderBy(F.col("sets").desc(), "term").limit(HEAVY + MIDDLE)
+    return seed, [r["h"] for r in often.select(F.xxhash64("term", F.lit(seed)).alias("h")).collect()]
 
 
 def _cuts(sizes: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
@@ -55,59 +59,122 @@ def _cuts(sizes: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]
     return before, [spans[k] for k in range(len(spans))]
 
 
-def _inverted(batches):
-    """Over blocks of sets: (block, ids, sizes, words, counts, rows), rows being the places of the sets that have each word."""
-    for batch in batches:
-        for block, sets in zip(batch.column("block"), batch.column("sets"), strict=True):
-            own = sets.values
-            lists = own.field("hashes")
-            sizes = lists.value_lengths().to_numpy().astype(np.int32)
-            flat = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            words, counts = np.unique(flat, return_counts=True)
-            found = [own.field("id"), *map(pa.array, (sizes, words, counts.astype(np.int32), row[np.argsort(flat, kind="stable")]))]
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in found)], ["block", "ids", "sizes", "words", "counts", "rows"])
+def _kind(rows: int) -> type:
+    """What places in a block are packed as."""
+    return np.uint16 if rows <= 1 << 16 else np.int32
 
 
-def _shared(a: dict, b: dict) -> np.ndarray:
-    """How many words the sets of two blocks share: sets of the one times sets of the other."""
+def _packed(common: np.ndarray):
+    """Over blocks of sets: (block, ids, sizes, often, held, words, counts, rows): of common elements each set's numbers and how many it has; of the others the places of the sets that have each."""
+    order = np.argsort(common)
+    known = common[order]
+
+    def run(batches):
+        for batch in batches:
+            for block, sets in zip(batch.column("block"), batch.column("sets"), strict=True):
+                own = sets.values
+                lists = own.field("hashes")
+                sizes = lists.value_lengths().to_numpy().astype(np.int32)
+                flat = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(len(sizes), dtype=_kind(len(sizes))), sizes)
+                often, rest = np.zeros(0, np.uint16), np.ones(len(flat), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    rest = known[at] != flat
+                    often = order[at[~rest]].astype(np.uint16)
+                held = np.bincount(row[~rest], minlength=len(sizes)).astype(np.int32)
+                by = np.argsort(flat[rest], kind="stable")
+                words, counts = np.unique(flat[rest], return_counts=True)
+                parts = (sizes, often, held, words, counts.astype(np.int32), row[rest][by])
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.ListArray.from_arrays([0, len(sizes)], own.field("id")), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["block", "ids", *_PARTS])
+
+    return run
+
+
+_PARTS = {"sizes": np.int32, "often": np.uint16, "held": np.int32, "words": np.int64, "counts": np.int32, "rows": None}
+
+
+def _read(batch: pa.RecordBatch, r: int) -> dict:
+    """A block as ``_packed`` wrote it, on its own memory."""
+    x = {"block": batch.column("block")[r].as_py(), "ids": pa.concat_arrays([batch.column("ids")[r].values])}
+    for name, kind in _PARTS.items():
+        x[name] = np.frombuffer(batch.column(name)[r].as_py(), kind or _kind(len(x["sizes"])))
+    return x
+
+
+def _common_parts(x: dict, least: Fraction, heavy: int, n_common: int, first: bool) -> dict:
+    """A block with the matrix of its sets' heavy elements, the bits of its middle ones and how many of these each set has.
+
+    Two sets of n and m elements are alike enough if they share t / (s + t) of n + m. Middle elements that they share
+    are at most half of those that both have, so that what they share of the others must reach the sum of what either
+    is short of; two more columns take that off the product, in quarters, rounded down, which floats hold exactly.
+    """
+    t, s = least.numerator, least.denominator
+    n, width = len(x["sizes"]), min(heavy, n_common)
+    row = np.repeat(np.arange(n), x["held"])
+    up = x["often"] < width
+    bits = np.zeros((n, width + 2), np.float32)
+    bits[row[up], x["often"][up]] = 1
+    middle = np.zeros((n, -(-max(n_common - width, 1) // 64) * 64), bool)
+    middle[row[~up], x["often"][~up].astype(np.int64) - width] = True
+    n_middle = np.bincount(row[~up], minlength=n)
+    short = np.floor(4 * (x["sizes"].astype(np.float64) * t / (s + t) - n_middle / 2)) / 4
+    bits[:, width], bits[:, width + 1] = (-short, 1) if first else (1, -short)
+    return {"bits": bits, "middle": np.packbits(middle, axis=1).view(np.uint64), "n_middle": n_middle, "short": short}
+
+
+def _by_set(x: dict) -> dict:
+    """The rare elements of a block set by set: the place of each among the block's words, and how many each set has."""
+    order = np.argsort(x["rows"], kind="stable")
+    return x | {"codes": np.repeat(np.arange(len(x["words"]), dtype=np.int32), x["counts"])[order], "own": x["rows"][order].astype(np.int64)}
+
+
+def _close(a: dict, b: dict, least: Fraction, counted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in two blocks of the sets that are ``least`` alike, and how many elements they share."""
+    t, s = least.numerator, least.denominator
     n, m = len(a["sizes"]), len(b["sizes"])
     _, i, j = np.intersect1d(a["words"], b["words"], assume_unique=True, return_indices=True)
-    p, q = a["counts"][i].astype(np.int64), b["counts"][j].astype(np.int64)
-    first = [np.cumsum(x["counts"], dtype=np.int64) - x["counts"] for x in (a, b)]
-    p_at, q_at = first[0][i], first[1][j]
-    dense = p * q * DENSE > n * m
-    total = np.zeros((n, m), np.float32)
-
-    def places(at: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(at, k)
-
-    many = np.flatnonzero(dense)
-    for start in range(0, len(many), HEAVY):
-        few = many[start : start + HEAVY]
-        sides = []
-        for x, rows, at, k in ((a, n, p_at[few], p[few]), (b, m, q_at[few], q[few])):
-            bits = np.zeros((rows, len(few)), np.float32)
-            bits[x["rows"][places(at, k)], np.repeat(np.arange(len(few)), k)] = 1
-            sides.append(bits)
-        total += sides[0] @ sides[1].T
-    # Each place of a word in the first block with all of its places in the second.
-    rare = np.flatnonzero(~dense)
-    mine, word = a["rows"][places(p_at[rare], p[rare])], np.repeat(rare, p[rare])
-    ends = np.cumsum(q[word])
-    start = 0
-    while start < len(word):
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + COUNTED, "right")))
-        k = q[word[start:end]]
-        other = b["rows"][places(q_at[word[start:end]], k)]
-        total += np.bincount(np.repeat(mine[start:end].astype(np.int64) * m, k) + other, minlength=n * m).reshape(n, m).astype(np.float32)
-        start = end
-    return total
-
-
-def _alike(least: Fraction, top: int | None):
-    """Over pairs of blocks: (a, b, shared, union) of the pairs that are ``least`` alike; with ``top``, both ways and of each set its ``top`` best in a block."""
-    t, s = least.numerator, least.denominator
+    at = np.full(len(a["words"]) + 1, -1, np.int32)
+    at[i] = j
+    word = at[a["codes"]]
+    met = word >= 0
+    word, mine = word[met], a["own"][met]
+    first = np.cumsum(b["counts"], dtype=np.int64) - b["counts"]
+    k, start = b["counts"][word], first[word]
+    # Sets of the first block at a time, so many that their places with all sets of the second stay few.
+    ends = np.concatenate([[0], np.cumsum(np.bincount(mine, k, n).astype(np.int64))])
+    of = np.searchsorted(mine, np.arange(n + 1))
+    out: list[list[np.ndarray]] = [[], [], []]
+    lo = 0
+    while lo < n:
+        hi = min(n, lo + max(1, CELLS // m), max(lo + 1, int(np.searchsorted(ends, ends[lo] + counted, "right")) - 1))
+        total = a["bits"][lo:hi] @ b["bits"].T
+        own = slice(of[lo], of[hi])
+        if of[hi] > of[lo]:
+            c = k[own]
+            behind = np.cumsum(c, dtype=np.int64)
+            place = np.arange(behind[-1]) + np.repeat(start[own] - behind + c, c)
+            cells = b["rows"][place] + np.repeat((mine[own] - lo) * m, c)
+            total += np.bincount(cells, minlength=(hi - lo) * m).reshape(hi - lo, m).astype(np.float32)
+        cell = np.flatnonzero(total >= 0)
+        for few in np.split(cell, range(CHOSEN, len(cell), CHOSEN)):
+            i, j = np.divmod(few, m)
+            shared = np.rint(total.ravel()[few] + a["short"][lo + i] + b["short"][j]).astype(np.int64)
+            i += lo
+            need = t * (a["sizes"][i].astype(np.int64) + b["sizes"][j])
+            may = (shared + np.minimum(a["n_middle"][i], b["n_middle"][j])) * (s + t) >= need
+            i, j, shared, need = i[may], j[may], shared[may], need[may]
+            shared += np.bitwise_count(a["middle"][i] & b["middle"][j]).sum(axis=1, dtype=np.int64)
+            keep = (shared > 0) & (shared * (s + t) >= need)
+            for x, found in zip(out, (i, j, shared), strict=True):
+                x.append(found[keep])
+        lo = hi
+    i, j, shared = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    return i, j, shared
+
+
+def _alike(least: Fraction, top: int | None, heavy: int, n_common: int, counted: int):
+    """Over blocks by tile, those of the tile's first strip before those of its second: (a, b, shared, union) of the pairs that are ``least`` alike; with ``top``, both ways and of each set its ``top`` best in a block."""
 
     def best(row: np.ndarray, other: pa.Array, own: pa.Array, shared: np.ndarray, union: np.ndarray) -> np.ndarray:
         """Places of each row's best, by similarity to six places and the smaller id."""
@@ -116,34 +183,39 @@ def _alike(least: Fraction, top: int | None):
         order = differ[np.lexsort((other.to_numpy(zero_copy_only=False)[differ], -key[differ], row[differ]))]
         return order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < top]
 
+    def pairs(a: dict, b: dict):
+        i, j, shared = _close(a, b, least, counted)
+        if a["block"] == b["block"]:
+            keep = i < j
+            i, j, shared = i[keep], j[keep], shared[keep]
+        union = a["sizes"][i].astype(np.int64) + b["sizes"][j] - shared
+        one, two = a["ids"].take(pa.array(i)), b["ids"].take(pa.array(j))
+        ways = [(one, two, np.arange(len(i)))]
+        if top:
+            # A block with itself has each set's others on either side.
+            if a["block"] == b["block"]:
+                i, j, one, two, shared, union = np.concatenate([i, j]), np.concatenate([j, i]), pa.concat_arrays([one, two]), pa.concat_arrays([two, one]), np.tile(shared, 2), np.tile(union, 2)
+                ways = [(one, two, best(i, two, one, shared, union))]
+            else:
+                ways = [(one, two, best(i, two, one, shared, union)), (two, one, best(j, one, two, shared, union))]
+        for x, y, at in ways:
+            if len(at):
+                yield pa.RecordBatch.from_arrays([x.take(pa.array(at)), y.take(pa.array(at)), pa.array(shared[at]), pa.array(union[at])], ["a", "b", "shared", "union"])
+
     def run(batches):
+        tile, held = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                sides = []
-                for name in ("own", "met"):
-                    x = batch.column(name)[r]
-                    sides.append({"block": x["block"].as_py(), "ids": x["ids"].values} | {f: x[f].values.to_numpy() for f in ("sizes", "words", "counts", "rows")})
-                a, b = sides
-                found = _shared(a, b)
-                both = a["sizes"][:, None].astype(np.float32) + b["sizes"][None, :].astype(np.float32)
-                i, j = np.nonzero((found > 0) & (found * np.float32(s + t) >= both * np.float32(t * 0.9999)))
-                shared = found[i, j].astype(np.int64)
-                union = a["sizes"][i].astype(np.int64) + b["sizes"][j] - shared
-                keep = shared * s >= union * t
-                if a["block"] == b["block"]:
-                    keep &= i < j
-                i, j, shared, union = i[keep], j[keep], shared[keep], union[keep]
-                one, two = a["ids"].take(pa.array(i)), b["ids"].take(pa.array(j))
-                ways = [(one, two, np.arange(len(i)))]
-                if top:
-                    # A block with itself has each set's others on either side.
-                    if a["block"] == b["block"]:
-                        i, j, one, two, shared, union = np.concatenate([i, j]), np.concatenate([j, i]), pa.concat_arrays([one, two]), pa.concat_arrays([two, one]), np.tile(shared, 2), np.tile(union, 2)
-                        ways = [(one, two, best(i, two, one, shared, union))]
-                    else:
-                        ways = [(one, two, best(i, two, one, shared, union)), (two, one, best(j, one, two, shared, union))]
-                for x, y, at in ways:
-                    yield pa.RecordBatch.from_arrays([x.take(pa.array(at)), y.take(pa.array(at)), pa.array(shared[at]), pa.array(union[at])], ["a", "b", "shared", "union"])
+                if tile != batch.column("tile")[r].as_py():
+                    tile, held = batch.column("tile")[r].as_py(), []
+                x = _read(batch, r)
+                if batch.column("side")[r].as_py() == 0:
+                    held.append(_by_set(x))
+                    continue
+                b = x | _common_parts(x, least, heavy, n_common, False)
+                for a in held:
+                    if a["block"] <= b["block"] and int(a["sizes"].max()) * least.denominator >= int(b["sizes"].min()) * least.numerator:
+                        yield from pairs(a | _common_parts(a, least, heavy, n_common, True), b)
 
     return run
 
@@ -159,27 +231,26 @@ def _compared(sets: DataFrame, least: Fraction, top: int | None, id_col: str, te
     if not sizes:
         return spark.createDataFrame([], f"a {kind}, b {kind}, shared long, union long")
     before, spans = _cuts(sizes)
-    seed = _seed(base)
+    seed, common = _common(base, sum(c for _, c in sizes))
     # A set's block: what comes before its size, and a place among the sets of its size.
     each = spark.createDataFrame([(n, at, c) for (n, c), at in zip(sizes, before, strict=True)], "n int, at long, sets long")
     hashed = base.select("id", F.size("terms").alias("n"), F.transform("terms", lambda x: F.xxhash64(x, F.lit(seed))).alias("hashes"))
     place = F.pmod(F.xxhash64("id", "hashes"), F.col("sets")) * F.greatest(F.col("n"), F.lit(WIDE))
     dealt = hashed.join(F.broadcast(each), "n").select(F.floor((F.col("at") + place) / F.lit(CELL * WIDE)).cast("int").alias("block"), F.struct("id", "hashes").alias("x"))
     packed = dealt.groupBy("block").agg(F.collect_list("x").alias("sets"))
-    blocks = kept(packed.mapInArrow(_inverted, f"block int, ids array<{kind}>, sizes array<int>, words array<bigint>, counts array<int>, rows array<int>"), "blocks")
+    blocks = kept(packed.mapInArrow(_packed(np.array(common, np.int64)), f"block int, ids array<{kind}>, " + ", ".join(f"{x} binary" for x in _PARTS)), "blocks")
     width = max(1, min(LONG, len(spans) // STRIPS))
-    n_strips = -(-len(spans) // width)
-    low, high = [x[0] for x in spans[::width]], [spans[min(k + width, len(spans)) - 1][1] for k in range(0, len(spans), width)]
-    tiles = [(p, q) for p in range(n_strips) for q in range(p, n_strips) if high[p] * least.denominator >= low[q] * least.numerator]
-    of = spark.createDataFrame([(k, p, q) for k, (p, q) in enumerate(tiles)], "tile int, p int, q int")
-    strip = F.floor(F.col("block") / F.lit(width)).cast("int")
-    whole = F.struct("block", "ids", "sizes", "words", "counts", "rows")
-    parts = min(4 * len(tiles), 16 * spark.sparkContext.defaultParallelism)
-    own = blocks.select(strip.alias("p"), whole.alias("own")).join(F.broadcast(of.select("tile", "p")), "p").select("tile", "own").repartition(parts, "tile")
-    met = blocks.select(strip.alias("q"), whole.alias("met")).join(F.broadcast(of.select("tile", "q")), "q").select("tile", "met").repartition(parts, "tile")
-    fits = F.array_max("own.sizes") * least.denominator >= F.array_min("met.sizes") * least.numerator
-    pairs = own.hint("merge").join(met, "tile").where((F.col("own.block") <= F.col("met.block")) & fits).select("own", "met")
-    return pairs.mapInArrow(_alike(least, top), f"a {kind}, b {kind}, shared long, union long")
+    strips = [spans[k : k + width] for k in range(0, len(spans), width)]
+
+    def work(p: int, q: int) -> int:
+        return sum(x[1] * least.denominator >= y[0] * least.numerator for x in strips[p] for y in strips[q])
+
+    # Most work first, a partition for each tile.
+    tiles = sorted(((w, p, q) for p in range(len(strips)) for q in range(p, len(strips)) if (w := work(p, q))), reverse=True)
+    of = spark.createDataFrame([(k, side, strip) for k, (_, *both) in enumerate(tiles) for side, strip in enumerate(both)], "tile int, side int, strip int")
+    met = blocks.withColumn("strip", F.floor(F.col("block") / F.lit(width)).cast("int")).join(F.broadcast(of), "strip")
+    rows = met.select("tile", "side", "block", "ids", *_PARTS).repartitionById(len(tiles), F.col("tile")).sortWithinPartitions("tile", "side", "block")
+    return rows.mapInArrow(_alike(least, top, HEAVY, len(common), COUNTED), f"a {kind}, b {kind}, shared long, union long")
 
 
 def jaccard_pairs(sets: DataFrame, least: float | str, id_col: str = "id", terms_col: str = "terms") -> DataFrame:

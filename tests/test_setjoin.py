@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorespark.operators import history, search, setjoin
@@ -110,3 +111,31 @@ def test_best_of_each_set(spark, monkeypatch, top, least):
         by.setdefault(a, []).append((-v, b))
         by.setdefault(b, []).append((-v, a))
     assert got == sorted((i, r, j, -v) for i, found in by.items() for r, (v, j) in enumerate(sorted(found)[:top], 1))
+
+
+def test_common_middle_and_rare_elements(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HEAVY", 4)
+    monkeypatch.setattr(setjoin, "MIDDLE", 20)
+    monkeypatch.setattr(setjoin, "CELL", 10)
+    monkeypatch.setattr(setjoin, "LONG", 2)  # many tiles
+    rows = sets_of(13)
+    df = spark.createDataFrame(rows, "id long, terms array<string>")
+    assert sorted(map(tuple, setjoin.jaccard_pairs(df, 0.25).collect())) == plain(rows, 0.25)
+
+
+def test_few_pairs_are_compared_closely(monkeypatch):
+    rng = np.random.default_rng(3)
+    # Elements by how common they are: twenty in most sets, eighty in one of four, others in few.
+    made = [np.unique(np.concatenate([np.flatnonzero(rng.random(100) < np.repeat([0.8, 0.25], [20, 80])), rng.integers(100, 4000, 50)])) for _ in range(120)]
+    made += [np.append(x[3:], 5000 + i) for i, x in enumerate(made[:30])]
+    st = pa.StructArray.from_arrays([pa.array(range(150)), pa.array([x.tolist() for x in made], pa.list_(pa.int64()))], ["id", "hashes"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.ListArray.from_arrays([0, 150], st)], ["block", "sets"])
+    x = setjoin._read(next(setjoin._packed(np.arange(100))([batch])), 0)
+    looked, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda a: looked.append(len(a)) or count(a))
+    least = Fraction("0.5")
+    a, b = (y | setjoin._common_parts(y, least, 20, 100, first) for y, first in ((setjoin._by_set(x), True), (x, False)))
+    got = sorted(zip(*(v.tolist() for v in setjoin._close(a, b, least, 1000)), strict=True))
+    sets = [set(v.tolist()) for v in made]
+    assert got == sorted((i, j, len(s & t)) for i, s in enumerate(sets) for j, t in enumerate(sets) if len(s & t) >= least * len(s | t))
+    assert len(got) >= 210 and sum(looked) < 4 * len(got)
