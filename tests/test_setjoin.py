@@ -139,3 +139,17 @@ def test_few_pairs_are_compared_closely(monkeypatch):
     sets = [set(v.tolist()) for v in made]
     assert got == sorted((i, j, len(s & t)) for i, s in enumerate(sets) for j, t in enumerate(sets) if len(s & t) >= least * len(s | t))
     assert len(got) >= 210 and sum(looked) < 4 * len(got)
+
+
+def test_best_by_common_middle_and_rare_elements(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HEAVY", 4)
+    monkeypatch.setattr(setjoin, "MIDDLE", 20)
+    monkeypatch.setattr(setjoin, "CELL", 10)
+    monkeypatch.setattr(setjoin, "LONG", 2)
+    rows = [r for r in sets_of(17) if r[0] != 504]
+    got = sorted(map(tuple, setjoin.jaccard_best(spark.createDataFrame(rows, "id long, terms array<string>"), 2, 0.3).collect()))
+    by = {}
+    for a, b, _, v in plain(rows, 0.3):
+        by.setdefault(a, []).append((-v, b))
+        by.setdefault(b, []).append((-v, a))
+    assert got == sorted((i, r, j, -v) for i, found in by.items() for r, (v, j) in enumerate(sorted(found)[:2], 1))
